@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,16 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder at which nothing is yet."""
+    return f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder. Cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    path = new_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def words(text: Column) -> Column:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of ``text`` with A-Z in lower case; null and empty texts have none."""
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parts = F.split(F.coalesce(lowered, F.lit("")), r"[\x20\x09-\x0D]+")
-    return F.filter(parts, lambda w: w != "")

@@ -2,7 +2,7 @@
 
 A mask is a short row of token positions of which some count and the others are ignored. Every position of every text
 gives one hash for each mask; equal hashes of a training text and a benchmark item are hits. Around each hit the item is
-laid over the text, and the window of ``WINDOW`` tokens with the most equal tokens decides. The masks hit every window of
+laid over the text, and the window of ``WINDOW`` tokens around it with the most equal tokens decides. The masks hit every window of
 13 tokens in which at most two tokens were substituted (``tests/llm`` counts them all).
 """
 
@@ -16,6 +16,8 @@ MASKS = ("11010111", "11110000101", "111011001")
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Benchmarks of up to so many tokens are sent to every task (under 100 bytes each, three seeds a token); larger ones are shuffled.
 BROADCAST_TOKENS = 200_000
+#: Positions of a document that one row holds, beside the tokens around them.
+STRIP = 16
 
 
 def tokens(text: Column) -> Column:
@@ -33,61 +35,71 @@ def _seeds(hashes: Column, at: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(n), *[F.get(hashes, at + i) for i in own]) for n, own in enumerate(kept)])
 
 
-def _positions(hashes: Column) -> Column:
+def _seed_places(hashes: Column) -> Column:
+    """The positions at which the shortest mask still fits."""
     shortest = min(map(len, MASKS))
     return F.when(F.size(hashes) >= shortest, F.sequence(F.lit(0), F.size(hashes) - shortest))
 
 
+def _opening(hashes: Column, at: Column) -> Column:
+    """One hash of the tokens that all masks begin with."""
+    shared = next(i for i in range(min(map(len, MASKS))) if any(mask[i] != "1" for mask in MASKS))
+    return F.xxhash64(*[F.get(hashes, at + i) for i in range(shared)])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
-    """One row per leaked pair: doc_id, item_id, n_matched (equal tokens of the item), n_tokens (of the item), window_matched, doc_start.
+    """One row per leaked pair: doc_id, item_id, window_matched, window_tokens, n_tokens (of the item), doc_start.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; nothing else is read. Null and empty texts, and items
     shorter than the shortest mask, leak nowhere. Rows of one doc_id or one item_id count as one document or item, a null
-    id as an id. Of several places the one with the most equal tokens counts, then the first; doc_start is the token of the
-    document over which the item's first token lies, below 0 if the item starts before it. Empty tables give an empty table.
+    id as an id. Of several places the one with the most equal tokens in a window counts, then the first; doc_start is the
+    token of the document over which the item's first token lies, below 0 if the item starts before it. Empty tables give
+    an empty table.
+
+    Documents are cut into strips of ``STRIP`` positions with the tokens around them, so that a row's size does not grow
+    with its text. Only positions whose first tokens open a benchmark seed go on to be hashed under all masks.
     """
     items = benchmark.select("item_id", _hashes(F.col("text")).alias("_item")).where(F.size("_item") >= min(map(len, MASKS)))
     n_tokens = items.agg(F.sum(F.size("_item"))).first()[0] or 0
     send = F.broadcast if n_tokens <= BROADCAST_TOKENS else (lambda df: df)
-    seeds = items.select("item_id", "_item", F.explode(_positions(F.col("_item"))).alias("_pos"))
-    seeds = seeds.select("item_id", F.size("_item").alias("_length"), "_pos", F.explode(_seeds(F.col("_item"), F.col("_pos"))).alias("_seed"))
-
+    places = items.select("item_id", "_item", F.explode(_seed_places(F.col("_item"))).alias("_pos"))
+    seeds = places.select("item_id", "_item", "_pos", F.explode(_seeds(F.col("_item"), F.col("_pos"))).alias("_seed"))
+    openings = places.select(_opening(F.col("_item"), F.col("_pos")).alias("_opening")).distinct()
+
+    margin = window - 1
+    length = STRIP + 2 * margin
+    strips = F.when(
+        F.size("_doc") > 0,
+        F.transform(
+            F.sequence(F.lit(0), F.size("_doc") - 1, F.lit(STRIP)),
+            lambda at: F.struct(at.alias("at"), F.slice("_doc", F.greatest(at - margin, F.lit(0)) + 1, length + F.least(at - margin, F.lit(0))).alias("near")),
+        ),
+    )
     # explode_outer: no filter is inferred from it, which would tokenise every text twice
     probes = docs.select("doc_id", _hashes(F.col("text")).alias("_doc"))
-    probes = probes.select("doc_id", "_doc", F.explode_outer(_positions(F.col("_doc"))).alias("_at"))
-    probes = probes.select("doc_id", "_doc", "_at", F.explode_outer(_seeds(F.col("_doc"), F.col("_at"))).alias("_seed"))
-
-    # of the document, only what lies under the item goes on; seeds of one shift are one hit
-    shift = F.col("_at") - F.col("_pos")
-    under = F.slice("_doc", F.greatest(shift, F.lit(0)) + 1, F.col("_length") + F.least(shift, F.lit(0)))
-    hits = probes.join(send(seeds), "_seed").select("doc_id", "item_id", shift.alias("_shift"), under.alias("_under"))
-    hits = hits.groupBy("doc_id", "item_id", "_shift").agg(F.first("_under").alias("_under"))
-    told = items.select(F.col("item_id").alias("_id"), F.col("_item"))
-    hits = hits.join(send(told), F.col("item_id").eqNullSafe(F.col("_id")))
-    before = F.least(F.col("_shift"), F.lit(0))
-    equal = F.transform(F.col("_item"), lambda h, i: F.coalesce(F.get("_under", i.cast("int") + before) == h, F.lit(False)).cast("int"))
-    hits = hits.select("doc_id", "item_id", "_shift", equal.alias("_equal"))
-    width = F.least(F.lit(window), F.size("_equal"))
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size("_equal") - width + 1),
-        lambda i: F.aggregate(F.slice("_equal", i, width), F.lit(0), lambda n, x: n + x),
-    )
-    hits = hits.select(
-        "doc_id",
-        "item_id",
-        "_shift",
-        F.aggregate("_equal", F.lit(0), lambda n, x: n + x).alias("n_matched"),
-        F.size("_equal").alias("n_tokens"),
-        F.array_max(windows).alias("window_matched"),
-        width.alias("_width"),
-    )
-    allowed = F.floor(F.col("_width") * substitutions / window)
-    leaks = hits.where(F.col("window_matched") >= F.col("_width") - allowed)
-    best = leaks.groupBy("doc_id", "item_id").agg(
-        F.max(F.struct("n_matched", "window_matched", -F.col("_shift"), "n_tokens")).alias("b")
+    probes = probes.select("doc_id", F.explode_outer(strips).alias("_strip"))
+    first, near = F.col("_strip.at"), F.col("_strip.near")
+    probes = probes.select("doc_id", first.alias("_first"), near.alias("_near"), F.explode_outer(F.array(*map(F.lit, range(STRIP)))).alias("_k"))
+    inner = F.col("_k") + F.least(F.col("_first"), F.lit(margin))
+    probes = probes.select("doc_id", (F.col("_first") + F.col("_k")).alias("_at"), "_near", inner.alias("_inner"), _opening(F.col("_near"), inner).alias("_opening"))
+    probes = probes.join(send(openings), "_opening", "left_semi")
+    probes = probes.withColumn("_seed", F.explode(_seeds(F.col("_near"), F.col("_inner"))))
+    hits = probes.join(send(seeds), "_seed")
+
+    # the item's tokens around the seed, laid over the strip's; the best window of them decides
+    size, pos = F.size("_item"), F.col("_pos")
+    low = F.greatest(pos - margin, F.lit(0))
+    equal = F.transform(
+        F.sequence(low, F.least(pos + margin, size - 1)),
+        lambda j: F.coalesce(F.get("_near", F.when(F.col("_inner") + j - pos >= 0, F.col("_inner") + j - pos)) == F.get("_item", j), F.lit(False)).cast("int"),
     )
-    b = F.col("b")
-    return best.select("doc_id", "item_id", b["n_matched"].alias("n_matched"), b["n_tokens"].alias("n_tokens"), b["window_matched"].alias("window_matched"), (-b["col3"]).alias("doc_start"))
+    width = F.least(F.lit(window), size)
+    hits = hits.select("doc_id", "item_id", (F.col("_at") - pos).alias("_shift"), equal.alias("_equal"), width.alias("_width"), size.alias("_size"))
+    sums = F.transform(F.sequence(F.lit(1), F.size("_equal") - F.col("_width") + 1), lambda i: F.aggregate(F.slice("_equal", i, F.col("_width")), F.lit(0), lambda n, x: n + x))
+    hits = hits.select("doc_id", "item_id", "_shift", F.array_max(sums).alias("_matched"), "_width", "_size")
+    leaks = hits.where(F.col("_matched") >= F.col("_width") - F.floor(F.col("_width") * substitutions / window))
+    best = leaks.groupBy("doc_id", "item_id").agg(F.max(F.struct("_matched", (-F.col("_shift")).alias("_before"), "_width", "_size")).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b._matched").alias("window_matched"), F.col("b._width").alias("window_tokens"), F.col("b._size").alias("n_tokens"), (-F.col("b._before")).alias("doc_start"))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:

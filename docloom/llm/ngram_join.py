@@ -4,9 +4,11 @@
 2. Shingles are dealt out to buckets in packed chunks, which count in how many classes each occurs. The order of a class's
    shingles is by that count, rarest first. Two sets of a similarity of t or more share one of their first
    n - ceil(t n) + 1 shingles; those in one class only cannot be shared, so most classes have no prefix left to index.
-3. Classes with the same prefix and size are one group. Groups that share a prefix shingle are paired with the bucket's
-   leader first, verified and linked; then only groups of different components are paired with each other, if the size
-   and position filters let them. Members of paired groups are verified on their whole sets.
+3. Classes with the same prefix and size are one group. Groups that share a prefix shingle are paired with that shingle's
+   leader first, verified and linked; then only groups of different components are paired with each other. Sizes, the
+   shared shingle's positions and, for groups of one class, bitmaps of the sets filter the pairs: the bits in which two
+   bitmaps differ are no more than the shingles in which their sets do. Members of the groups left are verified on their
+   whole sets.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ from pyspark.sql import functions as F
 
 from docloom.llm.base import written
 from docloom.llm.components import components
-from docloom.llm.wordhash import mix, scatter, word_hashes
+from docloom.llm.wordhash import mix, row_slices, scatter, word_hashes
 
 #: Bytes of text behind one bucket of shingles, about four times the bucket's own size.
 BUCKET_BYTES = 16 << 20
 #: Class keys up to this number (8 bytes each) are sent to every task; more are joined by a shuffle.
 BROADCAST_KEYS = 500_000
-#: Rounds in which groups are paired with leaders only. The last round pairs whatever is left.
-LEADER_ROUNDS = 3
+#: Text bytes whose shingles a task holds at once.
+SLICE_BYTES = 8 << 20
+#: 64-bit words of a set's bitmap.
+BITMAP_WORDS = 8
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -55,9 +59,22 @@ def class_key(found: np.ndarray) -> int:
         return int(mix(np.array([mix(found).sum(dtype=np.uint64) * np.uint64(7) + np.uint64(len(found))], np.uint64))[0].astype(np.int64))
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, end in row_slices(batch.column("text"), SLICE_BYTES):
+            yield batch.slice(at, end - at)
+
+
+def bitmap(found: np.ndarray) -> list[int]:
+    """Each member turns one bit over."""
+    size = 64 * BITMAP_WORDS
+    turned = np.bincount((found % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(turned.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _classes(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = list(shingle_sets(batch.column("text"), width))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(map(class_key, sets), pa.int64())],
@@ -71,7 +88,7 @@ def _chunks(width: int, n_buckets: int):
     """(bucket, n, classes, sizes, lengths, prints): 32 bits of each shingle beside its bucket; ``n`` rows of a class follow each other."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             own = {class_key(s): s for s in shingle_sets(batch.column("text"), width) if len(s)}
             if not own:
                 continue
@@ -148,9 +165,10 @@ def _prefixes(percent: int):
 
 def _whole_sets(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = {class_key(s): s for s in shingle_sets(batch.column("text"), width)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], names=["cls", "members"])
+            columns = [pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary()), pa.array([bitmap(s) for s in sets.values()], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "members", "bits"])
 
     return run
 
@@ -173,11 +191,14 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / F.lit(100 + percent))
 
 
-def _fits(percent: int) -> Column:
-    """Whether sizes and positions of a shared shingle let two groups be similar."""
-    low, high = F.least("n", "m"), F.greatest("n", "m")
-    left = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("at_m"))
-    return (low * 100 >= high * percent) & (left >= _needed(F.col("n"), F.col("m"), percent))
+def _fits(percent: int, positions: bool = True) -> Column:
+    """Whether sizes, a shared shingle's positions and bitmaps (if there are any) let two groups be similar."""
+    n, m = F.col("n"), F.col("m")
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    left = F.least(n - F.col("at"), m - F.col("at_m"))
+    differ = sum((F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_m", F.lit(i)))) for i in range(BITMAP_WORDS)), F.lit(0))
+    alike = F.coalesce(differ <= n + m - 2 * _needed(n, m, percent), F.lit(True))
+    return sizes & alike & (left >= _needed(n, m, percent)) if positions else sizes & alike
 
 
 def join_ngrams(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -212,59 +233,56 @@ def join_ngrams(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame
 
 def _links(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, width: int, percent: int) -> DataFrame:
     """Verified links (a, b) between classes, enough of them that every link's ends are connected."""
-    # groups: the same prefix, size and number of shingles before it; the smallest class stands for it
+    # groups: the same prefix, size and number of shingles before it
     grouped = prefixes.withColumn("grp", F.xxhash64("prefix", "n", "n_alone"))
-    heads = grouped.groupBy("grp").agg(F.min("cls").alias("head"), F.first("n").alias("n"), F.first("n_alone").alias("n_alone"), F.first("prefix").alias("prefix"))
-    entries = heads.select("grp", "head", "n", F.posexplode("prefix").alias("i", "token"), "n_alone")
-    entries = entries.select("token", "grp", "head", "n", (F.col("i") + F.col("n_alone")).alias("at"))
-    met = entries.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    entries = written(entries.join(met, "token"), "prefix-index")
-    members = written(grouped.join(entries.select("grp").distinct(), "grp", "left_semi").select("grp", "cls").unionByName(
-        _inside(grouped).select("grp", "cls")).distinct(), "group-members")
+    groups = grouped.groupBy("grp").agg(F.count("*").alias("k"), F.min("cls").alias("first"), F.first("n").alias("n"), F.first("n_alone").alias("n_alone"), F.first("prefix").alias("prefix"))
+    entries = groups.select("grp", "k", "first", "n", "n_alone", F.posexplode("prefix").alias("i", "token"))
+    shared = entries.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
+    entries = written(entries.join(shared, "token"), "prefix-index")
+    several = groups.where("k > 1").select("grp")
+    members = grouped.join(entries.select("grp").unionByName(several).distinct(), "grp", "left_semi").select("grp", "cls")
+    members = written(members, "group-members")
     sets = written(_sets_of(docs, rows, members, width), "shingle-sets")
 
-    pairs = grouped.groupBy("grp").agg(F.min("cls").alias("a"), F.count("*").alias("k")).where("k > 1").join(grouped.select("grp", F.col("cls").alias("b")), "grp")
-    links = written(_verified(pairs.where("a <> b").select("a", "b"), sets, percent), "links")
-    # bands of sizes: similar sets are in the same or in neighbouring ones
+    # a group of one class has its bitmap; bands of sizes: similar sets are in the same or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    entries = entries.withColumn("band", band)
-    tried = None
-    for turn in range(LEADER_ROUNDS + 1):
-        labels = components(links)
-        now = members.join(labels, F.col("cls") == F.col("node"), "left").select("grp", "cls", F.coalesce("component", "cls").alias("root"))
-        # a group whose members are in several components stands in each
-        roots = now.groupBy("grp", "root").agg(F.min("cls").alias("cls"))
-        open_ = entries.drop("head").join(roots, "grp")
-        spread = open_.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-        open_ = written(open_.join(spread, "token"), f"open-{turn}")
-        if open_.isEmpty():
-            break
-        if turn < LEADER_ROUNDS:
-            rank = F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), "cls", "root", "n")
-            leaders = open_.groupBy("token", "band").agg(F.min(rank).alias("l"))
-            leaders = leaders.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("l.cls").alias("b"), F.col("l.root").alias("other"), F.col("l.n").alias("m"))
-            fresh = open_.join(leaders, ["token", "band"]).where((F.col("root") != F.col("other")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent))
-            fresh = fresh.select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b")).distinct()
-        else:
-            other = open_.select("token", F.col("band").alias("band_m"), F.col("grp").alias("grp_m"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("at").alias("at_m"))
-            near = other.withColumn("band", F.explode(F.array(F.col("band_m") - 1, F.col("band_m"), F.col("band_m") + 1)))
-            met = open_.join(near, ["token", "band"]).where((F.col("root") < F.col("other")) & _fits(percent)).select("grp", "root", "grp_m", "other").distinct()
-            # expand: every member of the one in its component against every member of the other in its own
-            one = now.select("grp", "root", F.col("cls").alias("a"))
-            two = now.select(F.col("grp").alias("grp_m"), F.col("root").alias("other"), F.col("cls").alias("b"))
-            fresh = met.join(one, ["grp", "root"]).join(two, ["grp_m", "other"]).select("a", "b").distinct()
-        if tried is not None:
-            fresh = fresh.join(tried, ["a", "b"], "left_anti")
-        fresh = written(fresh, f"pairs-{turn}")
-        tried = fresh if tried is None else tried.unionByName(fresh)
-        links = links.unionByName(written(_verified(fresh, sets, percent), f"links-{turn}"))
-    return links
-
-
-def _inside(grouped: DataFrame) -> DataFrame:
-    """The members of groups of several classes."""
-    several = grouped.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
-    return grouped.join(several, "grp", "left_semi")
+    bits = sets.select(F.col("cls").alias("first"), "bits")
+    entries = entries.join(bits, "first").select("token", "grp", "first", "n", (F.col("i") + F.col("n_alone")).alias("at"), "n_alone", band.alias("band"), F.when(F.col("k") == 1, F.col("bits")).alias("bits"))
+    entries = written(entries, "entries")
+
+    # every group against the leaders of its shingles: those with the fewest shingles that no other class has
+    leaders = entries.groupBy("token", "band").agg(F.min(F.struct("n_alone", F.xxhash64("first").alias("h"), "first", "n", "bits")).alias("l"))
+    leaders = leaders.select("token", _three_bands().alias("band"), F.col("l.first").alias("b"), F.col("l.n").alias("m"), F.col("l.bits").alias("bits_m"))
+    met = entries.join(leaders, ["token", "band"]).where((F.col("first") != F.col("b")) & _fits(percent, positions=False)).select("grp", F.col("first").alias("a"), "b")
+    # and the members of a group against its first
+    inside = members.join(members.groupBy("grp").agg(F.min("cls").alias("a")), "grp").where("a <> cls").select("a", F.col("cls").alias("b"))
+    tried = written(_pair(met.select("a", "b").unionByName(inside)), "leader-pairs")
+    links = written(_verified(tried, sets, percent), "leader-links")
+
+    # what is left: groups of different components; a group whose members are in several stands in each
+    now = members.join(components(links), F.col("cls") == F.col("node"), "left").select("grp", "cls", F.coalesce("component", "cls").alias("root"))
+    roots = now.groupBy("grp", "root").agg(F.count("*").alias("k"))
+    left = entries.drop("first").join(roots, "grp")
+    spread = left.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    left = written(left.join(spread, "token"), "left-entries")
+    other = left.select("token", _three_bands().alias("band"), F.col("grp").alias("grp_m"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("at").alias("at_m"), F.col("bits").alias("bits_m"))
+    met = left.join(other, ["token", "band"]).where((F.col("root") < F.col("other")) & _fits(percent)).select("grp", "root", "grp_m", "other").distinct()
+    one = now.join(bits.withColumnRenamed("first", "cls"), "cls").select("grp", "root", F.col("cls").alias("a"), "bits")
+    two = one.select(F.col("grp").alias("grp_m"), F.col("root").alias("other"), F.col("a").alias("b"), F.col("bits").alias("bits_m"))
+    sizes = groups.select("grp", "n")
+    met = met.join(sizes, "grp").join(sizes.select(F.col("grp").alias("grp_m"), F.col("n").alias("m")), "grp_m")
+    fresh = met.join(one, ["grp", "root"]).join(two, ["grp_m", "other"]).where(_fits(percent, positions=False)).select("a", "b")
+    fresh = written(_pair(fresh).join(tried, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(written(_verified(fresh, sets, percent), "pair-links"))
+
+
+def _three_bands() -> Column:
+    return F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+
+
+def _pair(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs with the smaller class first."""
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _sets_of(docs: DataFrame, rows: DataFrame, members: DataFrame, width: int) -> DataFrame:
@@ -272,7 +290,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, members: DataFrame, width: int) -
     ids = rows.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     ids = written(ids, "set-ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
-    whole = docs.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets(width), "cls long, members binary")
+    whole = docs.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets(width), "cls long, members binary, bits array<long>")
     return whole.dropDuplicates(["cls"])
 
 

@@ -60,6 +60,16 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def row_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``size`` bytes of text; a longer text is its own."""
+    _, offsets = text_bytes(texts)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield at, end
+        at = end
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words in order, and each text's number of words."""
     data, offsets = text_bytes(texts)
