@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids up to this number (8 bytes each) are sent to every task; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,3 +37,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def without(docs: DataFrame, gone: DataFrame, same: Column | str) -> DataFrame:
+    """``docs`` without the rows that ``same`` finds in ``gone``, a written table of ids."""
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")

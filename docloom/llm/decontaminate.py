@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.base import without, written
+
 MASKS = ("11010111", "11110000101", "111011001")
 #: Tokens of a window, and how many of them may differ. An item shorter than the window is its own window.
 WINDOW, SUBSTITUTIONS = 13, 2
@@ -104,5 +106,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, subs
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; all columns and other rows stay."""
-    leaked = find_leaks(docs, benchmark, window, substitutions).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["_leaked"]), "left_anti")
+    leaked = written(find_leaks(docs, benchmark, window, substitutions).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
+    return without(docs, leaked, docs["doc_id"].eqNullSafe(leaked["_leaked"]))

@@ -15,11 +15,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.wordhash import text_bytes
+from docloom.llm.wordhash import row_slices, text_bytes
 
 UNDETERMINED = "und"
 #: Bytes that the layers read in one go, and windows that a task holds in one batch.
 WINDOW, BATCH = 128, 2048
+#: Text bytes that a task labels at once.
+SLICE_BYTES = 4 << 20
+#: The least score at which a filter keeps a text: below it, no language has a clear lead.
+LEAST_SCORE = 0.35
 #: Labelled rows of each language to learn from, and windows taken from each.
 SAMPLE_ROWS, SAMPLE_WINDOWS = 400, 3
 #: More labels than this are an error: the sample is their number times SAMPLE_ROWS.
@@ -190,6 +194,25 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS, seed: in
     return network
 
 
+def _labelled(network: Network | None, texts: pa.Array) -> tuple[list[str], np.ndarray, list[list[tuple[str, int]]]]:
+    """Each text's language, score and bytes by language."""
+    told = pc.fill_null(pc.match_substring_regex(texts.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    names, scores, given = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [[] for _ in range(len(texts))]
+    if network and told.any():
+        at = np.flatnonzero(told)
+        mean, n = network.texts(texts.take(pa.array(at)))
+        for i, own, of in zip(at, mean, n, strict=True):
+            names[i], scores[i] = network.languages[own.argmax()], min(1.0, own.max())
+            given[i] = [(lang, int(c)) for lang, c in zip(network.languages, of, strict=True) if c]
+    return names, scores, given
+
+
+def _pieces(batches):
+    for batch in batches:
+        for at, end in row_slices(batch.column("text"), SLICE_BYTES):
+            yield batch.slice(at, end - at)
+
+
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """doc_id, lang_pred, score (its mean probability over all bytes), lang_bytes (bytes given each language) for every row.
 
@@ -201,16 +224,19 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column("text")
-            told = pc.fill_null(pc.match_substring_regex(texts.cast(pa.large_string()), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            names, scores, given = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [[] for _ in range(len(texts))]
-            if network and told.any():
-                at = np.flatnonzero(told)
-                mean, n = network.texts(texts.take(pa.array(at)))
-                for i, own, of in zip(at, mean, n, strict=True):
-                    names[i], scores[i] = network.languages[own.argmax()], min(1.0, own.max())
-                    given[i] = [(lang, int(c)) for lang, c in zip(network.languages, of, strict=True) if c]
+        for batch in _pieces(batches):
+            names, scores, given = _labelled(network, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), pa.array(scores), pa.array(given, pa.map_(pa.string(), pa.int64()))], names=["doc_id", "lang_pred", "score", "lang_bytes"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, lang_bytes map<string,bigint>")
+
+
+def keep_identified(docs: DataFrame, network: Network | None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` (all columns; one is text) whose language is determined with a score of ``least`` or more."""
+
+    def run(batches):
+        for batch in _pieces(batches):
+            names, scores, _ = _labelled(network, batch.column("text"))
+            yield batch.filter(pa.array((np.array(names) != UNDETERMINED) & (scores >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

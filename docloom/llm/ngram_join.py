@@ -20,14 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import written
+from docloom.llm.base import BROADCAST_IDS, without, written
 from docloom.llm.components import components
 from docloom.llm.wordhash import mix, row_slices, scatter, word_hashes
 
 #: Bytes of text behind one bucket of shingles, about four times the bucket's own size.
 BUCKET_BYTES = 16 << 20
-#: Class keys up to this number (8 bytes each) are sent to every task; more are joined by a shuffle.
-BROADCAST_KEYS = 500_000
 #: Text bytes whose shingles a task holds at once.
 SLICE_BYTES = 8 << 20
 #: 64-bit words of a set's bitmap.
@@ -289,7 +287,7 @@ def _sets_of(docs: DataFrame, rows: DataFrame, members: DataFrame, width: int) -
     """cls, members: the whole sets of the classes in ``members``, each read from one of its documents."""
     ids = rows.join(members.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     ids = written(ids, "set-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     whole = docs.join(ids, "doc_id", "left_semi").mapInArrow(_whole_sets(width), "cls long, members binary, bits array<long>")
     return whole.dropDuplicates(["cls"])
 
@@ -298,3 +296,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
     y = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_similar(percent), "a long, b long")
+
+
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group of similar ones, that of the smallest doc_id; rows of null ids stay."""
+    joined = written(join_ngrams(docs, width, percent), "ngram-join")
+    return without(docs, written(joined.where("doc_id <> component_id").select("doc_id").distinct(), "copies"), "doc_id")

@@ -1,6 +1,6 @@
 """Operator 2, token-ID / binary output: patched frame-of-reference blocks.
 
-A segment holds the ids of consecutive documents, in ascending order of doc_id. Its ids are cut into blocks of 128. From
+A segment holds the ids of consecutive documents, in ascending order of doc_id or of other columns. Its ids are cut into blocks of 128. From
 each block its minimum is subtracted; the differences are packed at the width that a percentile of them fits, and those
 that do not fit go to the block's list of exceptions whole. An index in front holds where each block begins.
 
@@ -234,16 +234,19 @@ def _encode(path: Callable[[], str] | str, end_id: int) -> Callable[[Iterator[pa
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] | str, end_id: int = END_ID) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] | str, end_id: int = END_ID, order: list[str] | None = None) -> DataFrame:
     """Writes the ids of all texts of ``docs`` (doc_id, text) below ``path`` and returns the written table of segments.
 
+    Documents come in ascending order of the columns ``order``, or of doc_id.
+
     ``tokenizer`` is the tokenizer's file, or a function that finds it on an executor. Null texts are empty and have the
     end id alone. Rows of one doc_id come in the order of their texts' hashes; rows with a null doc_id are left out, as
     they have no place in the order. Other columns are not read. An empty table writes no segment.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
+    order = order or ["doc_id"]
+    keys = {f"_{i}": F.col(c) for i, c in enumerate(order)} | {"_tie": F.xxhash64("text")}
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[c.alias(k) for k, c in keys.items()])
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     segments = ordered.mapInArrow(_encode(tokenizer, end_id), "shard int, number int, n_ids long, segment binary")
     segments.write.parquet(path)
     return docs.sparkSession.read.schema(segments.schema).parquet(path)
