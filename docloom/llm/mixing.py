@@ -80,17 +80,22 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, default_
     """
     weights = weights or {}
     docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_position")
-    keyed = docs.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("_key", order_key(F.col("doc_id")))
+    # inside, the columns have names that no others can have
+    names, kinds = docs.columns, [kind for _, kind in docs.dtypes]
+    own = [f"_c{i}" for i in range(len(names))]
+    docs = docs.toDF(*own)
+    doc_id, source = F.col(own[names.index("doc_id")]), F.col(own[names.index("source")])
+    keyed = docs.withColumn("mix_source", F.coalesce(source.cast("string"), F.lit(""))).withColumn("_key", order_key(doc_id))
     counted = {r["mix_source"]: r["n"] for r in keyed.groupBy("mix_source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     digits = 1
     while sum(counted.values()) > GROUP_ROWS * 16**digits:
         digits += 1
-    own = {s: weights.get(s, default_weight) for s in counted}
-    if sum(own.values()) > MAX_PERIOD or min(own.values(), default=1) < 1:
+    shares = {s: weights.get(s, default_weight) for s in counted}
+    if sum(shares.values()) > MAX_PERIOD or min(shares.values(), default=1) < 1:
         raise ValueError(f"weights must be positive and their sum at most {MAX_PERIOD}")
-    phases, slots = plan({s: -(-n // block_rows) for s, n in counted.items()}, own)
+    phases, slots = plan({s: -(-n // block_rows) for s, n in counted.items()}, shares)
 
     if len(slots) > MAX_SLOTS:
         raise ValueError(f"the schedule needs more than {MAX_SLOTS} slots: use smaller weights")
@@ -99,7 +104,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, default_
     sizes = keyed.groupBy("mix_source", "_group").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("mix_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("mix_source", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    ties = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    ties = F.xxhash64(*[F.col(c) for c, kind in zip(own, kinds, strict=True) if "map<" not in kind and "variant" not in kind])
     inside = Window.partitionBy("mix_source", "_group").orderBy("_key", ties)
     placed = (
         keyed.withColumn("_row", F.row_number().over(inside) - 1)
@@ -116,7 +121,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, default_
     found = found.join(F.broadcast(s), ["_source", "phase", "k"])
     slot = F.col("base") + F.floor((block - F.col("low")) / F.col("weight")) * F.col("period") + F.col("slot")
     return found.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *[F.col(c).alias(name) for c, name in zip(own, names, strict=True)],
         "mix_source",
         "mix_block",
         slot.alias("mix_slot"),

@@ -72,7 +72,10 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url
     """
     spark = pages.sparkSession
     pages = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url_col])
-    told = F.coalesce(F.col(url_col), F.lit(""))
+    # inside, the columns have names that no others can have
+    names = pages.columns
+    pages = pages.toDF(*[f"_c{i}" for i in range(len(names))])
+    told = F.coalesce(F.col(f"_c{names.index(url_col)}").cast("string"), F.lit(""))
     judged = pages.select(told.alias("_url")).distinct()
     judged = judged.select("_url", url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path"))
     judged = judged.withColumn("_subject", F.concat("host", "path"))
@@ -109,4 +112,5 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url
         F.when(best["_named"], best["_rule"]).alias("rule"),
         F.coalesce(best["_verdict"], F.lit(default)).alias("verdict"),
     )
-    return pages.withColumn("_url", told).join(verdicts, "_url", "left").drop("_url")
+    rows = pages.withColumn("_url", told).join(verdicts, "_url", "left")
+    return rows.select(*[F.col(f"_c{i}").alias(name) for i, name in enumerate(names)], "host", "path", "rule", "verdict")
