@@ -92,4 +92,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_decontaminate, op2_token_file, op3_mix_sources, op4_language_id, op5_lm_score, op6_license_scan, op7_vector_tree, op8_url_filter, op9_ngram_join, op10_chat_format)
 }
-ORACLES: dict[str, str] = {"op6_license_scan": license_scan.oracle_sql()}
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The url filter in SQL: host rules by their suffix and prefix, then the patterns' regular expressions.
+_URL_SQL = f"""
+    WITH p AS (SELECT page_id, {_LOWERED.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    r AS (SELECT rule, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS f, verdict FROM (VALUES {", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)}) AS v(rule, verdict)),
+    b AS (SELECT page_id, max(struct_pack(n := length(rule), rule := rule, verdict := verdict)) AS b FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, f) GROUP BY 1)
+    SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, CASE WHEN regexp_matches(host || path, '(?i)/ads/|/login(^|$|[^a-z0-9])|/tracker/') THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN b USING (page_id)
+"""
+ORACLES: dict[str, str] = {
+    "op1_decontaminate": decontaminate.oracle_sql(),
+    "op6_license_scan": license_scan.oracle_sql(),
+    "op8_url_filter": _URL_SQL,
+    "op9_ngram_join": ngram_join.oracle_sql(),
+    "op10_chat_format": chat_format.oracle_sql(),
+}

@@ -127,3 +127,24 @@ def read_back(chats: DataFrame) -> DataFrame:
             F.length("formatted").cast("long").alias("formatted_chars"),
         )
     )
+
+
+def oracle_sql(loss_role: str = "assistant") -> str:
+    """DuckDB SQL for the digests of ``conversations`` and one more, taken from the source; lengths follow the template."""
+    replaced = lambda text, pairs: reduce(lambda t, p: f"replace({t}, {p[0]}, {p[1]})", pairs, text)
+    sql = lambda c: "chr(10)" if c == "\n" else f"'{c}'"
+    shut = [("'&'", "'&amp;'"), *((f"'{c}'", f"'{dict(ESCAPES)[c[0]] + c[1:]}'") for c in CONTROL)]
+    opened = [(f"'{e}'", sql(c)) for c, e in ESCAPES]
+    held = " OR ".join(f"contains(role || chr(10) || text, '{c}')" for c in CONTROL)
+    odd = f"{held} OR contains(role, chr(10)) OR {replaced('text', opened)} <> text OR {replaced('role', opened)} <> role"
+    escaped = f"CASE WHEN odd THEN {replaced('text', shut)} ELSE text END"
+    role = f"CASE WHEN odd THEN {replaced('role', [*shut, ('chr(10)', chr(39) + '&#10;' + chr(39))])} ELSE role END"
+    return f"""
+    WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+    o AS (SELECT *, ({odd}) AS odd FROM t),
+    f AS (SELECT *, {len(OPEN) + len(CLOSE) + 2} + length({role}) + length({escaped}) AS n FROM o),
+    g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{loss_role}'), '') AS loss, sum(n) AS chars FROM f GROUP BY 1)
+    SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g
+    """

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from docloom.llm.base import without, written
 
 MASKS = ("11010111", "11110000101", "111011001")
-#: Tokens of a window, and how many of them may differ. An item shorter than the window is its own window.
+#: Tokens of a window, and how many of them may differ. An item shorter than the window must stand there whole.
 WINDOW, SUBSTITUTIONS = 13, 2
 #: Benchmarks of up to so many tokens are sent to every task (under 100 bytes each, three seeds a token); larger ones are shuffled.
 BROADCAST_TOKENS = 200_000
@@ -99,7 +99,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, subs
     hits = hits.select("doc_id", "item_id", (F.col("_at") - pos).alias("_shift"), equal.alias("_equal"), width.alias("_width"), size.alias("_size"))
     sums = F.transform(F.sequence(F.lit(1), F.size("_equal") - F.col("_width") + 1), lambda i: F.aggregate(F.slice("_equal", i, F.col("_width")), F.lit(0), lambda n, x: n + x))
     hits = hits.select("doc_id", "item_id", "_shift", F.array_max(sums).alias("_matched"), "_width", "_size")
-    leaks = hits.where(F.col("_matched") >= F.col("_width") - F.floor(F.col("_width") * substitutions / window))
+    leaks = hits.where(F.col("_matched") >= F.col("_width") - F.when(F.col("_width") < window, 0).otherwise(substitutions))
     best = leaks.groupBy("doc_id", "item_id").agg(F.max(F.struct("_matched", (-F.col("_shift")).alias("_before"), "_width", "_size")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b._matched").alias("window_matched"), F.col("b._width").alias("window_tokens"), F.col("b._size").alias("n_tokens"), (-F.col("b._before")).alias("doc_start"))
 
@@ -108,3 +108,17 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sub
     """``docs`` without the documents that hold a benchmark passage; all columns and other rows stay."""
     leaked = written(find_leaks(docs, benchmark, window, substitutions).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
     return without(docs, leaked, docs["doc_id"].eqNullSafe(leaked["_leaked"]))
+
+
+def oracle_sql(window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> str:
+    """DuckDB SQL for ``find_leaks``: all equal tokens of documents and items by shift, without seeds."""
+    shortest = min(map(len, MASKS))
+    tokens_ = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
+    return f"""
+    WITH d AS (SELECT doc_id, unnest(t) AS t, unnest(range(0, len(t))) AS i FROM (SELECT doc_id, {tokens_} AS t FROM documents)),
+    b AS (SELECT item_id, len(t) AS n, unnest(t) AS t, unnest(range(0, len(t))) AS j FROM (SELECT item_id, {tokens_} AS t FROM benchmark) WHERE len(t) >= {shortest}),
+    m AS (SELECT doc_id, item_id, n, least(n, {window}) AS width, i - j AS shift, j FROM d JOIN b USING (t)),
+    w AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j RANGE BETWEEN CURRENT ROW AND {window - 1} FOLLOWING) AS matched FROM m),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, shift) AS r FROM w WHERE matched >= width - CASE WHEN width < {window} THEN 0 ELSE {substitutions} END)
+    SELECT doc_id, item_id, CAST(matched AS INTEGER) AS window_matched, CAST(width AS INTEGER) AS window_tokens, CAST(n AS INTEGER) AS n_tokens, CAST(shift AS INTEGER) AS doc_start FROM r WHERE r = 1
+    """

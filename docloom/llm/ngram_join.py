@@ -302,3 +302,19 @@ def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of similar ones, that of the smallest doc_id; rows of null ids stay."""
     joined = written(join_ngrams(docs, width, percent), "ngram-join")
     return without(docs, written(joined.where("doc_id <> component_id").select("doc_id").distinct(), "copies"), "doc_id")
+
+
+def oracle_sql(width: int = 3, percent: int = 90) -> str:
+    """DuckDB SQL for ``join_ngrams``: pairs by common shingles, and their components by recursion."""
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({lowered}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= {width} THEN list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) WHEN len(w) > 0 THEN [len(w) || ':' || array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), k AS (SELECT g FROM s GROUP BY 1 HAVING count(*) > 1),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM (SELECT * FROM s SEMI JOIN k USING (g)) a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+    u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    r AS (SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT u.b, r.low FROM r JOIN u ON u.a = r.node),
+    l AS (SELECT node, min(low) AS low FROM r GROUP BY 1)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, l.low AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN l ON l.node = d.doc_id
+    """
