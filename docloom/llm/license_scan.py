@@ -36,9 +36,12 @@ def normalised(text: Column) -> Column:
 
 
 def _bigrams(words: Column) -> Column:
-    """The distinct pairs of neighbouring words."""
-    pairs = F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
-    return F.array_distinct(F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    """The distinct pairs of neighbouring words. The words are bound to a name, so that they are made once for all pairs."""
+
+    def pairs(w: Column) -> Column:
+        return F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
+
+    return F.array_distinct(F.get(F.transform(F.array(words), pairs), F.lit(0)))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, percent: int = PERCENT) -> DataFrame:
@@ -63,7 +66,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, perc
     lines = lines.select("doc_id", "line", words.alias("words"))
     least = (sizes[0] or 0) * percent / (200 - percent)
     lines = lines.where((F.size("words") > 1) & (F.size("words") - 1 >= least) & (F.size(F.array_distinct("words")) - 1 <= (sizes[1] or 0) * (200 - percent) / percent))
-    lines = lines.select("doc_id", "line", _bigrams(F.col("words")).alias("grams")).select("doc_id", "line", F.size("grams").alias("n_line"), F.explode("grams").alias("gram"))
+    lines = lines.select("doc_id", "line", _bigrams(F.col("words")).alias("grams")).select("doc_id", "line", F.size("grams").alias("n_line"), F.explode_outer("grams").alias("gram"))  # outer: no filter is inferred, which would make all bigrams twice
     fits = (F.col("n_line") * (200 - percent) >= F.col("n_template") * percent) & (F.col("n_template") * (200 - percent) >= F.col("n_line") * percent)
     met = lines.join(send(index), "gram").where(fits).select("doc_id", "line", "n_line", "license", "n_template", "gram").distinct()
     found = met.groupBy("doc_id", "line", "n_line", "license", "n_template").agg(F.count("*").alias("common"))
