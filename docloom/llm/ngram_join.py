@@ -25,9 +25,11 @@ from docloom.llm.components import components
 from docloom.llm.wordhash import mix, row_slices, scatter, word_hashes
 
 #: Bytes of text behind one bucket of shingles, about four times the bucket's own size.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Text bytes whose shingles a task holds at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Pairs whose sets a task holds at once.
+PAIR_ROWS = 256
 #: 64-bit words of a set's bitmap.
 BITMAP_WORDS = 8
 
@@ -173,7 +175,7 @@ def _whole_sets(width: int):
 
 def _similar(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, PAIR_ROWS) for whole in batches for at in range(0, len(whole), PAIR_ROWS)):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -29,9 +29,9 @@ BLOCK, PERCENTILE = 128, 90
 #: A segment is closed when it holds so many ids (a document is never split).
 SEGMENT_IDS = 1 << 18
 #: Distinct pieces of text whose ids a worker keeps (under 100 bytes each).
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 500_000
 #: Text bytes that are encoded at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Words that the library gets in one string.
 LINE_PIECES = 500
 END_ID = 2
