@@ -23,7 +23,7 @@ from docloom.llm.base import written
 #: Vectors that the tree is fitted on, at most; the sample's queries, for calibration.
 SAMPLE, SAMPLE_QUERIES = 20_000, 200
 #: Children of a node; vectors of a leaf (of the sample) and on a shelf, at most.
-BRANCHES, LEAF, SHELF = 8, 128, 50_000
+BRANCHES, LEAF, SHELF = 8, 128, 4096
 #: The share of the true neighbours that the sample's queries must find. The wanted recall is 0.9.
 CALIBRATED_RECALL = 0.97
 
@@ -180,8 +180,8 @@ def _search(k: int):
                     for i, j in zip(*np.nonzero(scores >= least), strict=True):
                         found.setdefault(rows[at + i], []).extend((-scores[i, j], v) for v in ids[own[j]])
         number = queries.column("query").to_pylist()
-        rows = [(number[row], v, -score) for row, own in found.items() for score, v in heapq.nsmallest(k, own)]
-        return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query", "vec_id", "score"])
+        best = [[{"far": score, "vec_id": v} for score, v in heapq.nsmallest(k, own)] for own in found.values()]
+        return pa.table([pa.array([number[row] for row in found], pa.int64()), pa.array(best, pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))], names=["query", "found"])
 
     return run
 
@@ -202,7 +202,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, leaf: int = LEAF, r
     rows = rows.where(F.exists("vector", lambda x: x != 0))
     # equal vectors once, with the ids that any query can return: k, and one more for the query's own
     few = Window.partitionBy("vector").orderBy("vec_id")
-    base = rows.select("vector", "vec_id").withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= k + 1)
+    base = rows.select("vector", "vec_id").distinct().withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= k + 1)
     base = written(base.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
 
     n = base.count()
@@ -216,17 +216,17 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, leaf: int = LEAF, r
     filed = written(base.mapInArrow(_filed(tree), "vector array<double>, ids array<long>, leaf int"), "vector-leaves")
     # one row for each leaf of the tree, whose size the sample bounds
     counts = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    places = shelves(counts, max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // SHELF)))
+    places = shelves(counts, -(-n // SHELF))
     own_shelves = F.create_map(*[x for leaf, on in places.items() for x in (F.lit(leaf), F.array(*map(F.lit, on)))])[F.col("leaf")]
     members = filed.select(F.get(own_shelves, F.pmod(F.xxhash64("vector"), F.size(own_shelves)).cast("int")).alias("shelf"), "leaf", "vector", "ids")
     # equal queries walk once; the smallest id stands for them
     asks = rows.where("asks").groupBy("vector").agg(F.min("vec_id").alias("query"))
     visits = asks.select("query", "vector").mapInArrow(_visited(tree, places), "query long, vector array<double>, shelf int, leaves array<int>")
-    found = visits.groupBy("shelf").cogroup(members.groupBy("shelf")).applyInArrow(_search(k + 1), "query long, vec_id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    found = found.distinct().withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+    found = visits.groupBy("shelf").cogroup(members.groupBy("shelf")).applyInArrow(_search(k + 1), "query long, found array<struct<far:double,vec_id:long>>")
+    # a query has k + 1 ids at most from each of its shelves
+    found = found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
     # every row that asks gets its vector's neighbours, without itself
     own = rows.where("asks").join(asks, "vector").select(F.col("vec_id").alias("query_id"), "query").distinct()
-    told = own.join(found, "query").where(F.col("vec_id") != F.col("query_id"))
+    told = own.join(found, "query").select("query_id", F.inline("found")).where(F.col("vec_id") != F.col("query_id")).withColumn("score", -F.col("far"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return told.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
