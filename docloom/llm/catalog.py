@@ -51,7 +51,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learnt from two folds of three."""
     docs = table(spark, sf_dir, "documents")
     network = language_id.fit(docs, F.coalesce(fold(3) != 1, F.lit(False)))
-    return language_id.identify(docs, network).withColumn("held_out", F.coalesce(fold(3) == 1, F.lit(False)))
+    return language_id.identify(docs, network).select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
