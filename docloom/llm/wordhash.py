@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes that are hashed at once; bounds the memory beside the batch itself (about 30 bytes for each).
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
