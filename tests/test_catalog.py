@@ -24,7 +24,7 @@ def con():
 
 def bag(df: pd.DataFrame) -> Counter:
     def told(v):
-        if v is None or v is pd.NaT or v != v:
+        if pd.isna(v):
             return "null"
         return repr(round(float(v), 6)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
