@@ -238,7 +238,9 @@ def _links(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, width: int, pe
     groups = grouped.groupBy("grp").agg(F.count("*").alias("k"), F.min("cls").alias("first"), F.first("n").alias("n"), F.first("n_alone").alias("n_alone"), F.first("prefix").alias("prefix"))
     entries = groups.select("grp", "k", "first", "n", "n_alone", F.posexplode("prefix").alias("i", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
-    entries = written(entries.join(shared, "token"), "prefix-index")
+    # a group of several keeps its first token, at which members of different roots meet, even if no other group has it
+    inner = entries.where("k > 1 AND i = 0").select("token")
+    entries = written(entries.join(shared.unionByName(inner).distinct(), "token"), "prefix-index")
     several = groups.where("k > 1").select("grp")
     members = grouped.join(entries.select("grp").unionByName(several).distinct(), "grp", "left_semi").select("grp", "cls")
     members = written(members, "group-members")

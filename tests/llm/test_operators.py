@@ -389,6 +389,25 @@ def test_joins_equal_brute_force(spark, width, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == _joined(rows, width, percent)
 
 
+def test_members_of_one_group_meet_without_its_first(spark):
+    rows, least = [], set()
+    for g in range(12):  # the class keys, and with them the first of a group, depend on the words
+        p, x, y = ([f"{name}{g}n{i}" for i in range(100)] for name in "pxy")
+        own = {"a": [*p, f"d{g}", *y], "b": [*x, f"b{g}", *p], "c": [*p, f"c{g}", *x]}
+        texts = {name: " ".join(w) for name, w in own.items()}
+        sets = ngram_join.shingle_sets(pa.array(texts.values()), 1)
+        least.add(min(zip(map(ngram_join.class_key, sets), texts, strict=True))[1])
+        for t in texts.values():
+            rows.append((len(rows), t))
+        for side in (x, y):  # x and y stand in six other documents, so that the words of p are the rarest
+            for k in range(6):
+                rows.append((len(rows), " ".join([*side, *(f"o{g}{side[0]}{k}w{i}" for i in range(60))])))
+    assert least == {"a", "b", "c"}
+    for width in (1, 3):
+        out = ngram_join.join_ngrams(frame(spark, [(i, t, "en", "s") for i, t in rows]), width, 90).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == _joined(rows, width, 90)
+
+
 def test_join_of_nothing_and_null_ids(spark):
     assert ngram_join.join_ngrams(frame(spark, [])).count() == 0
     rows = [(None, "a b c d", "en", "s"), (5, "a b c d", "en", "s"), (4, "a b c d", "en", "s")]
