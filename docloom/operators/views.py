@@ -54,14 +54,19 @@ def latest_per_key(df: DataFrame, key: str, when: str, fields: list[str]) -> Dat
     return df.groupBy(key).agg(best.alias("_best")).select(key, F.col(f"_best.{when}").alias(when), *[F.col(f"_best.{f}").alias(f) for f in fields])
 
 
-def ancestors(chain: DataFrame, starts: DataFrame, key: str, previous: str, steps: int = 64) -> DataFrame:
-    """Keys of ``starts`` and of everything before them, by following ``previous``. Each step joins only what is new."""
-    found = starts.select(key).distinct()
-    edge = found
-    for _ in range(steps):
-        back = chain.join(edge, key, "left_semi").where(F.col(previous).isNotNull()).select(F.col(previous).alias(key))
-        edge = checkpointed(back.join(found, key, "left_anti").distinct())
-        if edge.isEmpty():
-            break
-        found = found.unionByName(edge)
-    return found
+def ancestors(chain: DataFrame, starts: DataFrame, key: str, previous: str) -> DataFrame:
+    """Keys of ``starts`` and of everything before them, by following ``previous``, however long the chain.
+
+    ``back`` leads twice as many steps back in each round, so rounds are about the logarithm of the chain's length; they end
+    when a round finds nothing new, which holds for circles too.
+    """
+    back = checkpointed(chain.select(key, previous).where(F.col(key).isNotNull() & F.col(previous).isNotNull()).distinct())
+    found = checkpointed(starts.select(key).distinct())
+    while True:
+        met = found.join(back, key).select(F.col(previous).alias(key))
+        new = checkpointed(met.join(found, key, "left_anti").distinct())
+        if new.isEmpty():
+            return found
+        found = checkpointed(found.unionByName(new))
+        first = back.select(F.col(key).alias("_from"), F.col(previous).alias(key))
+        back = checkpointed(first.join(back, key).select(F.col("_from").alias(key), previous).distinct())

@@ -154,6 +154,15 @@ def test_lineages(spark):
     assert {r.id: r.previous for r in moved.collect()} == {"A": None, "B": "D", "C": "A", "D": None, "E": "B", "F": "E"}
 
 
+def test_long_chains_and_lineages_are_followed_to_their_ends(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i > 1 else None) for i in range(1, 301)] + [(401, 402), (402, 403), (403, 401)], "id long, previous long")
+    assert keys(views.ancestors(chain, chain.where("id = 300"), "id", "previous")) == list(range(1, 301))
+    assert keys(views.ancestors(chain, chain.where("id IN (5, 250, 402)"), "id", "previous")) == [*range(1, 251), 401, 402, 403]
+    path = [1, *range(160, 1, -1)]  # the least node beside the greatest, the others falling to the far end
+    labels = lineage.component_labels(chain.where("id <= 160"), spark.createDataFrame(list(zip(path, path[1:])), "a long, b long"), "id")
+    assert {r.lineage for r in labels.collect()} == {1}
+
+
 def test_differences(spark):
     pages = spark.createDataFrame([(1, 0, ["a", "foot"]), (1, 1, ["foot", "b"]), (2, 0, ["x"])], "id int, page int, lines array<string>")
     assert {r.id: r.text for r in diff.blank_footers(pages, "id", "page", "lines").collect()} == {1: "a\n    \f    \nb", 2: "x"}
