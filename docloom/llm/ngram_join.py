@@ -1,9 +1,9 @@
 """Operator 9, n-gram Jaccard join: a grouped prefix join.
 
 1. Every text becomes its set of word shingles; equal sets are one class, however many copies there are.
-2. Shingles are dealt out to buckets in packed chunks, which count in how many classes each occurs. The order of a class's
-   shingles is by that count, rarest first. Two sets of a similarity of t or more share one of their first
-   n - ceil(t n) + 1 shingles; those in one class only cannot be shared, so most classes have no prefix left to index.
+2. One document stands for each class. Blocks of them ask in how many classes each of their shingles occurs (``keycounts``).
+   The order of a class's shingles is by that count, rarest first. Two sets of a similarity of t or more share one of their
+   first n - ceil(t n) + 1 shingles; those in one class only cannot be shared, so most classes have no prefix left to index.
 3. Classes with the same prefix and size are one group. Groups that share a prefix shingle are paired with that shingle's
    leader first, verified and linked; then only groups of different components are paired with each other. Sizes, the
    shared shingle's positions and, for groups of one class, bitmaps of the sets filter the pairs: the bits in which two
@@ -17,15 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.base import BROADCAST_IDS, without, written
 from docloom.llm.components import components
-from docloom.llm.wordhash import mix, row_slices, scatter, word_hashes
-
-#: Bytes of text behind one bucket of shingles, about four times the bucket's own size.
-BUCKET_BYTES = 8 << 20
+from docloom.llm.keycounts import ASK_DDL, Layout, no_stats, totals
+from docloom.llm.wordhash import mix, row_slices, word_hashes
+
+#: Bytes of text in one block, and behind one bucket of the shingles' counts.
+BLOCK_BYTES = 8 << 20
+#: Bits of a shingle's hash that are counted and indexed. Shingles that share them count as often as they do together, in
+#: every class alike; so they change the order of shingles, and what is verified, but no link.
+PRINT_BITS = 48
 #: Text bytes whose shingles a task holds at once.
 SLICE_BYTES = 4 << 20
 #: Pairs whose sets a task holds at once.
@@ -84,81 +89,62 @@ def _classes(width: int):
     return run
 
 
-def _chunks(width: int, n_buckets: int):
-    """(bucket, n, classes, sizes, lengths, prints): 32 bits of each shingle beside its bucket; ``n`` rows of a class follow each other."""
-
-    def run(batches):
-        for batch in _pieces(batches):
-            own = {class_key(s): s for s in shingle_sets(batch.column("text"), width) if len(s)}
-            if not own:
-                continue
-            sizes = np.array([len(s) for s in own.values()], np.int64)
-            which = np.repeat(np.arange(len(own)), sizes)
-            every = np.concatenate(list(own.values()))
-            keys = np.array(list(own), np.int64)
-            rows = []
-            for bucket, (cls, prints) in scatter((every >> np.uint64(32)).astype(np.int64) % n_buckets, n_buckets, which, every.astype(np.uint32)):
-                there, lengths = np.unique(cls, return_counts=True)
-                rows.append((bucket, keys[there].tobytes(), sizes[there].astype(np.uint32).tobytes(), lengths.astype(np.uint32).tobytes(), prints.tobytes()))
-            yield pa.RecordBatch.from_pylist([dict(zip(_CHUNK.names, r, strict=True)) for r in rows], schema=_CHUNK)
-
-    return run
-
+def _block(table: pa.Table, width: int) -> dict[int, np.ndarray]:
+    """The sets of the classes that a block stands for, by key. Rows with a class name the documents to take them from."""
+    cls = table.column("cls")
+    named = table.filter(pc.is_valid(cls))
+    wanted = set(zip(named.column("doc_id").to_pylist(), named.column("cls").to_pylist(), strict=True))
+    docs = table.filter(pc.is_null(cls))
+    docs = docs.filter(pc.is_in(docs.column("doc_id"), named.column("doc_id").combine_chunks()))
+    own = {}
+    for part in _pieces(docs.select(["doc_id", "text"]).combine_chunks().to_batches()):
+        for doc_id, found in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), width), strict=True):
+            if (doc_id, key := class_key(found)) in wanted:
+                own[key] = found
+    return dict(sorted(own.items()))
 
-_CHUNK = pa.schema([("bucket", pa.int32()), ("classes", pa.binary()), ("sizes", pa.binary()), ("lengths", pa.binary()), ("prints", pa.binary())])
-_SHARED = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("classes", pa.binary()), ("sizes", pa.binary()), ("prints", pa.binary()), ("seen", pa.binary())])
-_PREFIX = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("n_alone", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
+def _prints(sets: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of the sets, and their prints."""
+    every = np.concatenate([*sets.values(), np.empty(0, np.uint64)])
+    return every, every >> np.uint64(64 - PRINT_BITS)
 
-def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
-
-def _count(n_buckets: int):
-    """Of a bucket's shingles, those in two classes or more, dealt out by class."""
+def _ask(width: int, layout: Layout):
+    """The prints of a block, with the number of its classes that hold each."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        lengths = _joined(table, "lengths", np.uint32)
-        classes = np.repeat(_joined(table, "classes", np.int64), lengths)
-        sizes = np.repeat(_joined(table, "sizes", np.uint32), lengths)
-        prints = _joined(table, "prints", np.uint32)
-        order = np.lexsort((classes, prints))
-        classes, sizes, prints = classes[order], sizes[order], prints[order]
-        first = np.append(True, (classes[1:] != classes[:-1]) | (prints[1:] != prints[:-1]))  # copies count once
-        classes, sizes, prints = classes[first], sizes[first], prints[first]
-        _, at, seen = np.unique(prints, return_inverse=True, return_counts=True)
-        seen = seen[at]
-        many = seen > 1
-        classes, sizes, prints, seen = classes[many], sizes[many], prints[many], seen[many].astype(np.uint32)
-        rows = [
-            (part, bucket, *(c.tobytes() for c in columns))
-            for part, columns in scatter((classes.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64), n_buckets, classes, sizes, prints, seen)
-        ]
-        return pa.Table.from_pylist([dict(zip(_SHARED.names, r, strict=True)) for r in rows], schema=_SHARED)
+        keys, counts = np.unique(_prints(_block(table, width))[1], return_counts=True)
+        return layout.asked(keys, counts, table.column("block")[0].as_py())
 
     return run
 
 
-def _prefixes(percent: int):
-    """Each class's indexed shingles in their order; classes with none are left out."""
+_PREFIX = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("n_alone", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+
 
-    def run(table: pa.Table) -> pa.Table:
-        classes, sizes = _joined(table, "classes", np.int64), _joined(table, "sizes", np.uint32).astype(np.int64)
-        prints, seen = _joined(table, "prints", np.uint32), _joined(table, "seen", np.uint32)
-        buckets = np.repeat(np.array(table.column("bucket").to_pylist(), np.int64), [len(x) // 8 for x in table.column("classes").to_pylist()])
-        tokens = (buckets << 32) | prints
-        order = np.lexsort((tokens, seen, classes))
-        classes, sizes, tokens = classes[order], sizes[order], tokens[order]
-        starts = np.flatnonzero(np.append(True, classes[1:] != classes[:-1]))
-        shared = np.diff(np.append(starts, len(classes)))
-        n = sizes[starts]
-        alone = n - shared
-        kept = np.clip(n + (-percent * n // 100) + 1 - alone, 0, shared)  # of n - ceil(t n) + 1, those that others have
+def _prefixes(width: int, percent: int, layout: Layout):
+    """Each class's indexed shingles in their order, as prints; classes with none are left out."""
+
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(table):
+            return _PREFIX.empty_table()
+        sets = _block(table, width)
+        every, prints = _prints(sets)
+        seen = layout.answered(answers)[0][np.unique(prints, return_inverse=True)[1]]
+        which = np.repeat(np.arange(len(sets)), [len(x) for x in sets.values()])
+        n = np.bincount(which, minlength=len(sets))
+        shared = seen > 1
+        every, prints, seen, which = every[shared], prints[shared], seen[shared], which[shared]
+        order = np.lexsort((every, seen, which))
+        n_shared = np.bincount(which, minlength=len(sets))
+        alone = n - n_shared
+        kept = np.clip(n + (-percent * n // 100) + 1 - alone, 0, n_shared)  # of n - ceil(t n) + 1, those that others have
+        starts = np.cumsum(n_shared) - n_shared
         has = kept > 0
         at = np.concatenate([np.arange(s, s + k) for s, k in zip(starts[has], kept[has], strict=True)] or [np.empty(0, np.int64)])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept[has])), pa.int32()), pa.array(tokens[at], pa.int64()))
-        return pa.Table.from_arrays([pa.array(classes[starts][has]), pa.array(n[has]), pa.array(alone[has]), lists], schema=_PREFIX)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(kept[has])), pa.int32()), pa.array(prints[order[at]].astype(np.int64)))
+        return pa.table([pa.array(np.array(list(sets), np.int64)[has]), pa.array(n[has]), pa.array(alone[has]), lists], schema=_PREFIX)
 
     return run
 
@@ -211,13 +197,17 @@ def join_ngrams(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(docs.mapInArrow(_classes(width), "doc_id long, n_shingles long, cls long"), "shingle-classes")
-    parts = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-parts // BUCKET_BYTES))
-
-    ids = docs.where("doc_id is not null")
-    chunks = ids.mapInArrow(_chunks(width, n_buckets), "bucket int, classes binary, sizes binary, lengths binary, prints binary")
-    shared = chunks.groupBy("bucket").applyInArrow(_count(n_buckets), "part int, bucket int, classes binary, sizes binary, prints binary, seen binary")
-    prefixes = shared.groupBy("part").applyInArrow(_prefixes(percent), "cls long, n long, n_alone long, prefix array<long>")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+    layout = Layout(n_blocks, n_blocks, PRINT_BITS)
+
+    # one document stands for each class; texts and the classes to read from them meet in blocks, in one exchange
+    first = rows.where("doc_id is not null AND n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    texts = docs.where("doc_id is not null").select("doc_id", "text", F.lit(None).cast("long").alias("cls"))
+    both = texts.unionByName(first.select("doc_id", F.lit(None).cast("string").alias("text"), "cls"))
+    blocks = both.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)))
+    answers = totals(blocks.groupBy("block").applyInArrow(_ask(width, layout), ASK_DDL), layout, no_stats)
+    prefixes = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_prefixes(width, percent, layout), "cls long, n long, n_alone long, prefix array<long>")
     prefixes = written(prefixes, "prefixes")
 
     links = _links(docs, rows, prefixes, width, percent)
@@ -303,9 +293,20 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of similar ones, that of the smallest doc_id; rows of null ids stay."""
+    """``docs`` with one document of each group of similar ones, that of the smallest doc_id.
+
+    Documents with a null id or without words are in no group and stay. Of rows that share a doc_id one stays, that of the
+    smallest hash of its columns. All columns stay; an empty table gives an empty table.
+    """
     joined = written(join_ngrams(docs, width, percent), "ngram-join")
-    return without(docs, written(joined.where("doc_id <> component_id").select("doc_id").distinct(), "copies"), "doc_id")
+    kept = without(docs, written(joined.where("doc_id <> component_id").select("doc_id").distinct(), "copies"), "doc_id")
+    again = written(joined.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    if again.isEmpty():
+        return kept
+    rows = kept.join(again, "doc_id", "left_semi").select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("_row"), F.col("doc_id").alias("_id"))
+    own = [F.col(f"_row.`{c}`") for c, kind in kept.dtypes if "map<" not in kind and "variant" not in kind]
+    one = rows.groupBy("_id").agg(F.min_by("_row", F.xxhash64(*own)).alias("_row")).select("_row.*")
+    return without(kept, again, "doc_id").unionByName(one)
 
 
 def oracle_sql(width: int = 3, percent: int = 90) -> str:
