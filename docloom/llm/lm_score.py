@@ -1,15 +1,16 @@
-"""Operator 5, LM scoring: a weighted backoff automaton over word bigrams.
+"""Operator 5, LM scoring: a weighted backoff automaton over word trigrams.
 
-States are the contexts: the root, the start of a text, and every word that the training texts hold. A state has an arc
-for each word seen behind it, weighted with its smoothed log-probability, and a failure arc to the root, weighted with
-what smoothing leaves for all others. One pass from left to right carries each text's state and adds up the weights.
+States are the contexts: the root, the start of a text, every word and every pair of words that the training texts hold.
+A state has an arc for each word seen behind it, weighted with its smoothed log-probability, and a failure arc to the state
+of its last word, or to the root, weighted with what smoothing leaves for all other words. One pass from left to right
+carries each text's state and adds up the weights.
 
-    arc(u, w)  = (c(u, w) + PRIOR * p(w)) / (c(u) + PRIOR)        failure(u) = PRIOR / (c(u) + PRIOR)
-    p(w)       = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+    arc(s, w)  = (c(s, w) + prior * p(w | shorter s)) / (c(s) + prior)        failure(s) = prior / (c(s) + prior)
+    p(w)       = (c(w) + 0.5) / (N + 0.5 * (V + 1)) at the root
 
-The corpus is cut into blocks of whole texts. A block asks for the counts of its distinct words and bigrams in packed
-chunks; each bucket of keys counts over all blocks and answers. So every block builds just the part of the automaton
-that its own texts can reach, and the model as a whole is nowhere in one place.
+The corpus is cut into blocks of whole texts. A block asks for the counts of its distinct words, bigrams and trigrams
+(``keycounts``) and builds just the part of the automaton that its own texts can reach; the model as a whole is nowhere in
+one place.
 """
 
 from __future__ import annotations
@@ -19,108 +20,98 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.wordhash import mix, scatter, word_hashes
+from docloom.llm.keycounts import ASK_DDL, Layout, totals
+from docloom.llm.wordhash import mix, word_hashes
 
 #: Text bytes of a block, and of what stands behind one bucket of keys.
-BLOCK_BYTES = 16 << 20
-#: The weight of the root's distribution in every state, in observations.
-PRIOR = 100.0
+BLOCK_BYTES = 8 << 20
+#: The weight of the shorter context's distribution, in observations: behind one word, and behind two.
+PRIORS = (100.0, 4.0)
 START, END = mix(np.array([1, 2], np.uint64))
+#: A word or sequence is told apart by 54 bits of its hash; two more bits of its key hold its length less one.
+KEY_BITS = 56
+
+
+def _keys(hashes: np.ndarray, kind: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - KEY_BITS)) & ~np.uint64(3) | np.uint64(kind)
 
 
 class _Block:
-    """A block's tokens (each text's words, then one end) and its distinct words and bigrams."""
+    """A block's tokens (each text's words, then one end) and its distinct words, bigrams and trigrams."""
 
     def __init__(self, table: pa.Table):
         words, counts = word_hashes(table.column("text"))
         self.lengths = counts + 1
         self.starts = np.cumsum(self.lengths) - self.lengths
         tokens = np.full(self.lengths.sum(), END, np.uint64)
-        ends = self.starts + counts
         inside = np.ones(len(tokens), bool)
-        inside[ends] = False
+        inside[self.starts + counts] = False
         tokens[inside] = words
+        self.words, self.word = np.unique(_keys(tokens, 0), return_inverse=True)
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
         before[self.starts] = START
-        self.words, self.word = np.unique(tokens, return_inverse=True)
-        # START stands behind all words
+        pairs = mix(before * np.uint64(3) + mix(tokens))
+        self.pairs, at, self.pair = np.unique(_keys(pairs, 1), return_index=True, return_inverse=True)
+        # a pair's context is the word before, or the start of a text, which stands behind all words
         context = np.empty(len(tokens), np.int64)
         context[1:] = self.word[:-1]
         context[self.starts] = len(self.words)
-        self.context = context
-        self.pairs, at, self.pair = np.unique(mix(before * np.uint64(3) + mix(tokens)), return_index=True, return_inverse=True)
         self.pair_context, self.pair_word = context[at], self.word[at]
-
-    def trained(self, held_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each word and bigram stands in the texts to learn from."""
+        # a trigram's context is the pair before; the first word of a text has none
+        self.long = np.ones(len(tokens), bool)
+        self.long[self.starts] = False
+        triples = mix(pairs[:-1] * np.uint64(5) + mix(tokens[1:]))[self.long[1:]]
+        self.triples, at, triple = np.unique(_keys(triples, 2), return_index=True, return_inverse=True)
+        self.triple = np.full(len(tokens), -1, np.int64)
+        self.triple[self.long] = triple
+        places = np.flatnonzero(self.long)[at]
+        self.triple_context, self.triple_pair = self.pair[places - 1], self.pair[places]
+        self.keys = np.concatenate([self.words, self.pairs, self.triples])
+        self.order = np.argsort(self.keys)
+
+    def trained(self, held_out: np.ndarray) -> np.ndarray:
+        """How often each key stands in the texts to learn from."""
         learn = np.repeat(~held_out, self.lengths)
-        return np.bincount(self.word[learn], minlength=len(self.words)), np.bincount(self.pair[learn], minlength=len(self.pairs))
-
-    def dealt(self, n_buckets: int, keys: np.ndarray, *columns: np.ndarray) -> dict[int, list[np.ndarray]]:
-        return dict(scatter((keys >> np.uint64(48)).astype(np.int64) % n_buckets, n_buckets, keys, *columns))
+        return np.concatenate(
+            [np.bincount(at[learn & (at >= 0)], minlength=len(keys)) for at, keys in ((self.word, self.words), (self.pair, self.pairs), (self.triple, self.triples))]
+        )
 
+    def split(self, told: np.ndarray) -> list[np.ndarray]:
+        """What was told about the keys in ascending order, by word, pair and triple."""
+        own = np.empty(len(told), np.int64)
+        own[self.order] = told
+        return np.split(own, [len(self.words), len(self.words) + len(self.pairs)])
 
-_NONE = (np.empty(0, np.uint64), np.empty(0, np.int64))
-_CHUNK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())])
-_ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("word_counts", pa.binary()), ("pair_counts", pa.binary())])
-
-
-def _ask(n_buckets: int):
-    """A block's keys with their counts. Bigrams go with 48 bits beside their bucket; every bucket gets a row."""
 
+def _ask(layout: Layout):
     def run(table: pa.Table) -> pa.Table:
         block = _Block(table)
-        word_counts, pair_counts = block.trained(np.array(table.column("held_out").to_pylist(), bool))
-        words = block.dealt(n_buckets, block.words, word_counts)
-        pairs = block.dealt(n_buckets, block.pairs, pair_counts)
-        number, rows = table.column("block")[0].as_py(), []
-        for bucket in range(n_buckets):
-            w, p = words.get(bucket, _NONE), pairs.get(bucket, _NONE)
-            short = np.ascontiguousarray(p[0]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-            rows.append((bucket, number, w[0].tobytes(), w[1].astype(np.int64).tobytes(), short, p[1].astype(np.int64).tobytes()))
-        return pa.Table.from_pylist([dict(zip(_CHUNK.names, r, strict=True)) for r in rows], schema=_CHUNK)
+        counts = block.trained(np.array(table.column("held_out").to_pylist(), bool))
+        return layout.asked(block.keys[block.order], counts[block.order], table.column("block")[0].as_py())
 
     return run
 
 
-def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of the counts of each key, by distinct key and at every place of ``keys``."""
-    _, at = np.unique(keys, return_inverse=True)
-    # weights are floats, which are exact up to 2**53
-    total = np.bincount(at, weights=counts).astype(np.int64) if len(keys) else np.empty(0, np.int64)
-    return total, total[at]
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """For each block, the counts over all blocks of the keys that it asked for; with the bucket's tokens and distinct words."""
-    words, pairs = table.column("words").to_pylist(), table.column("pairs").to_pylist()
-    read = lambda name: np.frombuffer(b"".join(table.column(name).to_pylist()), np.int64)
-    distinct, word_totals = _totals(np.frombuffer(b"".join(words), np.uint64), read("word_counts"))
-    short = np.frombuffer(b"".join(pairs), np.uint8).reshape(-1, 6)
-    keys = np.zeros((len(short), 8), np.uint8)
-    keys[:, :6] = short
-    _, pair_totals = _totals(keys.reshape(-1).view(np.uint64), read("pair_counts"))
-    split = lambda total, blobs, size: [x.tobytes() for x in np.split(total, np.cumsum([len(b) // size for b in blobs])[:-1])]
-    n = len(words)
-    return pa.Table.from_arrays(
-        [table.column("block"), table.column("bucket"), pa.array([int(distinct.sum())] * n, pa.int64()), pa.array([int((distinct > 0).sum())] * n, pa.int64()), pa.array(split(word_totals, words, 8), pa.binary()), pa.array(split(pair_totals, pairs, 6), pa.binary())],
-        schema=_ANSWER,
-    )
+def _training(keys: np.ndarray, counts: np.ndarray) -> list[int]:
+    """Of one bucket, the tokens and the distinct words of the training texts."""
+    words = counts[keys & np.uint64(3) == 0]
+    return [int(words.sum()), int((words > 0).sum())]
 
 
 class Automaton:
-    """The part of the automaton that a block's texts reach. Word -1 in a state's place is the root."""
-
-    def __init__(self, block: _Block, word_counts: np.ndarray, pair_counts: np.ndarray, n: int, v: int, prior: float):
-        root = (word_counts + 0.5) / (n + 0.5 * (v + 1))
-        starts = word_counts[block.words == END]
-        contexts = np.append(word_counts, starts[0] if len(starts) else 0)
-        self.root = np.log10(root)
-        self.failure = np.log10(prior / (contexts + prior))
-        self.is_state = contexts > 0
-        self.has_arc = pair_counts > 0
-        self.arc = np.log10((pair_counts + prior * root[block.pair_word]) / (contexts[block.pair_context] + prior))
+    """The part of the automaton that a block's texts reach. -1 stands for a state that is not there."""
+
+    def __init__(self, block: _Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, n: int, v: int, priors: tuple[float, float]):
+        root = (words + 0.5) / (n + 0.5 * (v + 1))
+        ends = words[block.words == _keys(np.array([END]), 0)[0]]
+        contexts = np.append(words, ends[0] if len(ends) else 0)
+        behind_one = (pairs + priors[0] * root[block.pair_word]) / (contexts[block.pair_context] + priors[0])
+        behind_two = (triples + priors[1] * behind_one[block.triple_pair]) / (pairs[block.triple_context] + priors[1])
+        self.root, self.pair_arc, self.triple_arc = np.log10(root), np.log10(behind_one), np.log10(behind_two)
+        self.has_pair_arc, self.has_triple_arc = pairs > 0, np.append(triples > 0, False)  # the last: no trigram
+        self.word_failure, self.pair_failure = np.log10(priors[0] / (contexts + priors[0])), np.log10(priors[1] / (pairs + priors[1]))
+        self.is_word, self.is_pair = contexts > 0, pairs > 0
 
     def traverse(self, block: _Block) -> np.ndarray:
         """Each text's log10 probability. All texts take a step at a time, the longest first, so that those left are a prefix."""
@@ -128,15 +119,20 @@ class Automaton:
         starts, lengths = block.starts[order], block.lengths[order]
         left = np.searchsorted(-lengths, -np.arange(lengths.max(initial=0)), side="left")
         total = np.zeros(len(order))
-        state = np.full(len(order), len(self.is_state) - 1)  # the start of a text
-        state[~self.is_state[state]] = -1
+        # a state is a pair, or else a word, or else the root
+        by_pair = np.full(len(order), -1)
+        by_word = np.full(len(order), len(self.is_word) - 1 if self.is_word[-1] else -1)  # the start of a text
         for step, k in enumerate(left):
-            at, own = starts[:k] + step, state[:k]
-            word, pair = block.word[at], block.pair[at]
-            take = self.has_arc[pair] & (own >= 0)
-            fail = np.where(own >= 0, self.failure[own], 0.0)
-            total[:k] += np.where(take, self.arc[pair], fail + self.root[word])
-            state[:k] = np.where(self.is_state[word], word, -1)
+            at = starts[:k] + step
+            word, pair, triple = block.word[at], block.pair[at], block.triple[at]
+            p, w = by_pair[:k], by_word[:k]
+            by_arc = (p >= 0) & self.has_triple_arc[triple]
+            weight = np.where(p >= 0, self.pair_failure[p], 0.0)  # the pair fails over to its last word,
+            next_arc = (w >= 0) & self.has_pair_arc[pair]
+            weight += np.where(next_arc, self.pair_arc[pair], np.where(w >= 0, self.word_failure[w], 0.0) + self.root[word])  # and that to the root
+            total[:k] += np.where(by_arc, self.triple_arc[triple] if len(self.triple_arc) else 0.0, weight)
+            by_pair[:k] = np.where(self.is_pair[pair], pair, -1)
+            by_word[:k] = np.where(self.is_word[word], word, -1)
         out = np.empty(len(order))
         out[order] = total
         return out
@@ -145,41 +141,35 @@ class Automaton:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(n_buckets: int, prior: float):
-    def run(key, docs: pa.Table, answers: pa.Table) -> pa.Table:
+def _score(layout: Layout, priors: tuple[float, float]):
+    def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         block = _Block(docs)
-        places = block.dealt(n_buckets, block.words, np.arange(len(block.words))), block.dealt(n_buckets, block.pairs, np.arange(len(block.pairs)))
-        counts = np.zeros(len(block.words), np.int64), np.zeros(len(block.pairs), np.int64)
-        n = v = 0
-        for row in answers.to_pylist():
-            n, v = n + row["n_tokens"], v + row["n_words"]
-            for place, count, blob in zip(places, counts, (row["word_counts"], row["pair_counts"]), strict=True):
-                if row["bucket"] in place:
-                    count[place[row["bucket"]][1]] = np.frombuffer(blob, np.int64)
-        automaton = Automaton(block, *counts, n, v, prior)
+        told, (n, v) = layout.answered(answers)
+        words, pairs, triples = block.split(told)
+        automaton = Automaton(block, words, pairs, triples, int(n), int(v), priors)
         text = np.repeat(np.arange(len(docs)), block.lengths)
         base = np.bincount(text, weights=automaton.root[block.word], minlength=len(docs))
-        known = np.bincount(text, weights=(counts[0] > 0)[block.word], minlength=len(docs)).astype(np.int64)
+        known = np.bincount(text, weights=(words > 0)[block.word], minlength=len(docs)).astype(np.int64)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": block.lengths, "n_known": known, "train_tokens": np.full(len(docs), n), "base_score": base, "score": automaton.traverse(block)})
 
     return run
 
 
-def score_texts(docs: DataFrame, held_out: Column, prior: float = PRIOR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, priors: tuple[float, float] = PRIORS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text).
 
     Learns from the rows that ``held_out`` is not true for and scores all. Null texts are empty: they have one token, the
     end. Repeated rows and rows with a null doc_id count like others. Without any row to learn from, every word is unknown
-    and the score is the base. Other columns are not read; an empty table gives an empty table. Words are told apart by
-    64-bit hashes, bigrams by 48 bits and their bucket. A block must fit one task, so a text of any length must.
+    and the score is the base. Other columns are not read; an empty table gives an empty table. Words, bigrams and trigrams
+    are told apart by 54 bits of a hash. A block must fit one task, so a text of any length must.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
-    # asked and scored from one exchange
-    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)))
-    chunks = blocks.groupBy("block").applyInArrow(_ask(n_blocks), "bucket int, block long, words binary, word_counts binary, pairs binary, pair_counts binary")
-    answers = chunks.groupBy("bucket").applyInArrow(_answer, "block long, bucket int, n_tokens long, n_words long, word_counts binary, pair_counts binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(n_blocks, prior), _SCORES)
+    layout = Layout(n_blocks, n_blocks, KEY_BITS)
+    # asked and scored from one exchange; the row's number deals out repeated rows as well
+    blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n_blocks)))
+    answers = totals(blocks.groupBy("block").applyInArrow(_ask(layout), ASK_DDL), layout, _training)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(layout, priors), _SCORES)
