@@ -2,7 +2,8 @@
 
 The driver fits the tree on a bounded sample; every vector is filed under its leaf. A query walks the tree with a priority
 queue of nodes, the best centroid first, and visits the leaves in the order in which it meets them. How many leaves are
-visited is calibrated: visits widen until the sample's own queries find the wanted share of their true neighbours.
+visited is calibrated: visits widen until the sample's own queries find the wanted share of their true neighbours, and for
+each query until the leaves it has met hold as many vectors as it asks for.
 
 Equal vectors are filed once, with as many of their ids as any query can return, so copies make no leaf large; a leaf that
 is large all the same is dealt over several shelves, as the groups of leaves are called that one task looks through.
@@ -23,7 +24,9 @@ from docloom.llm.base import written
 #: Vectors that the tree is fitted on, at most; the sample's queries, for calibration.
 SAMPLE, SAMPLE_QUERIES = 20_000, 200
 #: Children of a node; vectors of a leaf (of the sample) and on a shelf, at most.
-BRANCHES, LEAF, SHELF = 8, 128, 4096
+BRANCHES, LEAF, SHELF = 8, 128, 16_384
+#: Queries that a shelf looks up at once.
+ASKED = 64
 #: The share of the true neighbours that the sample's queries must find. The wanted recall is 0.9.
 CALIBRATED_RECALL = 0.97
 
@@ -47,13 +50,17 @@ class Tree:
                 at[own] = kids[_nearest(vectors[own], self.centroids[kids])]
         return at
 
-    def leaves(self, scores: np.ndarray, visits: int) -> list[int]:
-        """The first ``visits`` leaves that best-bin-first meets; ``scores`` has the query's inner product with each centroid."""
-        queue, found = [(-scores[0], 0)], []
-        while queue and len(found) < visits:
+    def leaves(self, scores: np.ndarray, visits: int, enough: int = 0, sizes: dict[int, int] | None = None) -> list[int]:
+        """The first ``visits`` leaves that best-bin-first meets, and more until their ``sizes`` sum to ``enough``.
+
+        ``scores`` has the query's inner product with each centroid.
+        """
+        queue, found, held = [(-scores[0], 0)], [], 0
+        while queue and (len(found) < visits or held < enough):
             _, node = heapq.heappop(queue)
             if not self.children[node]:
                 found.append(node)
+                held += sizes.get(node, 0) if sizes else 0
             for child in self.children[node]:
                 heapq.heappush(queue, (-scores[child], child))
         return found
@@ -124,22 +131,22 @@ def _filed(tree: Tree):
     return run
 
 
-def shelves(counts: dict[int, int], n_shelves: int) -> dict[int, list[int]]:
-    """The shelves of each leaf, about as many vectors on each. A leaf larger than a shelf is dealt over several."""
+def shelves(counts: dict[int, int], n_shelves: int) -> dict[int, tuple[int, int]]:
+    """The first and the last shelf of each leaf, about as many vectors on each. A leaf larger than a shelf is dealt over several."""
     room = max(1, -(-sum(counts.values()) // n_shelves))
-    out, filled, shelf = {}, 0, 0
+    out, filled, shelf = {}, 0.0, 0
     for leaf, n in sorted(counts.items()):
-        pieces = -(-n // room)
-        out[leaf] = []
-        for _ in range(pieces):
-            out[leaf].append(shelf)
+        first, pieces = shelf, -(-n // room)
+        for piece in range(pieces):
+            last = shelf
             filled += n / pieces
             if filled >= room:
-                shelf, filled = shelf + 1, 0
+                shelf, filled = shelf + 1, 0.0
+        out[leaf] = (first, last)
     return out
 
 
-def _visited(tree: Tree, places: dict[int, list[int]]):
+def _visited(tree: Tree, places: dict[int, tuple[int, int]], sizes: dict[int, int], enough: int):
     """A row for each query and shelf, with the leaves to look through there."""
 
     def run(batches):
@@ -149,8 +156,8 @@ def _visited(tree: Tree, places: dict[int, list[int]]):
             at, on, leaves = [], [], []
             for row, scores in enumerate(_matrix(batch.column("vector")) @ tree.centroids.T):
                 own: dict[int, list[int]] = {}
-                for leaf in tree.leaves(scores, tree.visits):
-                    for shelf in places.get(leaf, ()):
+                for leaf in tree.leaves(scores, tree.visits, enough, sizes):
+                    for shelf in range(places[leaf][0], places[leaf][1] + 1) if leaf in places else ():
                         own.setdefault(shelf, []).append(leaf)
                 at += [row] * len(own)
                 on += own
@@ -164,24 +171,20 @@ def _search(k: int):
     """On one shelf, the ``k`` nearest ids for each query that visits it."""
 
     def run(key, queries: pa.Table, members: pa.Table) -> pa.Table:
-        found: dict[int, list] = {}
+        number, best = [], []
         if len(queries) and len(members):
-            ids, asked = members.column("ids").to_pylist(), _matrix(queries.column("vector").combine_chunks())
-            base, leaf = _matrix(members.column("vector").combine_chunks()), members.column("leaf").to_numpy()
-            wanted: dict[int, list[int]] = {}
-            for row, leaves in enumerate(queries.column("leaves").to_pylist()):
-                for x in leaves:
-                    wanted.setdefault(x, []).append(row)
-            for x, rows in wanted.items():
-                own = np.flatnonzero(leaf == x)
-                for at in range(0, len(rows) if len(own) else 0, 256):
-                    scores = asked[rows[at : at + 256]] @ base[own].T
-                    least = np.partition(scores, -k, axis=1)[:, -k, None] if len(own) > k else -np.inf
-                    for i, j in zip(*np.nonzero(scores >= least), strict=True):
-                        found.setdefault(rows[at + i], []).extend((-scores[i, j], v) for v in ids[own[j]])
-        number = queries.column("query").to_pylist()
-        best = [[{"far": score, "vec_id": v} for score, v in heapq.nsmallest(k, own)] for own in found.values()]
-        return pa.table([pa.array([number[row] for row in found], pa.int64()), pa.array(best, pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))], names=["query", "found"])
+            ids, base = members.column("ids").to_pylist(), _matrix(members.column("vector").combine_chunks())
+            kinds, leaf = np.unique(members.column("leaf").to_numpy(), return_inverse=True)
+            for part in queries.combine_chunks().to_batches(max_chunksize=ASKED):
+                scores = _matrix(part.column("vector")) @ base.T
+                seen = np.stack([np.isin(kinds, x) for x in part.column("leaves").to_pylist()])
+                scores[~seen[:, leaf]] = -np.inf
+                least = np.partition(scores, -k, axis=1)[:, -k] if len(base) > k else np.full(len(scores), -np.inf)
+                for query, own, low in zip(part.column("query").to_pylist(), scores, least, strict=True):
+                    near = np.flatnonzero((own >= low) & (own > -np.inf))
+                    number.append(query)
+                    best.append([{"far": far, "vec_id": v} for far, v in heapq.nsmallest(k, ((-own[j], v) for j in near.tolist() for v in ids[j]))])
+        return pa.table([pa.array(number, pa.int64()), pa.array(best, pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))], names=["query", "found"])
 
     return run
 
@@ -190,11 +193,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, leaf: int = LEAF, r
     """query_id, rank (from 1), vec_id, score: the ``k`` largest inner products found for each row that ``queries`` is true for.
 
     ``vectors`` has vec_id (long) and embedding (array of numbers). Rows with a null id or vector, a zero vector, an empty
-    one, or null or non-finite components take no part; vectors must be of one length. Equal scores: the smaller vec_id
-    first. A row is no neighbour of its own id; repeated rows of an id count as one candidate for each distinct vector.
-    Fewer than ``k`` candidates: all that are found. Other columns are not read; an empty table gives an empty table.
+    one, or null or non-finite components take no part; vectors of more than one length are an error. Equal scores: the
+    smaller vec_id first. A row is no neighbour of its own id; repeated rows of an id count as one candidate for each distinct vector.
+    Fewer than ``k`` candidates: all of them. Other columns are not read; an empty table gives an empty table.
     """
-    vector = F.col("embedding").cast("array<double>")
+    # 32-bit numbers are sent as they are and widened where they are multiplied
+    narrow = vectors.schema["embedding"].dataType.simpleString() in ("array<float>", "array<double>")
+    vector = F.col("embedding") if narrow else F.col("embedding").cast("array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select(
         F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks")
     )
@@ -204,24 +209,29 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, leaf: int = LEAF, r
     few = Window.partitionBy("vector").orderBy("vec_id")
     base = rows.select("vector", "vec_id").distinct().withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= k + 1)
     base = written(base.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
-
-    n = base.count()
-    share = F.pmod(F.xxhash64("vector"), F.lit(1_000_000)) < (1_000_000 * min(1.0, 1.2 * SAMPLE / max(n, 1)))
-    sample = base.where(share).select("vector").limit(SAMPLE).collect()
+    kind = base.schema["vector"].dataType.simpleString()
+
+    n, shortest, longest = base.agg(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if shortest != longest:
+        raise ValueError(f"vectors of {shortest} to {longest} components: all must have as many")
+    # the smallest hashes; few more than are taken pass the filter
+    place = F.pmod(F.xxhash64("vector"), F.lit(1_000_000_000))
+    sample = base.where(place < 1_000_000_000 * min(1.0, 1.2 * SAMPLE / max(n, 1))).select("vector").orderBy(place, "vector").limit(SAMPLE).collect()
     if not sample:
         return rows.limit(0).select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     sample = np.array(sorted(r["vector"] for r in sample))
     tree = calibrate(grow(sample, leaf), sample, k, recall)
 
-    filed = written(base.mapInArrow(_filed(tree), "vector array<double>, ids array<long>, leaf int"), "vector-leaves")
+    filed = written(base.mapInArrow(_filed(tree), f"vector {kind}, ids array<long>, leaf int"), "vector-leaves")
     # one row for each leaf of the tree, whose size the sample bounds
-    counts = {r["leaf"]: r["n"] for r in filed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    places = shelves(counts, -(-n // SHELF))
-    own_shelves = F.create_map(*[x for leaf, on in places.items() for x in (F.lit(leaf), F.array(*map(F.lit, on)))])[F.col("leaf")]
-    members = filed.select(F.get(own_shelves, F.pmod(F.xxhash64("vector"), F.size(own_shelves)).cast("int")).alias("shelf"), "leaf", "vector", "ids")
+    counted = filed.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
+    sizes = {r["leaf"]: r["ids"] for r in counted}
+    places = shelves({r["leaf"]: r["n"] for r in counted}, -(-n // SHELF))
+    first, last = (F.create_map(*[x for leaf, on in places.items() for x in (F.lit(leaf), F.lit(on[i]))])[F.col("leaf")] for i in (0, 1))
+    members = filed.select((first + F.pmod(F.xxhash64("vector"), last - first + 1)).cast("int").alias("shelf"), "leaf", "vector", "ids")
     # equal queries walk once; the smallest id stands for them
     asks = rows.where("asks").groupBy("vector").agg(F.min("vec_id").alias("query"))
-    visits = asks.select("query", "vector").mapInArrow(_visited(tree, places), "query long, vector array<double>, shelf int, leaves array<int>")
+    visits = asks.select("query", "vector").mapInArrow(_visited(tree, places, sizes, k + 1), f"query long, vector {kind}, shelf int, leaves array<int>")
     found = visits.groupBy("shelf").cogroup(members.groupBy("shelf")).applyInArrow(_search(k + 1), "query long, found array<struct<far:double,vec_id:long>>")
     # a query has k + 1 ids at most from each of its shelves
     found = found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
