@@ -16,8 +16,9 @@ from docloom.llm.base import without, written
 MASKS = ("11010111", "11110000101", "111011001")
 #: Tokens of a window, and how many of them may differ. An item shorter than the window must stand there whole.
 WINDOW, SUBSTITUTIONS = 13, 2
-#: Benchmarks of up to so many tokens are sent to every task (under 100 bytes each, three seeds a token); larger ones are shuffled.
-BROADCAST_TOKENS = 200_000
+#: Benchmarks of up to so many tokens are sent to every task; larger ones are shuffled. A token has three seeds, each with
+#: the hashes of the 25 tokens around it: under 1 kB a token, 50 MB in all.
+BROADCAST_TOKENS = 50_000
 #: Positions of a document that one row holds, beside the tokens around them.
 STRIP = 16
 
@@ -64,11 +65,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, subs
     items = benchmark.select("item_id", _hashes(F.col("text")).alias("_item")).where(F.size("_item") >= min(map(len, MASKS)))
     n_tokens = items.agg(F.sum(F.size("_item"))).first()[0] or 0
     send = F.broadcast if n_tokens <= BROADCAST_TOKENS else (lambda df: df)
+    margin = window - 1
     places = items.select("item_id", "_item", F.explode(_seed_places(F.col("_item"))).alias("_pos"))
-    seeds = places.select("item_id", "_item", "_pos", F.explode(_seeds(F.col("_item"), F.col("_pos"))).alias("_seed"))
+    low = F.greatest(F.col("_pos") - margin, F.lit(0))
+    around = F.slice("_item", low + 1, F.col("_pos") + margin + 1 - low)  # no windows but those around the seed are looked at
+    seeds = places.select("item_id", "_pos", F.size("_item").alias("_size"), (F.col("_pos") - low).alias("_lead"), around.alias("_around"), F.explode(_seeds(F.col("_item"), F.col("_pos"))).alias("_seed"))
     openings = places.select(_opening(F.col("_item"), F.col("_pos")).alias("_opening")).distinct()
 
-    margin = window - 1
     length = STRIP + 2 * margin
     strips = F.when(
         F.size("_doc") > 0,
@@ -89,14 +92,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, subs
     hits = probes.join(send(seeds), "_seed")
 
     # the item's tokens around the seed, laid over the strip's; the best window of them decides
-    size, pos = F.size("_item"), F.col("_pos")
-    low = F.greatest(pos - margin, F.lit(0))
-    equal = F.transform(
-        F.sequence(low, F.least(pos + margin, size - 1)),
-        lambda j: F.coalesce(F.get("_near", F.when(F.col("_inner") + j - pos >= 0, F.col("_inner") + j - pos)) == F.get("_item", j), F.lit(False)).cast("int"),
-    )
-    width = F.least(F.lit(window), size)
-    hits = hits.select("doc_id", "item_id", (F.col("_at") - pos).alias("_shift"), equal.alias("_equal"), width.alias("_width"), size.alias("_size"))
+    place = F.col("_inner") - F.col("_lead")
+    equal = F.transform("_around", lambda x, j: F.coalesce(F.get("_near", F.when(place + j >= 0, place + j)) == x, F.lit(False)).cast("int"))
+    width = F.least(F.lit(window), F.col("_size"))
+    hits = hits.select("doc_id", "item_id", (F.col("_at") - F.col("_pos")).alias("_shift"), equal.alias("_equal"), width.alias("_width"), "_size")
     sums = F.transform(F.sequence(F.lit(1), F.size("_equal") - F.col("_width") + 1), lambda i: F.aggregate(F.slice("_equal", i, F.col("_width")), F.lit(0), lambda n, x: n + x))
     hits = hits.select("doc_id", "item_id", "_shift", F.array_max(sums).alias("_matched"), "_width", "_size")
     leaks = hits.where(F.col("_matched") >= F.col("_width") - F.when(F.col("_width") < window, 0).otherwise(substitutions))
