@@ -2,9 +2,10 @@
 
 A segment holds the ids of consecutive documents, in ascending order of doc_id or of other columns. Its ids are cut into blocks of 128. From
 each block its minimum is subtracted; the differences are packed at the width that a percentile of them fits, and those
-that do not fit go to the block's list of exceptions whole. An index in front holds where each block begins.
+that do not fit go to the block's list of exceptions whole. An index in front holds where each block begins, by which a range
+of ids is read without the blocks before it (``read_range``).
 
-    segment := "DLT1" u32:n_ids u32:n_blocks u32:n_docs  i64:doc_id[n_docs] u32:n_tokens[n_docs]  u32:start[n_blocks + 1]  block*
+    segment := "DLT2" u32:n_ids u32:n_blocks u32:n_docs  i64:doc_id[n_docs] bit:is_null[n_docs] u32:n_tokens[n_docs]  u32:start[n_blocks + 1]  block*
     block   := u32:minimum u8:width u8:n_exceptions  packed bits  u8:place[n_exceptions] u32:value[n_exceptions]
 
 Segments are rows of a Parquet table in the shared folder, which Spark commits task by task, so that a lost executor
@@ -13,6 +14,7 @@ leaves no half-written file. A segment's shard and its number within give the or
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -35,7 +37,7 @@ SLICE_BYTES = 1 << 20
 #: Words that the library gets in one string.
 LINE_PIECES = 500
 END_ID = 2
-MAGIC = b"DLT1"
+MAGIC = b"DLT2"
 
 
 def pack(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -92,22 +94,41 @@ def unpack(data: bytes, starts: np.ndarray, n_ids: int) -> np.ndarray:
     return (out + low[:, None]).ravel()[:n_ids]
 
 
-def write_segment(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+def write_segment(doc_ids: pa.Array, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     data, starts = pack(ids)
     head = np.array([len(ids), len(starts) - 1, len(lengths)], "<u4").tobytes()
-    return MAGIC + head + doc_ids.astype("<i8").tobytes() + lengths.astype("<u4").tobytes() + starts.astype("<u4").tobytes() + data
+    nulls = np.packbits(doc_ids.is_null().to_numpy(zero_copy_only=False)).tobytes()
+    return MAGIC + head + doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes() + nulls + lengths.astype("<u4").tobytes() + starts.astype("<u4").tobytes() + data
 
 
-def read_segment(segment: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The doc_ids, their numbers of ids, and all ids."""
+def _head(segment: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray, int, int]:
+    """The doc_ids, their numbers of ids, where the blocks begin, where they do in the segment, and the number of ids."""
     if segment[:4] != MAGIC:
         raise ValueError("not a token segment")
-    n_ids, n_blocks, n_docs = np.frombuffer(segment, "<u4", 3, 4)
+    n_ids, n_blocks, n_docs = (int(x) for x in np.frombuffer(segment, "<u4", 3, 4))
     at = 16
     doc_ids = np.frombuffer(segment, "<i8", n_docs, at)
-    lengths = np.frombuffer(segment, "<u4", n_docs, at := at + 8 * int(n_docs))
-    starts = np.frombuffer(segment, "<u4", n_blocks + 1, at := at + 4 * int(n_docs))
-    return doc_ids, lengths, unpack(segment[at + 4 * (int(n_blocks) + 1) :], starts, int(n_ids))
+    nulls = np.unpackbits(np.frombuffer(segment, np.uint8, -(-n_docs // 8), at := at + 8 * n_docs), count=n_docs).astype(bool)
+    lengths = np.frombuffer(segment, "<u4", n_docs, at := at + -(-n_docs // 8))
+    starts = np.frombuffer(segment, "<u4", n_blocks + 1, at := at + 4 * n_docs)
+    return pa.array(doc_ids, pa.int64(), mask=nulls), lengths, starts, at + 4 * (n_blocks + 1), n_ids
+
+
+def read_segment(segment: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The doc_ids, their numbers of ids, and all ids."""
+    doc_ids, lengths, starts, at, n_ids = _head(segment)
+    return doc_ids, lengths, unpack(segment[at:], starts, n_ids)
+
+
+def read_range(segment: bytes, low: int, high: int) -> np.ndarray:
+    """The ids at the places ``low`` .. ``high`` - 1 of a segment; only the blocks that hold them are unpacked."""
+    _, _, starts, at, n_ids = _head(segment)
+    low, high = max(low, 0), min(high, n_ids)
+    if low >= high:
+        return np.empty(0, np.uint32)
+    first, last = low // BLOCK, -(-high // BLOCK)
+    part = unpack(segment[at + int(starts[first]) : at + int(starts[last])], starts[first : last + 1] - starts[first], (last - first) * BLOCK)
+    return part[low - first * BLOCK : high - first * BLOCK]
 
 
 #: Bytes that can follow a piece's first space or line feed: visible ASCII, and lead bytes that begin no white space.
@@ -124,13 +145,19 @@ class Encoder:
 
     Such a tokenizer cuts texts before a single white space that a visible character follows, and between a letter and a
     mark, whatever stands around. The pieces between such cuts are told apart by 64-bit hashes, and all new ones of a
-    batch go to the library together.
+        batch go to the library together. That holds for the byte-level pre-tokenizer without a normaliser; with a tokenizer of
+    another kind whole texts go to the library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = tokenizer = Tokenizer.from_file(path)
+        told = json.loads(tokenizer.to_str())
+        cuts = told["pre_tokenizer"] or {}
+        plain = cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space", True)
+        added = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in told["added_tokens"])
+        self.cuts = bool(plain and added and told["normalizer"] is None and not told["truncation"] and not told["padding"])
         # white space before an added token belongs to what stands before it
         self.follows = _FOLLOWS.copy()
         self.follows[[x.content.encode()[0] for x in tokenizer.get_added_tokens_decoder().values()]] = False
@@ -159,6 +186,11 @@ class Encoder:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and each text's number of them."""
+        if not self.cuts:
+            raw = data.tobytes()
+            own = [x.ids for x in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], add_special_tokens=False)]
+            counts = np.fromiter(map(len, own), np.int64, len(own))
+            return np.fromiter(chain.from_iterable(own), np.uint32, counts.sum()), counts
         cut = np.zeros(len(data) + 1, bool)
         cut[offsets] = True
         if len(data) > 1:
@@ -215,7 +247,8 @@ def _encode(path: Callable[[], str] | str, end_id: int) -> Callable[[Iterator[pa
         shard, number, kept, n_kept = TaskContext.get().partitionId(), 0, [], 0
 
         def segment():
-            columns = [np.concatenate(c) for c in zip(*kept, strict=True)]
+            doc_ids, *columns = zip(*kept, strict=True)
+            columns = [pa.concat_arrays(doc_ids), *map(np.concatenate, columns)]
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([len(columns[2])]), pa.array([write_segment(*columns)], pa.binary())], names=["shard", "number", "n_ids", "segment"])
 
         for batch in batches:
@@ -223,7 +256,7 @@ def _encode(path: Callable[[], str] | str, end_id: int) -> Callable[[Iterator[pa
                 part = batch.slice(at, end - at)
                 ids, counts = encoder(*text_bytes(part.column("text")))
                 ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
-                kept.append((part.column("doc_id").to_numpy(zero_copy_only=False), counts + 1, ids))
+                kept.append((part.column("doc_id"), counts + 1, ids))
                 n_kept += len(ids)
                 if n_kept >= SEGMENT_IDS:
                     yield segment()
@@ -237,15 +270,15 @@ def _encode(path: Callable[[], str] | str, end_id: int) -> Callable[[Iterator[pa
 def write_tokens(docs: DataFrame, path: str, tokenizer: Callable[[], str] | str, end_id: int = END_ID, order: list[str] | None = None) -> DataFrame:
     """Writes the ids of all texts of ``docs`` (doc_id, text) below ``path`` and returns the written table of segments.
 
-    Documents come in ascending order of the columns ``order``, or of doc_id.
+    Documents come in ascending order of the columns ``order``, or of doc_id, nulls first.
 
     ``tokenizer`` is the tokenizer's file, or a function that finds it on an executor. Null texts are empty and have the
-    end id alone. Rows of one doc_id come in the order of their texts' hashes; rows with a null doc_id are left out, as
-    they have no place in the order. Other columns are not read. An empty table writes no segment.
+    end id alone. Rows of equal places come in the order of their texts' hashes; rows with a null doc_id are kept. Other
+    columns are not read. An empty table writes no segment.
     """
     order = order or ["doc_id"]
     keys = {f"_{i}": F.col(c) for i, c in enumerate(order)} | {"_tie": F.xxhash64("text")}
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[c.alias(k) for k, c in keys.items()])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[c.alias(k) for k, c in keys.items()])
     ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
     segments = ordered.mapInArrow(_encode(tokenizer, end_id), "shard int, number int, n_ids long, segment binary")
     segments.write.parquet(path)
@@ -275,6 +308,22 @@ def read_tokens(segments: DataFrame, digest: bool = False) -> DataFrame:
                     own = pa.array([zlib.crc32(raw[4 * (e - int(n)) : 4 * e]) for e, n in zip(ends, lengths, strict=True)], pa.int64())
                 else:
                     own = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(start + ends - lengths), pa.array(lengths.astype(np.int64)), own], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(start + ends - lengths), pa.array(lengths.astype(np.int64)), own], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     return rows.select("start", "segment").mapInArrow(run, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids array<int>'}")
+
+
+def read_places(segments: DataFrame, low: int, high: int) -> DataFrame:
+    """start and ids: the pieces of the whole file's ids at the places ``low`` .. ``high`` - 1, as a loader of training batches reads them.
+
+    Only segments and blocks that hold such places are unpacked. An empty range gives no rows.
+    """
+    rows = segments.join(offsets(segments), ["shard", "number"]).where((F.col("start") < high) & (F.col("start") + F.col("n_ids") > low) & F.lit(low < high))
+
+    def run(batches):
+        for batch in batches:
+            for start, segment in zip(batch.column("start").to_pylist(), batch.column("segment"), strict=True):
+                ids = read_range(segment.as_py(), low - start, high - start)
+                yield pa.RecordBatch.from_arrays([pa.array([max(start, low)]), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], names=["start", "ids"])
+
+    return rows.select("start", "segment").mapInArrow(run, "start long, ids array<int>")
