@@ -5,13 +5,13 @@ release time floor(kA/a) up to its deadline ceil((k+1)A/a). In every slot the re
 goes out, so that after any number of slots each source has within less than one block of its share. The schedule repeats
 after A slots. When a source has no more blocks, the others go on with their own weights, in a new phase.
 
-The schedule is a table of at most (number of sources) x A rows, made by ``plan`` from the block counts. Documents find
-their place in it by joins; none passes the driver and no source is sorted in one task.
+The schedule is a table made by ``plan`` from the block counts: a phase has a row for each of its slots, but for no more
+than one period. Documents find their place in it by joins; none passes the driver and no source is sorted in one task.
 """
 
 from __future__ import annotations
 
-import json
+import heapq
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,21 +19,27 @@ from pyspark.sql import functions as F
 
 #: Documents in a block, and in one sort group of a source (16 to the power of the prefix's digits groups share a source).
 BLOCK_ROWS, GROUP_ROWS = 16, 20_000
-#: The schedule is made for at most so many sources and slots in a period; more are an error.
+#: The schedule is made on the driver, for at most so many sources, slots in a period and rows in all (some 50 bytes each);
+#: more are an error that comes before the work. Sources of n different lengths have n phases, of n * n / 2 slots at weight 1.
 MAX_SOURCES, MAX_PERIOD, MAX_SLOTS = 10_000, 100_000, 1_000_000
 
 
-def period(weights: dict[str, int]) -> list[str]:
-    """The sources of the slots 0 .. A-1, by earliest deadline first among released blocks."""
+def period(weights: dict[str, int], slots: int | None = None) -> list[str]:
+    """The sources of the slots 0 .. A-1, or of the first ``slots`` of them, by earliest deadline first among released blocks."""
     total = sum(weights.values())
-    done = dict.fromkeys(weights, 0)
-    slots = []
-    for slot in range(total):
-        ready = [s for s, a in weights.items() if done[s] < a and done[s] * total // a <= slot]
-        first = min(ready, key=lambda s: (-(-(done[s] + 1) * total // weights[s]), s))
-        done[first] += 1
-        slots.append(first)
-    return slots
+    order: list[str] = []
+    ready = [(-(-total // a), s, 0) for s, a in weights.items()]  # deadline, source, number of its block
+    heapq.heapify(ready)
+    later: list[tuple[int, int, str, int]] = []  # release, deadline, source, number
+    for slot in range(total if slots is None else min(slots, total)):
+        while later and later[0][0] <= slot:
+            heapq.heappush(ready, heapq.heappop(later)[1:])
+        _, s, k = heapq.heappop(ready)
+        order.append(s)
+        k += 1
+        if k < weights[s]:
+            heapq.heappush(later, (k * total // weights[s], -(-(k + 1) * total // weights[s]), s, k))
+    return order
 
 
 def plan(blocks: dict[str, int], weights: dict[str, int]) -> tuple[list[dict], list[dict]]:
@@ -43,26 +49,33 @@ def plan(blocks: dict[str, int], weights: dict[str, int]) -> tuple[list[dict], l
     phases, slots = [], []
     while left:
         own = {s: weights[s] for s in left}
-        order, total = period(own), sum(own.values())
+        total = sum(own.values())
+        # the phase ends at the latest with the deadline of the last block of the source that is over first
+        most = min(-(-n * total // own[s]) for s, n in left.items())
+        if len(slots) + min(total, most) > MAX_SLOTS:
+            raise ValueError(f"the schedule needs more than {MAX_SLOTS} slots: use fewer sources or smaller weights")
+        order = period(own, most)
         places: dict[str, list[int]] = {s: [] for s in own}
         for slot, s in enumerate(order):
             places[s].append(slot)
         # the slot after the one in which a source's last block goes out
-        end = min((n - 1) // own[s] * total + places[s][(n - 1) % own[s]] + 1 for s, n in left.items())
+        last = {s: (n - 1) // own[s] * total + places[s][(n - 1) % own[s]] for s, n in left.items() if (n - 1) % own[s] < len(places[s])}
+        end = min(last.values()) + 1
         whole, rest = divmod(end, total)
         for s in own:
             n = whole * own[s] + sum(p < rest for p in places[s])
             phases.append({"source": s, "phase": phase, "low": used[s], "high": used[s] + n, "base": at, "weight": own[s], "period": total})
             used[s] += n
             left[s] -= n
-        slots += [{"phase": phase, "source": s, "k": k, "slot": p} for s in own for k, p in enumerate(places[s])]
+            slots += [{"phase": phase, "source": s, "k": k, "slot": p} for k, p in enumerate(places[s]) if p < end]
         left = {s: n for s, n in left.items() if n}
         at, phase = at + end, phase + 1
     return phases, slots
 
 
 def _local(df: DataFrame, rows: list[dict], schema: str) -> DataFrame:
-    return df.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+    names = [c.split(":")[0] for c in schema.split(",")]
+    return df.sparkSession.createDataFrame([tuple(r[c] for c in names) for r in rows], schema)
 
 
 def order_key(doc_id: Column) -> Column:
@@ -96,10 +109,6 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, default_
     if sum(shares.values()) > MAX_PERIOD or min(shares.values(), default=1) < 1:
         raise ValueError(f"weights must be positive and their sum at most {MAX_PERIOD}")
     phases, slots = plan({s: -(-n // block_rows) for s, n in counted.items()}, shares)
-
-    if len(slots) > MAX_SLOTS:
-        raise ValueError(f"the schedule needs more than {MAX_SLOTS} slots: use smaller weights")
-
     keyed = keyed.withColumn("_group", F.substring("_key", 1, digits))
     sizes = keyed.groupBy("mix_source", "_group").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("mix_source").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,3 +145,25 @@ def largest_deviation(slots: list[str], weights: dict[str, int]) -> Fraction:
         done[s] += 1
         worst = max([worst, *(abs(done[x] - Fraction(n * a, total)) for x, a in weights.items())])
     return worst
+
+
+def oracle_sql(weights: dict[str, int], default_weight: int = 1, block_rows: int = BLOCK_ROWS) -> str:
+    """DuckDB SQL for the place of each of ``documents`` (of distinct ids): one slot after another, by recursion, without periods."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    weight = f"CASE source {' '.join(f'WHEN {quoted(s)} THEN {a}' for s, a in weights.items())} ELSE {default_weight} END" if weights else str(default_weight)
+    every, total = "range(1, len(ws) + 1)", "list_sum(list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN n[i] > 0 THEN ws[i] ELSE 0 END))"
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), ''))) - 1 AS k FROM documents),
+    c AS (SELECT source, {weight} AS w, (count(*) + {block_rows - 1}) // {block_rows} AS n FROM d GROUP BY source),
+    l AS (SELECT list(source ORDER BY source) AS ss, list(CAST(w AS BIGINT) ORDER BY source) AS ws, list(CAST(n AS BIGINT) ORDER BY source) AS ns FROM c),
+    r AS (
+        SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS base, ss, ws, ns, ns AS n, list_transform(ns, lambda x: CAST(0 AS BIGINT)) AS k, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS block FROM l WHERE len(ns) > 0
+        UNION ALL
+        SELECT slot, CASE WHEN n[s] = 1 THEN slot + 1 ELSE base END, ss, ws, ns, list_transform({every}, lambda i: CASE WHEN i = s THEN n[i] - 1 ELSE n[i] END),
+            list_transform({every}, lambda i: CASE WHEN n[s] = 1 THEN 0 WHEN i = s THEN k[i] + 1 ELSE k[i] END), s, ns[s] - n[s]
+        FROM (SELECT slot + 1 AS slot, base, ss, ws, ns, n, k, list_min(list_transform(list_filter({every}, lambda i: n[i] > 0 AND k[i] * a // ws[i] <= slot + 1 - base), lambda i: struct_pack(deadline := ((k[i] + 1) * a + ws[i] - 1) // ws[i], i := i))).i AS s
+            FROM (SELECT *, CAST({total} AS BIGINT) AS a FROM r WHERE list_sum(n) > 0))
+    )
+    SELECT doc_id, d.source AS mix_source, d.k // {block_rows} AS mix_block, r.slot AS mix_slot, r.slot * {block_rows} + d.k % {block_rows} AS mix_position
+    FROM d JOIN r ON r.slot >= 0 AND r.ss[r.s] = d.source AND r.block = d.k // {block_rows}
+    """
