@@ -102,6 +102,7 @@ _URL_SQL = f"""
 """
 ORACLES: dict[str, str] = {
     "op1_decontaminate": decontaminate.oracle_sql(),
+    "op3_mix_sources": mixing.oracle_sql(MIX_WEIGHTS),
     "op6_license_scan": license_scan.oracle_sql(),
     "op8_url_filter": _URL_SQL,
     "op9_ngram_join": ngram_join.oracle_sql(),

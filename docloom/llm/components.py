@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import written
+from docloom.llm.base import discard, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(low, "b").select(F.col("low").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        edges = written(_ordered(small), "links")
+        old, edges = edges, written(_ordered(small), "links")
+        discard(old)
         now = _state(edges)
         if now == state:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
