@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from datetime import date
 
 import pandas as pd
@@ -12,144 +11,214 @@ from pyspark.sql import functions as F
 
 from docloom.functions.scalar import MONTHS
 
-#: What a phrase before or after a date says about it (fixed values). The first that stands nearest counts.
+#: What a word before or after a date says about it (fixed values). Words may go on: ``expire`` holds in ``expires``.
 LABELS = {
-    "effective_date": ("effective date", "effective as of", "effective", "in effect", "starting"),
-    "end_date": ("end date", "expires", "expiration", "termination date", "valid until"),
-    "last_reviewed_date": ("last reviewed", "last review", "reviewed", "review date"),
-    "last_updated_date": ("last updated", "updated", "revised", "revision date", "last revised", "amended"),
-    "next_review_date": ("next review", "next annual review", "to be reviewed"),
-    "next_update_date": ("next update", "next updated"),
-    "published_date": ("published", "publication date", "posted", "issued"),
+    "effective_date": ("effective", "eff"),
+    "end_date": ("expire", r"end date", r"ends\b", "through"),
+    "last_updated_date": ("updated", "updates", "revision", "revised", "revis", r"rev\.", "current", "version", r"last res\.", "revisado"),
+    "last_reviewed_date": ("reviewed", "last review", "recent review", "latest review"),
+    "next_review_date": ("next review", "annual review"),
+    "next_update_date": ("next update",),
+    "published_date": ("publish", "posted", "print date", r"v\.", "devised", "issued", "date of origin", "implementation", "publication date", "origination"),
 }
 FUTURE = frozenset({"end_date", "next_review_date", "next_update_date"})
-_NAMES = "|".join(f"{m[:3]}(?:{m[3:]})?" for m in MONTHS) + "|Sept"
-_PATTERNS = (
-    ("ymd", re.compile(r"(?<![\d/.-])(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?![\d/-])")),
-    ("mdy", re.compile(r"(?<![\d/.-])(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?![\d/-])")),
-    ("name_dy", re.compile(rf"\b({_NAMES})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})\b", re.I)),
-    ("d_name_y", re.compile(rf"\b(\d{{1,2}})(?:st|nd|rd|th)?[\s-]+({_NAMES})\.?,?[\s-]+(\d{{4}})\b", re.I)),
-    ("name_y", re.compile(rf"\b({_NAMES})\.?,?\s+(\d{{4}})\b", re.I)),
-    ("quarter", re.compile(r"\bQ([1-4])\s+(?:of\s+)?(\d{4})\b|\b([1-4])(?:st|nd|rd|th)\s+quarter\s+(?:of\s+)?(\d{4})\b|\b(first|second|third|fourth)\s+quarter\s+(?:of\s+)?(\d{4})\b", re.I)),
-    ("my", re.compile(r"(?<![\d/.-])(\d{1,2})/(\d{4})(?![\d/-])")),
-)
-_ORDINALS = ("first", "second", "third", "fourth")
-_SPAN = re.compile(r"\s*(?:-|–|to|through)\s*")
-#: Letters before a date in which a label counts, and after it.
+#: Letters before a date in which a label comes first, and those behind it in which one counts.
 LEFT, RIGHT = 50, 20
+#: Words of a text that are its heading: dates there need no label, and a year alone is a date.
+HEADING = 20
+#: The newest dates that are told (fixed value).
+IDENTIFIED = 25
+
+_PHRASES = sorted(((p, label) for label, phrases in LABELS.items() for p in phrases), key=lambda x: -len(x[0]))
+_LABEL = re.compile("|".join(rf"(?P<l{i}>\b{p})" for i, (p, _) in enumerate(_PHRASES)), re.I)
+_SHORT = "|".join(m[:3] for m in MONTHS)
+_NAME = rf"(?P<name>(?:{'|'.join(MONTHS)})|(?:{_SHORT}|Sept)\b\.?)"
+_DAY, _YEAR, _SEP = r"(?P<d>\d\d?)(?:st|nd|rd|th)?", r"(?P<y>\d{4})", r"[/\-.|]"
+_ALONE = r"(?<![\d/\-.|])", r"(?![\d/]|[\-.|]\d)"
+_WHOLE = r"(?<![\d/])", r"(?![\d/])"
+#: The formats in the order in which they are tried; a place belongs to the first that fits and is a date.
+_FORMATS = {
+    "y_name": rf"(?<![\w/])(?P<y>\d{{4}})(?P<name>{_SHORT})(?![\w/])",
+    "ymd": rf"{_WHOLE[0]}(?P<y>\d{{4}}){_SEP}(?P<m>\d\d?){_SEP}(?P<d>\d\d?){_WHOLE[1]}",
+    "mdy": rf"{_WHOLE[0]}(?P<m>\d\d?){_SEP}+(?P<d>\d\d?){_SEP}(?P<y>\d{{4}}|\d\d){_WHOLE[1]}",
+    "name_dy": rf"\b{_NAME}\s+{_DAY},?\s+{_YEAR}\b",
+    "d_name_y": rf"(?<!\w){_DAY}\s+{_NAME},?\s+{_YEAR}\b",
+    "name_y": rf"\b{_NAME},?\s+{_YEAR}(?!\d)",
+    "name_d": rf"\b{_NAME},?\s+{_DAY}(?!\d|\s*,?\s*\d{{4}})",
+    "my": rf"{_ALONE[0]}(?P<m>\d\d?)\s?{_SEP}(?P<y>\d{{4}}){_ALONE[1]}",
+    "m_short": rf"{_ALONE[0]}(?P<m>\d\d?){_SEP}(?P<y>\d\d){_ALONE[1]}",
+    "digits": r"(?<!\d)(?P<n>\d{8}|\d{6})(?!\d)",
+    "year": rf"{_ALONE[0]}(?P<y>\d{{4}})(?!\w)(?!{_SEP}\d)",
+}
+_PATTERNS = {kind: re.compile(p, re.I) for kind, p in _FORMATS.items()}
+_UNIT = re.compile(r"[$%]|mg|ml|oz", re.I)
+_DASH = re.compile(r"\s*[-–—\xad]\s*")
+_LIST = re.compile(r"[\s,;&]*(?:and|or)?\s*")
+_REFERENCES = re.compile(r"[^a-z]*references[^a-z]*", re.I)
+_QUARTER = re.compile(r"\bQ(?P<a>[1-4])\b|\b(?P<b>[1-4])(?:st|nd|rd|th)\s+(?:quarter|qtr)|\b(?P<c>first|second|third|fourth)\s+(?:quarter|qtr)|\b(?:quarter|qtr)\.?\s+(?P<e>[1-4])\b", re.I)
+_ORDINALS = ("first", "second", "third", "fourth")
 
 
-def _month(name: str) -> int:
-    return next(i for i, m in enumerate(MONTHS, 1) if m[:3].lower() == name[:3].lower())
-
-
-def _year(text: str) -> int:
-    return int(text) if len(text) == 4 else 2000 + int(text) if int(text) < 70 else 1900 + int(text)
-
-
-def _value(kind: str, g: tuple) -> date | None:
+def _day(year: int, month: int, day: int, last_year: int) -> date | None:
     try:
-        if kind == "ymd":
-            return date(int(g[0]), int(g[1]), int(g[2]))
-        if kind == "mdy":
-            return date(_year(g[2]), int(g[0]), int(g[1]))
-        if kind == "name_dy":
-            return date(int(g[2]), _month(g[0]), int(g[1]))
-        if kind == "d_name_y":
-            return date(int(g[2]), _month(g[1]), int(g[0]))
-        if kind == "name_y":
-            return date(int(g[1]), _month(g[0]), 1)
-        if kind == "my":
-            return date(int(g[1]), int(g[0]), 1)
-        number = int(g[0] or g[2] or _ORDINALS.index(g[4].lower()) + 1)
-        return date(int(g[1] or g[3] or g[5]), number * 3 - 2, 1)
+        return date(year, month, day) if 1980 < year <= last_year else None
     except ValueError:
         return None
 
 
-def found_dates(line: str) -> list[tuple[int, int, date]]:
-    """(start, end, date) of a line's dates from 1980 to 2099, left to right; a place is taken by the first format that fits."""
-    taken, out = [False] * len(line), []
-    for kind, pattern in _PATTERNS:
+def _digits(n: str, last_year: int) -> date | None:
+    """Six digits: month and year, year and month, or month, day and short year; eight: month first, else year first."""
+    parts = [(n[2:], n[:2], "1"), (n[:4], n[4:], "1"), ("20" + n[4:], n[:2], n[2:4])] if len(n) == 6 else [(n[4:], n[:2], n[2:4]), (n[:4], n[4:6], n[6:])]
+    return next((found for y, m, d in parts if (found := _day(int(y), int(m), int(d), last_year))), None)
+
+
+def _value(kind: str, m: re.Match, line: str, last_year: int) -> date | None:
+    g = m.groupdict()
+    if kind == "digits":
+        return _digits(g["n"], last_year)
+    if kind == "m_short" and _UNIT.search(line[max(0, m.start() - 6) : m.start()] + " " + line[m.end() : m.end() + 6]):
+        return None
+    month = next(i for i, name in enumerate(MONTHS, 1) if name[:3].lower() == g["name"][:3].lower()) if g.get("name") else int(g.get("m") or 1)
+    year = g.get("y")
+    if year is None:  # a month and a day take the year of the date behind their dash
+        dash = _DASH.match(line, m.end())
+        after = [x for x in found_dates(line[dash.end() :], last_year) if x[0] == 0] if dash else []
+        return _day(after[0][2].year, month, int(g["d"]), last_year) if after else None
+    return _day(int(year) + (2000 if len(year) == 2 else 0), month, int(g.get("d") or 1), last_year)
+
+
+def found_dates(line: str, last_year: int = 2099, heading: bool = True) -> list[tuple[int, int, date]]:
+    """(start, end, date) of a line's dates after 1980, left to right. A year alone counts in a heading without other dates."""
+    taken, out = bytearray(len(line)), []
+    if not any(c.isdigit() for c in line):
+        return out
+    for kind, pattern in _PATTERNS.items():
+        if kind == "year" and (out or not heading):
+            continue
         for m in pattern.finditer(line):
-            if any(taken[m.start() : m.end()]):
-                continue
-            value = _value(kind, m.groups())
-            if value and 1980 <= value.year < 2100:
+            if not any(taken[m.start() : m.end()]) and (value := _value(kind, m, line, last_year)):
                 out.append((m.start(), m.end(), value))
-                taken[m.start() : m.end()] = [True] * (m.end() - m.start())
+                taken[m.start() : m.end()] = b"\1" * (m.end() - m.start())
     return sorted(out)
 
 
-def _label(text: str, at_end: bool) -> str | None:
-    """The label of the phrase nearest to the date in a stretch of text; of two at one place, the longer phrase."""
-    best = None
-    for label, phrases in LABELS.items():
-        for phrase in phrases:
-            for m in re.finditer(rf"\b{phrase}\b", text):
-                key = (m.end() if at_end else -m.start(), len(phrase))
-                if best is None or key > best[0]:
-                    best = (key, label)
-    return best and best[1]
-
-
-def _better(label: str, new: date, old: date | None, today: date) -> bool:
-    if old is None:
-        return True
-    if label in FUTURE:
-        return new < old
-    if label == "effective_date":
-        return abs((new - today).days) < abs((old - today).days)
-    # of past dates the latest that is not to come
-    return (new <= today, new if new <= today else old) > (old <= today, old)
-
+def quarter_date(line: str, last_year: int) -> date | None:
+    """The first day of a quarter that a line names beside a year."""
+    m = _QUARTER.search(line)
+    year = m and re.search(r"(?<![\d/\-.])(\d{4})(?![\d/\-.]\d?)", line)
+    if not year:
+        return None
+    number = int(m["a"] or m["b"] or m["e"] or _ORDINALS.index(m["c"].lower()) + 1)
+    return _day(int(year[1]), number * 3 - 2, 1, last_year)
 
-def extract_dates(text: str, today: date) -> dict:
-    """The labelled dates of a text, and all dates in it (``identified_dates``, sorted, distinct).
 
-    A label stands up to LEFT letters before a date, else up to RIGHT behind it, else ends the line before; dates of a list
-    share the label of the first. Two dates joined by a dash are an effective and an end date.
+def _label(text: str, nearest_end: bool) -> str | None:
+    """The label nearest to the text's end, or to its start."""
+    found = list(_LABEL.finditer(text))
+    if not found:
+        return None
+    m = max(found, key=lambda m: m.end()) if nearest_end else found[0]
+    return _PHRASES[int(m.lastgroup[1:])][1]
+
+
+class _Found:
+    """The dates of one text as they are read."""
+
+    def __init__(self, today: date):
+        self.today, self.best, self.heading, self.identified = today, {}, [], set()
+
+    def add(self, label: str, value: date, near: bool) -> None:
+        """A nearer label goes before a farther one; else ends take the earliest, effective dates the nearest, others the latest that is past."""
+        if label != "effective_date" and label not in FUTURE and value > self.today:
+            return
+        old = self.best.get(label)
+        if old and old[1] != near:
+            better = near
+        elif not old:
+            better = True
+        elif label in FUTURE:
+            better = value < old[0]
+        elif label == "effective_date":
+            better = abs((self.today - value).days) < abs((self.today - old[0]).days)
+        else:
+            better = value > old[0]
+        if better:
+            self.best[label] = (value, near)
+
+
+def extract_dates(text: str, today: date, label_texts: tuple[str, ...] = ()) -> dict:
+    """The labelled dates of a text, and its newest dates (``identified_dates``, sorted, distinct).
+
+    A label stands before a date on its line (up to LEFT letters away it comes first), up to RIGHT letters behind it, or on the
+    line before, behind that line's last date; dates of a list share the label of the first. Two dates joined by a dash
+    are an effective and an end date. A line that ends in a comma goes on in the next. Lines about form approvals are
+    skipped, and nothing is read behind the heading of references. Without an effective date, one of ``label_texts`` counts,
+    else one of the heading without a label, else the only date there is.
     """
-    out: dict = dict.fromkeys(LABELS)
-    identified, before = set(), ""
+    last_year = today.year + 1
+    found, words, before, before_end = _Found(today), 0, "", 0
     for line in text.split("\n"):
-        low, last, last_end = line.lower(), None, -1
-        dates = found_dates(line)
+        if _REFERENCES.fullmatch(line):
+            break
+        if "omb approval" in line.lower():
+            before, before_end = "", 0
+            continue
+        if before.endswith(","):
+            line, offset = f"{before} {line}", before_end
+        else:
+            offset = 0
+        quarter = quarter_date(line, last_year)
+        if quarter:
+            found.heading.append(quarter)
+            found.identified.add(quarter)
+        last, last_end, spanned = None, offset, -1
+        dates = [x for x in found_dates(line, last_year, words < HEADING) if x[0] >= offset]
         for n, (start, end, value) in enumerate(dates):
-            identified.add(value)
-            if n + 1 < len(dates) and _SPAN.fullmatch(line[end : dates[n + 1][0]]):
-                pair = (("effective_date", value), ("end_date", dates[n + 1][2]))
-                for label, own in pair:
-                    out[label] = own if _better(label, own, out[label], today) else out[label]
-                last, last_end = "end_date", dates[n + 1][1]
-                continue
-            if last == "end_date" and last_end == end:
-                continue
-            label = _label(low[max(0, start - LEFT, last_end) : start], True)
-            if label is None and last and re.fullmatch(r"[\s,;&]*(?:and)?\s*", line[last_end:start]):
-                label = last
-            label = label or _label(low[end : end + RIGHT], False) or (_label(before[-LEFT:], True) if not low[:start].strip() else None)
-            if label and _better(label, value, out[label], today):
-                out[label] = value
-            last, last_end = label, end
-        before = low if line.strip() else before
-    out["identified_dates"] = sorted(identified)
-    if out["effective_date"] is None and len(identified) == 1 and not any(out[k] for k in LABELS):
-        out["effective_date"] = next(iter(identified))
+            found.identified.add(value)
+            following = dates[n + 1] if n + 1 < len(dates) else None
+            if following and _DASH.fullmatch(line[end : following[0]]):
+                found.add("effective_date", value, True)
+                found.add("end_date", following[2], True)
+                spanned = following[0]
+            elif start != spanned:
+                near = _label(line[max(last_end, start - LEFT) : start], True)
+                label = near or (last if last and _LIST.fullmatch(line[last_end:start]) else None) or _label(line[last_end:start], True)
+                behind = None if label else _label(line[end : end + RIGHT], False) or _label(before[before_end:], True)
+                if label or behind:
+                    found.add(label or behind, value, bool(near or behind or offset))
+                elif words < HEADING:
+                    found.heading.append(value)
+                last = label or behind
+            last_end = end
+        words += len(line.split(" "))
+        if line:
+            before, before_end = line, last_end
+    out: dict = {label: found.best[label][0] if label in found.best else None for label in LABELS}
+    if out["effective_date"] is None:
+        told = [d for t in label_texts for _, _, d in found_dates(t, last_year)] or found.heading or (list(found.identified) if len(found.identified) == 1 else [])
+        told = [d for d in told if d != out["end_date"]]
+        out["effective_date"] = min(told, key=lambda d: abs((today - d).days), default=None)
+        found.identified.update(told)
+    out["identified_dates"] = sorted(found.identified)[-IDENTIFIED:]
     return out
 
 
 SCHEMA = ", ".join(f"{k}: date" for k in LABELS) + ", identified_dates: array<date>"
 
 
-def labelled_dates(text: Column, as_of: str) -> Column:
-    """The dates of ``text`` as a struct, resolved against the day ``as_of``; null texts have none."""
-    return _on(date.fromisoformat(as_of))(text)
+def labelled_dates(text: Column | str, as_of: str, label_text: Column | str | None = None) -> Column:
+    """The dates of ``text`` as a struct, resolved against the day ``as_of``; null texts have none.
 
+    ``label_text`` is a title or link that may tell the effective date. Texts without two digits together are not sent to Python.
+    """
+    today = date.fromisoformat(as_of)
+    text = F.col(text) if isinstance(text, str) else text
+    kind = f"struct<{SCHEMA.replace(': ', ':')}>"
 
-def _on(today: date) -> Callable[[Column], Column]:
-    @F.pandas_udf(f"struct<{SCHEMA.replace(': ', ':')}>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([extract_dates(t or "", today) for t in texts], columns=[*LABELS, "identified_dates"])
+    def run(texts: pd.Series, more: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([extract_dates(t or "", today, (m,) if m else ()) for t, m in zip(texts, more, strict=True)], columns=[*LABELS, "identified_dates"])
 
-    return run
+    more = F.coalesce(F.col(label_text) if isinstance(label_text, str) else label_text, F.lit("")) if label_text is not None else F.lit("")
+    none = F.struct(*[F.lit(None).cast("date").alias(k) for k in LABELS], F.array().cast("array<date>").alias("identified_dates"))
+    empty = ~(F.coalesce(text, F.lit("")).rlike("[0-9]") | more.rlike("[0-9]"))
+    return F.when(empty, none).otherwise(F.pandas_udf(run, kind)(F.when(~empty, text), more))

@@ -184,3 +184,187 @@ def date_differs(a: Column, b: Column) -> Column:
 def header_place(header: Column, part: str) -> Column:
     """The place, from 0, of the first header cell that holds ``part``; -1 if none does."""
     return (F.array_position(F.transform(header, lambda h: F.contains(F.lower(h), F.lit(part.lower()))), F.lit(True)) - 1).cast("int")
+
+
+def content_digest(text: Column, content: Column) -> Column:
+    """MD5 of the trimmed text's bytes with those of a file behind them; nulls count as empty."""
+    return F.md5(F.concat(F.trim(F.coalesce(text, F.lit(""))).cast("binary"), F.coalesce(content, F.lit("").cast("binary"))))
+
+
+def document_digest(extension: Column, text: Column, content: Column) -> Column:
+    """The text's digest for HTML, which changes from load to load, else that of the bytes."""
+    return F.when(extension == "html", text_digest(text)).otherwise(F.md5(content))
+
+
+def compacted(values: Column) -> Column:
+    """The elements that are neither null nor empty."""
+    return F.filter(values, lambda v: v.isNotNull() & (v != ""))
+
+
+def naive_date(when: Column) -> Column:
+    """Midnight of a time's day, without a zone; null stays null."""
+    return F.date_trunc("day", when).cast("timestamp_ntz")
+
+
+def href_selector(extensions: Column, keywords: Column) -> Column:
+    """A CSS selector of links whose target ends with an extension or holds a keyword; empty if there are none."""
+    ends = F.transform(extensions, lambda e: F.concat(F.lit('a[href$=".'), e, F.lit('"]')))
+    holds = F.transform(keywords, lambda k: F.concat(F.lit('a[href*="'), k, F.lit('"]')))
+    return F.array_join(F.concat(ends, holds), ", ")
+
+
+def hidden_selector(extensions: Column) -> Column:
+    """A CSS selector of hidden inputs whose value ends with an extension."""
+    return F.array_join(F.transform(extensions, lambda e: F.concat(F.lit('input[type="hidden"][value$=".'), e, F.lit('"]'))), ", ")
+
+
+def xpath(tag: Column, attribute: Column, value: Column, contains: Column) -> Column:
+    """The XPath of elements with an attribute, of a value or holding it; any element if the tag is null."""
+    own = F.concat(F.lit("//"), F.coalesce(tag, F.lit("*")))
+    held = F.concat(own, F.lit("[contains(@"), attribute, F.lit(", '"), value, F.lit("')]"))
+    same = F.concat(own, F.lit("[@"), attribute, F.lit("='"), value, F.lit("']"))
+    return F.when(attribute.isNull(), own).when(value.isNull(), F.concat(own, F.lit("[@"), attribute, F.lit("]"))).when(contains, held).otherwise(same)
+
+
+def disposition_name(header: Column) -> Column:
+    """The file name in a content-disposition header, with or without quotes."""
+    return _first(header, r"""(?i)filename\*?=(?:UTF-8'')?["']?([^"';]+)["']?""")
+
+
+def guessed_extension(url: Column, disposition: Column, content_type: Column) -> Column:
+    """A file's extension by its url's path, else by its header's name, else by its content type."""
+    return F.coalesce(F.nullif(extension(url_path(url)), F.lit("")), F.nullif(extension(disposition_name(disposition)), F.lit("")), extension_of_type(content_type))
+
+
+def us_date(text: Column) -> Column:
+    """``2020-01-31 00:00:00`` as ``01/31/2020``; null if it is no such time."""
+    return F.date_format(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")), "MM/dd/yyyy")
+
+
+def is_after(text: Column, now: Column) -> Column:
+    """Whether a time, as text, is after ``now``; false where it is missing or none."""
+    return F.coalesce(F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")) > now, F.lit(False))
+
+
+def safe_int(text: Column) -> Column:
+    """A whole number out of text; null if it is none."""
+    return F.when(F.trim(text).rlike(r"^[+-]?[0-9]{1,18}$"), F.trim(text).try_cast("long"))
+
+
+#: Medical groups are numbered in steps, so that their ids do not meet other groups' (fixed value).
+MEDICAL_STEP = 10_000
+
+
+def group_id(text: Column, medical: Column) -> Column:
+    """A group's id out of text; a medical group's is multiplied."""
+    own = safe_int(text)
+    return F.when(medical, own * MEDICAL_STEP).otherwise(own)
+
+
+def display_label(name: Column, own: Column, medical: Column) -> Column:
+    """``name | id``, with a medical group's id as it was given."""
+    return F.concat(name, F.lit(" | "), F.when(medical, F.floor(own / MEDICAL_STEP)).otherwise(own).cast("string"))
+
+
+def object_time(object_id: Column) -> Column:
+    """The time in the first eight hex digits of an object id; null if it is not of 24."""
+    return F.when(object_id.rlike("^[0-9a-fA-F]{24}$"), F.timestamp_seconds(F.conv(F.substring(object_id, 1, 8), 16, 10).cast("long")))
+
+
+def same_record(a: Column, b: Column, fields: list[str], skipped: tuple[str, ...] = ("name", "score")) -> Column:
+    """Whether two structs agree in all fields but the skipped ones; two nulls do."""
+    out = F.lit(True)
+    for f in fields:
+        if f not in skipped:
+            out = out & a[f].eqNullSafe(b[f])
+    return out
+
+
+def config_digest(config: Column) -> Column:
+    """MD5 of a struct's JSON."""
+    return F.md5(F.to_json(config))
+
+
+#: Groups of words that tell plans and routes apart (fixed values). A phrase holds if its words follow one another.
+KEYWORDS = {
+    "pa": ("pa", "prior authorization"),
+    "st": ("st", "step therapy"),
+    "oral": ("oral",),
+    "sublingual": ("sublingual",),
+    "buccal": ("buccal",),
+    "im": ("im", "instramuscular"),
+    "iv": ("iv", "intravenous"),
+    "sq": ("sq", "subcutaneous"),
+    "rectal": ("rectal",),
+    "vaginal": ("vaginal",),
+    "intranasal": ("intranasal",),
+    "inhalation": ("inhalation",),
+    "hmo": ("hmo",),
+    "ppo": ("ppo",),
+    "pos": ("pos",),
+    "pdp": ("pdp",),
+    "hix": ("hix",),
+    "ma": ("ma",),
+    "pd": ("pd",),
+    "medicaid": ("medicaid",),
+    "medicare": ("medicare",),
+    "part d": ("part d",),
+}
+
+
+def keyword_groups(text: Column, groups: dict[str, tuple[str, ...]] = KEYWORDS) -> Column:
+    """The names of the groups of which a word or phrase stands in the text."""
+    words = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " "), F.lit(" "))
+    has = lambda phrases: F.greatest(*[F.contains(words, F.lit(f" {p} ")) for p in phrases])
+    return F.filter(F.array(*[F.when(has(phrases), F.lit(name)) for name, phrases in groups.items()]), lambda x: x.isNotNull())
+
+
+#: What abbreviations in drug names stand for, in order (fixed values).
+DRUG_WORDS = (
+    ("tabs?", "tablet"),
+    ("chew", "chewable"),
+    ("ca?ps?", "capsule"),
+    ("cp24", "capsule extended release"),
+    ("12.hour", "12 HR extended release"),
+    ("24.hour", "24 HR extended release"),
+    ("soln", "solution"),
+    ("tbec", "tablet delayed release"),
+    ("tbcr", "tablet extended release"),
+    ("dr", "delayed release"),
+    ("er", "extended release"),
+    ("xr", "extended release"),
+    ("cr", "extended release"),
+    ("controlled release", "extended release"),
+    ("sl", "sublingual"),
+    ("liqd", "liquid"),
+    ("inj", "injection"),
+    ("conc", "concentrate"),
+    ("prsyr", "prefilled syringe"),
+    ("pref", "prefilled"),
+    ("suppos", "suppository"),
+    ("supp", "suppository"),
+    ("susp", "suspension"),
+    ("oint", "ointment"),
+    ("ophth", "ophthalmic"),
+    ("im", "intramuscular"),
+    ("act", "actuation"),
+    ("actuat", "actuation"),
+    ("pow", "powder"),
+)
+
+
+def drug_name(text: Column) -> Column:
+    """A drug's name in one spelling: single spaces, ``.5`` as ``0.5``, abbreviations written out. Null is empty."""
+    out = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
+    out = F.regexp_replace(out, r"(^|[^0-9])\.([0-9])", "$10.$2")
+    for pattern, name in DRUG_WORDS:
+        out = F.regexp_replace(out, rf"(?i)\b{pattern}\b", name)
+    return out
+
+
+def drug_names(text: Column, separators: str = "/,") -> Column:
+    """The names that a list of strengths stands for: what is before the first number with each part behind it. Without a separator, one."""
+    own = drug_name(text)
+    name, rest = F.trim(F.regexp_extract(own, r"^([^0-9]*)(.*)$", 1)), F.regexp_extract(own, r"^([^0-9]*)(.*)$", 2)
+    parts = F.transform(F.split(rest, f"[{separators}]"), lambda x: F.trim(F.concat(name, F.lit(" "), F.trim(x))))
+    return F.when(rest.rlike(f"[{separators}]"), parts).otherwise(F.array(own))

@@ -35,6 +35,18 @@ def tag_changes(current: DataFrame, previous: DataFrame, key: list[str], field:
     return both.select(*key, status.alias("status"))
 
 
+def paired_tags(current: DataFrame, previous: DataFrame, code: str, page: str, ties: list[str]) -> DataFrame:
+    """code, removed, added, changed: each code's tags of both versions paired in the order of their pages; changed ones are on another page.
+
+    Tags of one code and version are numbered by a window, so a code that has a large share of all is one sort; ``ties`` makes the order whole.
+    """
+    numbered = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy(code).orderBy(page, *ties)))
+    a = numbered(current).select(code, "_r", F.col(page).alias("_new"))
+    b = numbered(previous).select(code, "_r", F.col(page).alias("_old"))
+    both = a.join(b, [code, "_r"], "full")
+    return both.groupBy(code).agg(F.count_if(F.col("_new").isNull()).alias("removed"), F.count_if(F.col("_old").isNull()).alias("added"), F.count_if(F.col("_new") != F.col("_old")).alias("changed"))
+
+
 def new_elements(candidate: Column, existing: Column) -> Column:
     """Elements of one array that the other has not."""
     return F.array_except(candidate, existing)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.functions import dates, doc_types, vectorized
+from docloom.functions import dates, doc_types, textdiff, vectorized
 from docloom.functions import scalar as fn
 from docloom.operators import diff, extraction, lineage, tagging
 from docloom.operators.lifecycle import first_seen
@@ -57,13 +57,17 @@ def doc_type_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT a, b, r FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS score
-    FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE x.vec_id < 50)) WHERE r <= 3""")
+    FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 50 = 0)) WHERE r <= 3""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three vectors of the same label with the greatest cosine, for fifty stated queries (X-39)."""
+    """The three vectors with the greatest cosine for every fiftieth one, against all (X-39).
+
+    The queries are copied to blocks of candidates; each block keeps three of its own for a query before the shuffle.
+    """
     v = table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id < 50").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), "label")
-    other = v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), "label")
-    rows = asked.join(other, "label").where("a <> b").select("a", "b", fn.cosine(F.col("x"), F.col("y")).alias("score"))
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    other = v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    rows = asked.join(other, "block").where("a <> b").select("a", "b", fn.cosine(F.col("x"), F.col("y")).alias("score"))
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b")).cast("long")).where("r <= 3").select("a", "b", "r")
 
 
@@ -90,18 +94,33 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def extract_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled dates of orders' notes (X-36)."""
-    note = F.concat(F.lit("Last updated "), F.date_format("o_orderdate", "M/d/yyyy"), F.lit("\nEffective: "), F.date_format("o_orderdate", "MMMM d, yyyy"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", dates.labelled_dates(note, "2000-01-01").alias("d"))
-    return rows.select("o_orderkey", "d.effective_date", "d.last_updated_date", F.size("d.identified_dates").alias("n"))
-
-
+    """Labelled dates of all texts (X-36)."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", dates.labelled_dates("text", "2024-06-01").alias("d"))
+    return rows.select("doc_id", "d.*")
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS effective, strftime(o_orderdate + INTERVAL 40 DAY, '%Y-%m-%d') AS ends, strftime(o_orderdate - INTERVAL 3 DAY, '%Y-%m-%d') AS updated,
+    strftime(CASE month(o_orderdate) WHEN 1 THEN make_date(year(o_orderdate), 1, 1) ELSE make_date(year(o_orderdate), 4, 1) END, '%Y-%m-%d') AS published FROM orders""")
+def note_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled dates of notes in several formats: a span, a list cell, a quarter (X-36a to X-36f)."""
+    day = F.col("o_orderdate")
+    quarter = F.when(F.month(day) == 1, "1/").otherwise("Apr. ")
+    note = F.concat(
+        F.lit("Valid "), F.date_format(day, "MM/dd/yyyy"), F.lit(" - "), F.date_format(day + F.expr("INTERVAL 40 DAYS"), "MMMM d, yyyy"),
+        F.lit("\nLast updated on\n"), F.date_format(day - F.expr("INTERVAL 3 DAYS"), "yyyy.MM.dd"), F.lit("\npublished: "), quarter, F.year(day).cast("string"),
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", dates.labelled_dates(note, "2024-06-01").alias("d"))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return rows.select("o_orderkey", text("d.effective_date").alias("effective"), text("d.end_date").alias("ends"), text("d.last_updated_date").alias("updated"), text("d.published_date").alias("published"))
+
+
+_RUNS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t\\n\\r\\f\\v\\x1c-\\x1f\\x85\\p{Z}]+'), lambda x: x <> '')"
 _WORDS = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 
 
-@query(f"""WITH w AS (SELECT doc_id, unnest({_WORDS}) AS w, unnest(range(0, len({_WORDS}))) AS "at" FROM documents),
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
     t AS (SELECT DISTINCT item_id AS code, w[1] || ' ' || w[2] AS gram FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 2),
-    b AS (SELECT x.doc_id, x."at", x.w || ' ' || y.w AS gram FROM w x JOIN w y ON x.doc_id = y.doc_id AND y."at" = x."at" + 1)
+    b AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram, unnest(range(0, len(w) - 1)) AS "at" FROM w WHERE len(w) > 1)
     SELECT doc_id, code, CAST("at" AS INTEGER) AS "at" FROM b JOIN t USING (gram)""")
 def term_tagging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of two-word terms in texts (G-10, G-11)."""
@@ -166,6 +185,38 @@ def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.word_changes(_neighbours(spark, sf_dir), "doc_id", F.col("text"), F.col("newer"))
 
 
+@query(f"""WITH d AS (SELECT a.doc_id, a.text AS text, b.text AS newer FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+    w AS (SELECT doc_id, unnest({_RUNS}) AS word, -1 AS d FROM d UNION ALL SELECT doc_id, unnest({_RUNS.replace("text", "newer")}) AS word, 1 AS d FROM d)
+    SELECT doc_id, word, CAST(sum(d) AS BIGINT) AS change FROM w GROUP BY 1, 2 HAVING sum(d) <> 0""")
+def word_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that come and go in the edit script from one text to the next, summed up (G-04)."""
+    rows = _neighbours(spark, sf_dir).select("doc_id", F.explode(textdiff.word_changes(F.col("text"), F.col("newer"))).alias("w"))
+    return rows.groupBy("doc_id", "w.word").agg(F.sum("w.change").alias("change")).where("change <> 0")
+
+
+@query(f"""SELECT a.doc_id, CAST(len({_RUNS.replace("text", "b.text")}) - len({_RUNS.replace("text", "a.text")}) AS BIGINT) AS growth FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
+def diff_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the changed sections of two texts add, by their places (G-05)."""
+    size = F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + x["kind"] * F.aggregate(x["word_spans"], F.lit(0), lambda m, y: m + y["end"] - y["start"]))
+    return _neighbours(spark, sf_dir).select("doc_id", textdiff.changed_sections("text", "newer").alias("s")).select("doc_id", size.alias("growth"))
+
+
+@query()
+def clean_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed sections of two texts without repeated changes, noise and words that only moved on (G-02, G-03, G-06)."""
+    rows = _neighbours(spark, sf_dir).select("doc_id", textdiff.cleaned_texts("text", "newer").alias("c"))
+    rows = rows.select("doc_id", F.explode(textdiff.changed_sections("c.old", "c.new", moves=False)).alias("s"))
+    return rows.groupBy("doc_id", F.col("s.kind").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT l_suppkey AS code, l_partkey AS page, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber) AS r FROM lineitem WHERE l_linestatus = 'F'), b AS (SELECT l_suppkey AS code, l_partkey AS page, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey, l_orderkey, l_linenumber) AS r FROM lineitem WHERE l_linestatus <> 'F')
+    SELECT code, CAST(count(*) FILTER (a.page IS NULL) AS BIGINT) AS removed, CAST(count(*) FILTER (b.page IS NULL) AS BIGINT) AS added, CAST(count(*) FILTER (a.page <> b.page) AS BIGINT) AS changed FROM a FULL JOIN b USING (code, r) GROUP BY 1""")
+def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each code's tags in two versions, paired in order: added, removed, on another page (G-13)."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("code"), F.col("l_partkey").alias("page"), "l_orderkey", "l_linenumber", "l_linestatus")
+    return diff.paired_tags(lines.where("l_linestatus = 'F'"), lines.where("l_linestatus <> 'F'"), "code", "page", ["l_orderkey", "l_linenumber"])
+
+
 @query("""WITH a AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS f FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1, 2), b AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS f FROM lineitem WHERE l_partkey % 4 <> 0 GROUP BY 1, 2)
     SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.l_linenumber, b.l_linenumber) AS l_linenumber, CASE WHEN b.l_orderkey IS NULL THEN 'ADDED' WHEN a.l_orderkey IS NULL THEN 'REMOVED' WHEN a.f IS NOT DISTINCT FROM b.f THEN 'UNCHANGED' ELSE 'CHANGED' END AS status
     FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber""")
@@ -223,14 +274,14 @@ def lineage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE v AS (SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS previous FROM orders),
-    c AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 500 = 0 UNION SELECT v.previous FROM c JOIN v ON v.o_orderkey = c.o_orderkey WHERE v.previous IS NOT NULL) SELECT o_orderkey FROM c""")
+    c AS (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT v.previous FROM c JOIN v ON v.o_orderkey = c.o_orderkey WHERE v.previous IS NOT NULL) SELECT o_orderkey FROM c""")
 def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stated versions with all that came before them (J-11, J-12)."""
+    """The urgent versions with all that came before them (J-11, J-12)."""
     from docloom.operators.views import ancestors, versions
 
     orders = table(spark, sf_dir, "orders")
     chain = versions(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey")
-    return ancestors(chain.select("o_orderkey", "previous"), orders.where("o_orderkey % 500 = 0"), "o_orderkey", "previous")
+    return ancestors(chain.select("o_orderkey", "previous"), orders.where("o_orderpriority = '1-URGENT'"), "o_orderkey", "previous")
 
 
 @query("""SELECT page_id FROM (SELECT page_id, row_number() OVER (PARTITION BY regexp_replace(url, '[?#].*$', '') ORDER BY page_id) AS u, row_number() OVER (PARTITION BY md5(html) ORDER BY page_id) AS d FROM pages) WHERE u = 1 OR d = 1""")
