@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores that an area under a curve is summed in.
+RANGES = 64
+
+
 def daily_stats(runs: DataFrame, since: Column, site: str, started: str, found: str, new: str) -> DataFrame:
     """By day of each site's newest run since a time: new, updated (found - new) and all documents found."""
     newest = runs.where(F.col(started) >= since).groupBy(site).agg(F.max(F.struct(started, found, new)).alias("r"))
@@ -63,12 +67,22 @@ def prefix_groups(df: DataFrame, value: Column, length: int) -> DataFrame:
 
 
 def auc(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """positives, negatives and the area under the curve, from the ranks of the distinct scores' counts."""
-    counts = scored.groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("q"))
-    # negatives below each score; scores are few beside the rows
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    wins = counts.select("p", "q", (F.col("p") * (below + F.col("q") / 2)).alias("w"))
-    return wins.agg(F.sum("p").cast("long").alias("positives"), F.sum("q").cast("long").alias("negatives"), (F.sum("w") / (F.sum("p") * F.sum("q"))).alias("auc"))
+    """positives, negatives and the area under the curve, from the ranks of the distinct scores' counts.
+
+    Scores are cut into ranges at ``RANGES`` quantiles. Negatives below a score are those of the ranges before its own, of
+    which there are so many rows, and those of its range, over which a window goes. Null scores and labels take no part; without
+    positives or negatives the area is null.
+    """
+    rows = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counts = rows.groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("q"))
+    cuts = rows.agg(F.percentile_approx(F.col(score).cast("double"), [i / RANGES for i in range(1, RANGES)])).first()[0] or []
+    counts = counts.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(score).cast("double"))))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = counts.groupBy("_range").agg(F.sum("q").alias("_q")).select("_range", F.coalesce(F.sum("_q").over(before), F.lit(0.0)).alias("_before"))
+    inside = Window.partitionBy("_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_inside", F.coalesce(F.sum("q").over(inside), F.lit(0.0))).join(F.broadcast(ranges), "_range")
+    wins = counts.select("p", "q", (F.col("p") * (F.col("_before") + F.col("_inside") + F.col("q") / 2)).alias("w"))
+    return wins.agg(F.sum("p").cast("long").alias("positives"), F.sum("q").cast("long").alias("negatives"), F.try_divide(F.sum("w"), F.sum("p") * F.sum("q")).alias("auc"))
 
 
 def best_f1(scored: DataFrame, label: str, score: str, cuts: int = 100) -> DataFrame:

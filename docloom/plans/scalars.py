@@ -98,7 +98,7 @@ def drug_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(~F.col("p_name").rlike("[0-9]")).select("p_partkey", fn.drug_name(one).alias("one"), F.array_join(fn.drug_names(many), "|").alias("many"))
 
 
-_GUESS = (*RULES[:3], TypeRule("Covered Treatment List", ("covered treatment",)), *RULES[3:])
+_GUESS = (TypeRule("Covered Treatment List", (("covered treatment",),)), *RULES)
 
 
 @query(f"""SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'Medical Coverage Status' ELSE replace(coalesce({type_sql("replace(url, '/fr/', '-covered-treatment-')", _GUESS)}, 'Not Applicable'), 'Covered Treatment List', 'Medical Coverage List') END AS type FROM pages""")

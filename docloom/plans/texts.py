@@ -50,10 +50,15 @@ def consensus_attr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", fn.consensus(sources).alias("consensus"))
 
 
-@query(f"""SELECT page_id, {doc_types.type_sql("replace(url, '/en/', '/drug-list-formulary/')")} AS type FROM pages""")
+#: A title for each page, out of phrases of all rules.
+_TITLES = ("drug list", "formulary update", "medical policy", "pa list", "specialty drug list", "preventive list", "fee schedule", "step therapy", "site-of-care", "coverage determination", "criteria", "new to market", "unlisted guideline", "request form", "provider guide", "EOC", "summary of benefits", "NCCN", "ncd form list", "Committee agenda", "bulletin", "carve-out", "directory", "how to", "nothing")
+_TITLE = "CASE page_id % {} {} END".format(len(_TITLES), " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TITLES)))
+
+
+@query(f"SELECT page_id, {doc_types.type_sql(_TITLE)} AS type, {doc_types.type_sql('html')} AS page_type FROM pages")
 def doc_type_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document types by ordered rules (X-31, X-32)."""
-    return table(spark, sf_dir, "pages").select("page_id", doc_types.type_of(F.replace("url", F.lit("/en/"), F.lit("/drug-list-formulary/"))).alias("type"))
+    """Document types by ordered rules, of titles and of whole pages (X-31, X-32)."""
+    return table(spark, sf_dir, "pages").select("page_id", doc_types.type_of(F.expr(_TITLE)).alias("type"), doc_types.type_of(F.col("html")).alias("page_type"))
 
 
 @query("""SELECT a, b, r FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS r FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS score
@@ -246,9 +251,9 @@ _TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}_]+
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _marked(spark, sf_dir)
-    pairs = lineage.candidate_pairs(docs, "doc_id", ["lang"], "tokens", "n_chars", 0.8)
-    return lineage.scored_pairs(pairs, docs, "doc_id", "tokens").where("score > 0.8")
+    sets = lineage.token_sets(_marked(spark, sf_dir), "doc_id", "tokens", ["lang", "n_chars"])
+    pairs = lineage.candidate_pairs(sets, "doc_id", ["lang"], "n_chars", 0.8)
+    return lineage.scored_pairs(pairs, sets, "doc_id").where("score > 0.8")
 
 
 @query(f"""WITH t AS (SELECT doc_id, lang, n_chars, {_TOKENS} AS s FROM documents)
