@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -315,8 +317,12 @@ KEYWORDS = {
 def keyword_groups(text: Column, groups: dict[str, tuple[str, ...]] = KEYWORDS) -> Column:
     """The names of the groups of which a word or phrase stands in the text."""
     words = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " "), F.lit(" "))
-    has = lambda phrases: F.greatest(*[F.contains(words, F.lit(f" {p} ")) for p in phrases])
-    return F.filter(F.array(*[F.when(has(phrases), F.lit(name)) for name, phrases in groups.items()]), lambda x: x.isNotNull())
+
+    def told(w: Column) -> Column:  # the words are bound to a name, so that they are made once
+        has = lambda phrases: reduce(lambda x, y: x | y, [F.contains(w, F.lit(f" {p} ")) for p in phrases])
+        return F.filter(F.array(*[F.when(has(phrases), F.lit(name)) for name, phrases in groups.items()]), lambda x: x.isNotNull())
+
+    return F.get(F.transform(F.array(words), told), F.lit(0))
 
 
 #: What abbreviations in drug names stand for, in order (fixed values).
