@@ -142,3 +142,75 @@ def token_set(a: str, b: str) -> float:
 @F.pandas_udf(T.DoubleType())
 def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+
+#: Elements that the plain text of a page leaves out (fixed values).
+DROPPED = ("style", "script", "head", "title")
+
+
+def plain_text(text: str) -> str:
+    """A page's text as it stands, without dropped elements, comments and tags; entities are resolved."""
+    for tag in DROPPED:
+        text = re.sub(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "", text)
+    return html.unescape(re.sub(r"(?s)<!--.*?-->|<!?/?[A-Za-z][^>]*>|<\?[^>]*>", "", text))
+
+
+@F.pandas_udf(T.StringType())
+def html_plain_text(pages: pd.Series) -> pd.Series:
+    """The plain text of pages; null stays null."""
+    return pages.map(plain_text, na_action="ignore")
+
+
+class _Cleaner(HTMLParser):
+    """Writes a page again without the elements that a selector (element, attribute, value or None) finds."""
+
+    def __init__(self, selectors: list[tuple[str, str, str | None]]) -> None:
+        super().__init__(convert_charrefs=False)
+        self.selectors, self.out, self.depth, self.tags = selectors, [], 0, set()
+
+    def _gone(self, tag: str, attrs: list) -> bool:
+        own = dict(attrs)
+        return any(tag == t and a in own and (v is None or v == own[a] or v in (own[a] or "").split()) for t, a, v in self.selectors)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.depth or self._gone(tag, attrs):
+            self.depth += tag not in VOID
+        else:
+            self.tags.add(tag)
+            self.out.append(self.get_starttag_text())
+
+    def handle_endtag(self, tag: str) -> None:
+        if self.depth:
+            self.depth -= tag not in VOID
+        else:
+            self.out.append(f"</{tag}>")
+
+    def _keep(self, text: str) -> None:
+        if not self.depth:
+            self.out.append(text)
+
+    def handle_data(self, data: str) -> None:
+        self._keep(data)
+
+    def handle_entityref(self, name: str) -> None:
+        self._keep(f"&{name};")
+
+    def handle_charref(self, name: str) -> None:
+        self._keep(f"&#{name};")
+
+    def handle_decl(self, decl: str) -> None:
+        self._keep(f"<!{decl}>")
+
+
+def clean_page(text: str, selectors: list[tuple[str, str, str | None]], code: str | None = None) -> str:
+    """The page without selected elements, inside html and body elements, with ``Code: ...`` in bold at the body's start if there is one."""
+    cleaner = _Cleaner(selectors)
+    cleaner.feed(text)
+    cleaner.close()
+    out = "".join(cleaner.out)
+    if "body" not in cleaner.tags:
+        out = re.sub(r"(?is)(<html\b[^>]*>)(.*)(</html\s*>)", r"\1<body>\2</body>\3", out) if "html" in cleaner.tags else f"<body>{out}</body>"
+    if "html" not in cleaner.tags:
+        out = f"<html>{out}</html>"
+    mark = f"<b>Code: {html.escape(code)}</b>" if code else ""
+    return re.sub(r"(?i)<body\b[^>]*>", lambda m: m[0] + mark, out, count=1)
