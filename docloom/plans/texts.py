@@ -336,3 +336,40 @@ def code_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     fits = fn.glob_match(F.col("o_orderpriority"), "1-*").isNotNull() | fn.glob_match(F.col("o_orderpriority"), "2-*").isNotNull()
     return orders.where(fits).select("o_orderkey", F.col("o_orderpriority").alias("part"))
+
+
+_NO_ELEMENTS = "html"
+for _tag in vectorized.DROPPED:
+    _NO_ELEMENTS = f"regexp_replace({_NO_ELEMENTS}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
+
+
+@query(f"SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace({_NO_ELEMENTS}, '(?s)<!--.*?-->|<!?/?[A-Za-z][^>]*>|<\\?[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&nbsp;', chr(160)), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;', '&') AS text FROM pages")
+def html_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain text of pages as it stands (S-08)."""
+    return table(spark, sf_dir, "pages").select("page_id", vectorized.html_plain_text("html").alias("text"))
+
+
+_TAGS = "SELECT DISTINCT l_orderkey AS d, CAST(l_quantity * 10 AS INTEGER) AS \"at\", CAST(l_quantity * 10 + l_linenumber AS INTEGER) AS \"end\", l_returnflag AS text FROM lineitem"
+_AREAS = "SELECT l_orderkey AS d, CAST(l_partkey % 500 AS INTEGER) AS \"at\", CAST(max(l_partkey % 500 + 60) AS INTEGER) AS \"end\", l_linestatus = 'F' AS is_key FROM lineitem GROUP BY 1, 2, 4"
+
+
+@query(f"""WITH t AS ({_TAGS}), a AS ({_AREAS}), l AS (SELECT t.d, t."at", t."end", t.text, a.is_key, arg_max(a."end", a."at") AS area FROM t JOIN a ON a.d = t.d AND a."at" <= t."at" GROUP BY ALL),
+    s AS (SELECT t.*, coalesce(k.area > t."end", false) AS is_key, coalesce(f.area > t."end", false) AS inside FROM t LEFT JOIN l k ON k.is_key AND (k.d, k."at", k."end", k.text) = (t.d, t."at", t."end", t.text) LEFT JOIN l f ON NOT f.is_key AND (f.d, f."at", f."end", f.text) = (t.d, t."at", t."end", t.text))
+    SELECT s.d, "at", "end", text, is_key, text = o_orderstatus AS in_url, is_key OR inside OR text = o_orderstatus OR o_orderpriority = '1-URGENT' AS focus FROM s JOIN orders ON o_orderkey = s.d""")
+def tag_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether tags are in key or focus areas, in a url, or in a document of focus alone (G-09)."""
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    at, start = (F.col("l_quantity") * 10).cast("int").alias("at"), (F.col("l_partkey") % 500).cast("int").alias("at")
+    tags = lines.select(F.col("l_orderkey").alias("d"), at, (F.col("l_quantity") * 10 + F.col("l_linenumber")).cast("int").alias("end"), F.col("l_returnflag").alias("text")).distinct()
+    areas = lines.groupBy(F.col("l_orderkey").alias("d"), start, (F.col("l_linestatus") == "F").alias("is_key")).agg(F.max((F.col("l_partkey") % 500 + 60).cast("int")).alias("end"))
+    docs = orders.select(F.col("o_orderkey").alias("d"), F.when(F.col("o_orderpriority") == "1-URGENT", "Formulary").alias("type"), F.col("o_orderstatus").alias("url"))
+    out = tagging.focus_states(tags.join(docs, "d"), areas, "d", F.col("type"), F.lit(None).cast("string"), F.col("url"))
+    return out.select("d", "at", "end", "text", "is_key", "in_url", "focus")
+
+
+@query("""SELECT p_partkey, unnest(CASE WHEN p_size % 3 = 0 THEN [p_brand] WHEN p_size % 3 = 1 THEN [p_name] ELSE [p_brand, p_name] END) AS code FROM part""")
+def code_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each brand or generic code, as the row's kind asks (G-24)."""
+    kind = F.when(F.col("p_size") % 3 == 0, "brand").when(F.col("p_size") % 3 == 1, "generic")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array("p_brand").alias("b"), F.array("p_name").alias("g"), kind.alias("kind"))
+    return extraction.fanned_out(rows, "b", "g", F.col("kind")).select("p_partkey", "code")
