@@ -6,24 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def blank_footers(pages: DataFrame, key: str, page: str, lines: str) -> DataFrame:
-    """key, text: pages joined by form feeds, with lines that stand exactly once on every page blanked. One page: as it is."""
-    rows = pages.select(key, page, F.posexplode(lines).alias("at", "line"))
-    on_page = rows.groupBy(key, page, "line").agg(F.count("*").alias("n"))
-    every = pages.groupBy(key).agg(F.count("*").alias("pages"))
-    on_all = on_page.groupBy(key, "line").agg(F.count("*").alias("on"), F.max("n").alias("most")).join(every, key)
-    footers = on_all.where("most = 1 AND on = pages AND pages > 1 AND trim(line) <> ''").select(key, "line", F.lit(True).alias("footer"))
-    told = rows.join(footers, [key, "line"], "left").withColumn("line", F.when(F.col("footer"), F.repeat(F.lit(" "), F.length("line"))).otherwise(F.col("line")))
-    whole = told.groupBy(key, page).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("t"))
-    return whole.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(page, "t"))), lambda x: x["t"]), "\f").alias("text"))
+def blank_footers(docs: DataFrame, key: str, pages: Column) -> DataFrame:
+    """key, text: pages (an array of arrays of lines) joined by form feeds, with lines that stand exactly once on every page blanked.
+
+    One page, or none, is as it is; null pages give null. Everything is in the row, so nothing is shuffled.
+    """
+
+    def blanked(p: Column) -> Column:
+        once = lambda line: F.forall(p, lambda lines: F.size(F.filter(lines, lambda x: x == line)) == 1)
+        footers = F.when(F.size(p) > 1, F.filter(F.get(p, F.lit(0)), lambda line: (F.trim(line) != "") & once(line))).otherwise(F.array().cast("array<string>"))
+        # bound to a name, so that footers are found once
+        return F.get(F.transform(F.array(footers), lambda f: F.array_join(F.transform(p, lambda lines: F.array_join(F.transform(lines, lambda x: F.when(F.array_contains(f, x), F.repeat(F.lit(" "), F.length(x))).otherwise(x)), "\n")), "\f")), F.lit(0))
+
+    return docs.select(key, F.get(F.transform(F.array(pages), blanked), F.lit(0)).alias("text"))
 
 
 def word_changes(pairs: DataFrame, key: str, old: Column, new: Column) -> DataFrame:
-    """key, word, change: how many more of a word the new text has (below 0: fewer); words that are as many are left out."""
-    words = lambda text: F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    gone = pairs.select(key, F.explode(words(old)).alias("word"), F.lit(-1).alias("d"))
-    come = pairs.select(key, F.explode(words(new)).alias("word"), F.lit(1).alias("d"))
-    return gone.unionByName(come).groupBy(key, "word").agg(F.sum("d").alias("change")).where("change <> 0")
+    """key, word, change: how many more of a word the new text has (below 0: fewer); words that are as many are left out.
+
+    Null texts have no words; rows of one key count together. Pairs that a join on ``key`` has made are not shuffled again.
+    """
+    words = lambda text, d: F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.struct(w.alias("word"), F.lit(d).alias("d")))
+    both = pairs.select(key, F.explode(F.concat(words(old, -1), words(new, 1))).alias("w"))
+    return both.groupBy(key, F.col("w.word").alias("word")).agg(F.sum("w.d").alias("change")).where("change <> 0")
 
 
 def tag_changes(current: DataFrame, previous: DataFrame, key: list[str], field: str) -> DataFrame:

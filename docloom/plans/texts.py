@@ -173,8 +173,7 @@ def footer_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with lines blanked that stand once on every page of three lines (G-01)."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l"))
     cut = F.transform(F.sequence(F.lit(0), F.expr("(size(l) - 1) div 3").cast("int")), lambda i: F.slice("l", i * 3 + 1, F.lit(3)))
-    pages = lines.select("doc_id", F.posexplode(cut).alias("page", "lines"))
-    return diff.blank_footers(pages, "doc_id", "page", "lines")
+    return diff.blank_footers(lines, "doc_id", cut)
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,3 +372,31 @@ def code_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("p_size") % 3 == 0, "brand").when(F.col("p_size") % 3 == 1, "generic")
     rows = table(spark, sf_dir, "part").select("p_partkey", F.array("p_brand").alias("b"), F.array("p_name").alias("g"), kind.alias("kind"))
     return extraction.fanned_out(rows, "b", "g", F.col("kind")).select("p_partkey", "code")
+
+
+_LABELLED = f"SELECT DISTINCT term, label FROM (SELECT w[1] || ' ' || w[2] AS term, 'd' || item_id || ':' || item_id % 4 || CASE WHEN item_id % 3 = 0 THEN '|' ELSE '||' END || w[1] AS label FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= 2)"
+
+
+def _labelled_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").select("item_id", tagging.words_of(F.col("text")).alias("w")).where(F.size("w") >= 2)
+    label = F.concat(F.lit("d"), F.col("item_id").cast("string"), F.lit(":"), (F.col("item_id") % 4).cast("string"), F.when(F.col("item_id") % 3 == 0, "|").otherwise("||"), F.get("w", F.lit(0)))
+    return words.select(F.array_join(F.slice("w", 1, 2), " ").alias("term"), label.alias("label")).distinct()
+
+
+@query(f"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS page FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, page, {_WORDS} AS w FROM p),
+    b AS (SELECT doc_id, page, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram, unnest(range(0, len(w) - 1)) AS "at" FROM w WHERE len(w) > 1)
+    SELECT doc_id, CAST(page AS INTEGER) AS page, CAST("at" AS INTEGER) AS "at", split_part(split_part(label, '|', 1), ':', 1) AS code, CAST(split_part(split_part(label, '|', 1), ':', 2) AS INTEGER) AS priority, regexp_extract(label, '[^|]*$') AS name FROM b JOIN ({_LABELLED}) ON term = gram""")
+def therapy_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags on each page with the parts of their labels (G-10)."""
+    tags = tagging.tag_pages(table(spark, sf_dir, "documents"), "doc_id", F.split("text", "\n"), _labelled_terms(spark, sf_dir), table(spark, sf_dir, "nation").select(F.col("n_name").alias("word")))
+    return tags.withColumn("l", tagging.therapy_label(F.col("label"))).select("doc_id", "page", "at", "l.code", "l.priority", "l.name")
+
+
+@query(f"""SELECT DISTINCT d.doc_id, -1 AS page, term, CAST(doc_id % 7 AS INTEGER) AS code FROM documents d JOIN ({_LABELLED}) t ON contains(' ' || array_to_string({_WORDS.replace("text", "d.text")}, ' ') || ' ', ' ' || term || ' ') WHERE contains(lower(substr(d.text, 1, 400)), term)""")
+def url_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of a text that stand in its context too, here its first letters (G-11)."""
+    docs = table(spark, sf_dir, "documents")
+    terms = _labelled_terms(spark, sf_dir).select("term", F.concat_ws("|", "term", F.lit("name"), F.lit("12")).alias("label")).distinct()
+    tags = tagging.context_tags(tagging.tag_pages(docs, "doc_id", F.array("text"), terms), docs.withColumn("context", F.substring("text", 1, 400)), "doc_id", "context")
+    told = tags.withColumn("l", tagging.indication_label(F.col("label"))).where("l.code = 12 AND l.name = 'name' AND l.term = term")
+    return told.select("doc_id", "page", "term", (F.col("doc_id") % 7).cast("int").alias("code"))

@@ -163,9 +163,42 @@ def test_long_chains_and_lineages_are_followed_to_their_ends(spark):
     assert {r.lineage for r in labels.collect()} == {1}
 
 
+def test_pairs_of_a_hot_token_meet_in_tiles(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(lineage, "TILE", 5)
+    rng = random.Random(3)
+    rows = [(i, "en" if i % 5 else None, 100 + i % 7, ["hot", *(rng.choice("abcdefgh") for _ in range(rng.randrange(8)))] if i % 11 else None) for i in range(80)]
+    rows.append((80, "en", 100, []))
+    docs = spark.createDataFrame(rows, "id int, lang string, size int, tokens array<string>")
+    sets = lineage.token_sets(docs, "id", "tokens", ["lang", "size"])
+    out = {(r.a, r.b): r.score for r in lineage.scored_pairs(lineage.candidate_pairs(sets, "id", ["lang"], "size", 0.8), sets, "id").collect()}
+    expected = {}
+    for a, la, _, x in rows:
+        for b, lb, _, y in rows:
+            if a < b and la and la == lb and x and y and len(set(x) & set(y)) / len(set(x) | set(y)) > 0.8:
+                expected[a, b] = len(set(x) & set(y)) / len(set(x) | set(y))
+    assert {k: v for k, v in out.items() if v > 0.8} == pytest.approx(expected)
+
+
+def test_areas_under_curves(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(int(rng.random() < 0.4), round(rng.random(), 2)) for _ in range(3000)]
+    wins = sum((p > q) + 0.5 * (p == q) for lp, p in rows[:400] if lp for lq, q in rows[:400] if not lq)
+    n = sum(label for label, _ in rows[:400])
+    small = spark.createDataFrame([*rows[:400], (None, 0.5), (1, None)], "label int, score double")
+    assert stats.auc(small, "label", "score").first().auc == pytest.approx(wins / (n * (400 - n)))
+    assert stats.auc(small.where("label = 1"), "label", "score").first().auc is None
+    assert stats.auc(small.limit(0), "label", "score").first().auc is None
+
+
 def test_differences(spark):
-    pages = spark.createDataFrame([(1, 0, ["a", "foot"]), (1, 1, ["foot", "b"]), (2, 0, ["x"])], "id int, page int, lines array<string>")
-    assert {r.id: r.text for r in diff.blank_footers(pages, "id", "page", "lines").collect()} == {1: "a\n    \f    \nb", 2: "x"}
+    pages = [(1, [["a", "foot"], ["foot", "b"]]), (2, [["x"]]), (3, [["f", "f", "g", " "], ["f", "g", " "]]), (4, None), (5, []), (6, [["g"], []])]
+    pages = spark.createDataFrame(pages, "id int, pages array<array<string>>")
+    blanked = {r.id: r.text for r in diff.blank_footers(pages, "id", F.col("pages")).collect()}
+    assert blanked == {1: "a\n    \f    \nb", 2: "x", 3: "f\nf\n \n \ff\n \n ", 4: None, 5: "", 6: "g\f"}
     pair = spark.createDataFrame([(1, "line 1 line 2", "line 1 line two")], "id int, a string, b string")
     assert {(r.word, r.change) for r in diff.word_changes(pair, "id", F.col("a"), F.col("b")).collect()} == {("2", -1), ("two", 1)}
     new = spark.createDataFrame([("c", 1), ("c", 1), ("c", 2), ("d", 1)], "code string, v int")
@@ -177,6 +210,19 @@ def test_tags_and_sections(spark):
     docs = spark.createDataFrame([(1, "Take Foo bar, foo."), (2, None)], "id int, text string")
     terms = spark.createDataFrame([("a", "foo"), ("b", "Foo Bar"), ("c", "")], "code string, term string")
     assert {(r.id, r.code, r.at) for r in tagging.tag_terms(docs, "id", "text", terms).collect()} == {(1, "a", 1), (1, "b", 1), (1, "a", 3)}
+    long = "one two three four five six seven eight nine"
+    terms = spark.createDataFrame([("l", long), ("l", long.upper()), (None, "five")], "code string, term string")
+    docs = spark.createDataFrame([(1, f"zero {long} ten"), (1, "five"), (None, "five")], "id int, text string")
+    assert sorted(map(str, ((r.id, r.code, r.at) for r in tagging.tag_terms(docs, "id", "text", terms).collect()))) == ["(1, 'l', 1)", "(1, None, 0)", "(1, None, 5)", "(None, None, 0)"]
+    assert tagging.tag_terms(docs, "id", "text", terms.limit(0)).count() == 0
+    labels = spark.createDataFrame([("d1:2|55|Name",), ("d2|Other",), ("d3:1||N",), (None,)], "label string")
+    out = [r.l for r in labels.select(tagging.therapy_label(F.col("label")).alias("l")).collect()]
+    assert [tuple(x) for x in out] == [("d1", "55", "Name", 2), ("d2", None, "Other", 0), ("d3", None, "N", 1), (None, None, None, 0)]
+    pages = spark.createDataFrame([(1, ["a Foo® bar", "the foo"], "see FOO here"), (2, None, None)], "id int, pages array<string>, link string")
+    terms = spark.createDataFrame([("Foo", "x"), ("the", "y")], "term string, label string")
+    found = tagging.tag_pages(pages, "id", F.col("pages"), terms, spark.createDataFrame([("The",)], "word string"))
+    assert {(r.id, r.page, r.at, r.label) for r in found.collect()} == {(1, 0, 1, "x"), (1, 1, 1, "x")}
+    assert [(r.id, r.page, r.term) for r in tagging.context_tags(found, pages, "id", "link").collect()] == [(1, -1, "Foo")]
     text = spark.createDataFrame([(1, "xxDrug aDRUG b")], "id int, text string")
     assert [(r.at, r.end) for r in tagging.sections(text, "id", "text", "drug").orderBy("at").collect()] == [(2, 8), (8, 14)]
 
