@@ -53,7 +53,7 @@ _FORMATS = {
 _PATTERNS = {kind: re.compile(p, re.I) for kind, p in _FORMATS.items()}
 _UNIT = re.compile(r"[$%]|mg|ml|oz", re.I)
 _DASH = re.compile(r"\s*[-–—\xad]\s*")
-_LIST = re.compile(r"[\s,;&]*(?:and|or)?\s*")
+_LIST = re.compile(r"\s*(?:[,;&]\s*(?:and\b|or\b)?|and\b|or\b)\s*")
 _REFERENCES = re.compile(r"[^a-z]*references[^a-z]*", re.I)
 _QUARTER = re.compile(r"\bQ(?P<a>[1-4])\b|\b(?P<b>[1-4])(?:st|nd|rd|th)\s+(?:quarter|qtr)|\b(?P<c>first|second|third|fourth)\s+(?:quarter|qtr)|\b(?:quarter|qtr)\.?\s+(?P<e>[1-4])\b", re.I)
 _ORDINALS = ("first", "second", "third", "fourth")
@@ -102,14 +102,15 @@ def found_dates(line: str, last_year: int = 2099, heading: bool = True) -> list[
     return sorted(out)
 
 
-def quarter_date(line: str, last_year: int) -> date | None:
-    """The first day of a quarter that a line names beside a year."""
-    m = _QUARTER.search(line)
-    year = m and re.search(r"(?<![\d/\-.])(\d{4})(?![\d/\-.]\d?)", line)
-    if not year:
-        return None
-    number = int(m["a"] or m["b"] or m["e"] or _ORDINALS.index(m["c"].lower()) + 1)
-    return _day(int(year[1]), number * 3 - 2, 1, last_year)
+def quarter_dates(line: str, last_year: int) -> list[date]:
+    """The first days of the quarters that a line names beside a year: the next one behind it, else the first of the line."""
+    years = [(m.start(), int(m[0])) for m in re.finditer(r"(?<![\d/\-.])\d{4}(?![\d/\-.]\d?)", line)]
+    out = []
+    for m in _QUARTER.finditer(line) if years else ():
+        number = int(m["a"] or m["b"] or m["e"] or _ORDINALS.index(m["c"].lower()) + 1)
+        year = next((y for at, y in years if at >= m.end()), years[0][1])
+        out.append(_day(year, number * 3 - 2, 1, last_year))
+    return [d for d in out if d]
 
 
 def _label(text: str, nearest_end: bool) -> str | None:
@@ -167,12 +168,11 @@ def extract_dates(text: str, today: date, label_texts: tuple[str, ...] = ()) ->
             line, offset = f"{before} {line}", before_end
         else:
             offset = 0
-        quarter = quarter_date(line, last_year)
-        if quarter:
-            found.heading.append(quarter)
-            found.identified.add(quarter)
-        last, last_end, spanned = None, offset, -1
-        dates = [x for x in found_dates(line, last_year, words < HEADING) if x[0] >= offset]
+        quarters = quarter_dates(line, last_year)
+        found.heading += quarters
+        found.identified.update(quarters)
+        last, last_near, last_end, spanned = None, False, offset, -1
+        dates = [x for x in found_dates(line, last_year, words < HEADING and not quarters) if x[0] >= offset]
         for n, (start, end, value) in enumerate(dates):
             found.identified.add(value)
             following = dates[n + 1] if n + 1 < len(dates) else None
@@ -182,10 +182,12 @@ def extract_dates(text: str, today: date, label_texts: tuple[str, ...] = ()) ->
                 spanned = following[0]
             elif start != spanned:
                 near = _label(line[max(last_end, start - LEFT) : start], True)
-                label = near or (last if last and _LIST.fullmatch(line[last_end:start]) else None) or _label(line[last_end:start], True)
+                listed = last if last and _LIST.fullmatch(line[last_end:start]) else None
+                label = near or listed or _label(line[last_end:start], True)
                 behind = None if label else _label(line[end : end + RIGHT], False) or _label(before[before_end:], True)
                 if label or behind:
-                    found.add(label or behind, value, bool(near or behind or offset))
+                    last_near = bool(near or behind or offset or (listed and last_near))
+                    found.add(label or behind, value, last_near)
                 elif words < HEADING:
                     found.heading.append(value)
                 last = label or behind

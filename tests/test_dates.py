@@ -81,7 +81,7 @@ def test_what_is_no_date():
 
 def test_fallbacks_of_the_effective_date():
     assert labels("nothing", "List January 2022")[0] == {"effective_date": "2022-01-01"}
-    assert labels("Q3 2020 news")[0] == {"effective_date": "2020-07-01"}
+    assert labels("Q3 2020 news") == ({"effective_date": "2020-07-01"}, 1)
     assert labels("A heading 1/5/2021\n" + "word " * 30 + "\n2/2/2022")[0] == {"effective_date": "2021-01-05"}
     assert labels("word " * 30 + "\n2/2/2022")[0] == {"effective_date": "2022-02-02"}
     assert labels("word " * 30 + "\n2/2/2022 3/3/2023")[0] == {}
