@@ -39,7 +39,8 @@ def stage_dag(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CRON = "CASE c_custkey % 4 WHEN 0 THEN '* * * * *' WHEN 1 THEN '0 12 * * *' WHEN 2 THEN '0 12 20 1 6' ELSE '30 * * * *' END"
 
 
-@query(f"SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 3 AND c_acctbal > 0 AND c_custkey % 10 <> 0 AND length({_CRON}) > 0")
+@query(f"""SELECT c_custkey FROM (SELECT *, string_split({_CRON}, ' ') AS f, ['0', '12', '20', '1', '6'] AS t FROM customer)
+    WHERE list_bool_and(list_transform(range(1, 6), lambda i: f[i] = '*' OR f[i] = t[i])) AND c_acctbal > 0 AND c_custkey % 10 <> 0""")
 def cron_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites to collect at a time: due by cron, enabled and not running (X-29, F-32)."""
     now = F.lit(_NOW).cast("timestamp_ntz")
