@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.wordhash import give_back
+
 #: Buckets that blocks ask without relays.
 FAN = 512
 ASK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -67,13 +69,23 @@ def unpack_keys(blob: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    """A byte for each count; those of 255 and more follow whole."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    """Two bits for each count; for those of 3 and more a byte follows, and for those too large for one the whole number."""
+    code = np.minimum(counts, 3).astype(np.uint8)
+    more = counts[code == 3] - 3
+    return np.packbits(code & 1).tobytes() + np.packbits(code >> 1).tobytes() + np.minimum(more, 255).astype(np.uint8).tobytes() + more[more >= 255].astype("<i8").tobytes()
 
 
 def unpack_counts(blob: bytes, n: int) -> np.ndarray:
-    counts = np.frombuffer(blob, np.uint8, n).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(blob, "<i8", -1, n) if len(blob) > n else np.empty(0, np.int64)
+    size = -(-n // 8)
+    one, two = (np.unpackbits(np.frombuffer(blob, np.uint8, size, at), count=n) for at in (0, size))
+    counts = one.astype(np.int64) + 2 * two
+    large = counts == 3
+    k = int(large.sum())
+    more = np.frombuffer(blob, np.uint8, k, 2 * size).astype(np.int64)
+    whole = more == 255
+    if whole.any():
+        more[whole] = np.frombuffer(blob, "<i8", -1, 2 * size + k)
+    counts[large] += more
     return counts
 
 
@@ -129,6 +141,7 @@ def _rows(keys: np.ndarray, counts: np.ndarray, edges: np.ndarray, block: int, f
 
 def _read(asks: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Each row's keys; the distinct keys of all rows, where each row's keys are among them, and their counts."""
+    give_back()
     keys = [unpack_keys(b) for b in asks.column("keys").to_pylist()]
     counts = [unpack_counts(b, len(k)) for b, k in zip(asks.column("counts").to_pylist(), keys, strict=True)]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)

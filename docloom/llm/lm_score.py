@@ -17,29 +17,34 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.keycounts import ASK_DDL, Layout, totals
-from docloom.llm.wordhash import mix, word_hashes
+from docloom.llm.keycounts import ASK_DDL, Layout, no_stats, totals
+from docloom.llm.wordhash import give_back, mix, word_hashes
 
 #: Text bytes of a block, and of what stands behind one bucket of keys.
 BLOCK_BYTES = 8 << 20
 #: The weight of the shorter context's distribution, in observations: behind one word, and behind two.
 PRIORS = (100.0, 4.0)
 START, END = mix(np.array([1, 2], np.uint64))
-#: A word or sequence is told apart by 54 bits of its hash; two more bits of its key hold its length less one.
-KEY_BITS = 56
+#: Bits of the hashes by which words are told apart, and sequences of them. Words decide what is known and how many there
+#: are; of sequences so many share 50 bits with another as they are to 2**50, one in 10**5 at 10**10 of them.
+WORD_BITS, SEQUENCE_BITS = 62, 50
+#: Blocks of which one bucket counts the words; they are few beside the sequences.
+WORD_BLOCKS = 8
 
 
-def _keys(hashes: np.ndarray, kind: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - KEY_BITS)) & ~np.uint64(3) | np.uint64(kind)
+def _keys(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes >> np.uint64(64 - bits)
 
 
 class _Block:
     """A block's tokens (each text's words, then one end) and its distinct words, bigrams and trigrams."""
 
     def __init__(self, table: pa.Table):
+        give_back()
         words, counts = word_hashes(table.column("text"))
         self.lengths = counts + 1
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -47,12 +52,12 @@ class _Block:
         inside = np.ones(len(tokens), bool)
         inside[self.starts + counts] = False
         tokens[inside] = words
-        self.words, self.word = np.unique(_keys(tokens, 0), return_inverse=True)
+        self.words, self.word = np.unique(_keys(tokens, WORD_BITS), return_inverse=True)
         before = np.empty_like(tokens)
         before[1:] = tokens[:-1]
         before[self.starts] = START
         pairs = mix(before * np.uint64(3) + mix(tokens))
-        self.pairs, at, self.pair = np.unique(_keys(pairs, 1), return_index=True, return_inverse=True)
+        self.pairs, at, self.pair = np.unique(_keys(pairs, SEQUENCE_BITS), return_index=True, return_inverse=True)
         # a pair's context is the word before, or the start of a text, which stands behind all words
         context = np.empty(len(tokens), np.int64)
         context[1:] = self.word[:-1]
@@ -62,41 +67,45 @@ class _Block:
         self.long = np.ones(len(tokens), bool)
         self.long[self.starts] = False
         triples = mix(pairs[:-1] * np.uint64(5) + mix(tokens[1:]))[self.long[1:]]
-        self.triples, at, triple = np.unique(_keys(triples, 2), return_index=True, return_inverse=True)
+        self.triples, at, triple = np.unique(_keys(triples, SEQUENCE_BITS), return_index=True, return_inverse=True)
         self.triple = np.full(len(tokens), -1, np.int64)
         self.triple[self.long] = triple
         places = np.flatnonzero(self.long)[at]
         self.triple_context, self.triple_pair = self.pair[places - 1], self.pair[places]
-        self.keys = np.concatenate([self.words, self.pairs, self.triples])
-        self.order = np.argsort(self.keys)
+        # a key that a pair and a trigram share is one, and counts as often as both
+        self.sequences, at = np.unique(np.concatenate([self.pairs, self.triples]), return_inverse=True)
+        self.of_pair, self.of_triple = at[: len(self.pairs)], at[len(self.pairs) :]
 
-    def trained(self, held_out: np.ndarray) -> np.ndarray:
-        """How often each key stands in the texts to learn from."""
+    def sequence_counts(self, held_out: np.ndarray) -> np.ndarray:
+        """How often each pair and trigram stands in them."""
         learn = np.repeat(~held_out, self.lengths)
-        return np.concatenate(
-            [np.bincount(at[learn & (at >= 0)], minlength=len(keys)) for at, keys in ((self.word, self.words), (self.pair, self.pairs), (self.triple, self.triples))]
-        )
+        n = len(self.sequences)
+        return np.bincount(self.of_pair[self.pair[learn]], minlength=n) + np.bincount(self.of_triple[self.triple[learn & self.long]], minlength=n)
 
-    def split(self, told: np.ndarray) -> list[np.ndarray]:
-        """What was told about the keys in ascending order, by word, pair and triple."""
-        own = np.empty(len(told), np.int64)
-        own[self.order] = told
-        return np.split(own, [len(self.words), len(self.words) + len(self.pairs)])
+
+def _ask_words(layout: Layout):
+    def run(table: pa.Table) -> pa.Table:
+        words, counts = word_hashes(table.column("text"))
+        held_out = np.array(table.column("held_out").to_pylist(), bool)
+        keys, at = np.unique(_keys(np.append(words, END), WORD_BITS), return_inverse=True)
+        own = np.bincount(at[:-1][np.repeat(~held_out, counts)], minlength=len(keys))
+        own[at[-1]] += (~held_out).sum()
+        return layout.asked(keys, own, table.column("block")[0].as_py())
+
+    return run
 
 
-def _ask(layout: Layout):
+def _ask_sequences(layout: Layout):
     def run(table: pa.Table) -> pa.Table:
         block = _Block(table)
-        counts = block.trained(np.array(table.column("held_out").to_pylist(), bool))
-        return layout.asked(block.keys[block.order], counts[block.order], table.column("block")[0].as_py())
+        return layout.asked(block.sequences, block.sequence_counts(np.array(table.column("held_out").to_pylist(), bool)), table.column("block")[0].as_py())
 
     return run
 
 
 def _training(keys: np.ndarray, counts: np.ndarray) -> list[int]:
-    """Of one bucket, the tokens and the distinct words of the training texts."""
-    words = counts[keys & np.uint64(3) == 0]
-    return [int(words.sum()), int((words > 0).sum())]
+    """Of one bucket of words, the tokens and the distinct words of the training texts."""
+    return [int(counts.sum()), int((counts > 0).sum())]
 
 
 class Automaton:
@@ -104,7 +113,7 @@ class Automaton:
 
     def __init__(self, block: _Block, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, n: int, v: int, priors: tuple[float, float]):
         root = (words + 0.5) / (n + 0.5 * (v + 1))
-        ends = words[block.words == _keys(np.array([END]), 0)[0]]
+        ends = words[block.words == _keys(np.array([END]), WORD_BITS)[0]]
         contexts = np.append(words, ends[0] if len(ends) else 0)
         behind_one = (pairs + priors[0] * root[block.pair_word]) / (contexts[block.pair_context] + priors[0])
         behind_two = (triples + priors[1] * behind_one[block.triple_pair]) / (pairs[block.triple_context] + priors[1])
@@ -141,17 +150,17 @@ class Automaton:
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(layout: Layout, priors: tuple[float, float]):
+def _score(words: Layout, sequences: Layout, priors: tuple[float, float]):
     def run(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(docs):
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), **{c: pa.array([], pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")}, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
         block = _Block(docs)
-        told, (n, v) = layout.answered(answers)
-        words, pairs, triples = block.split(told)
-        automaton = Automaton(block, words, pairs, triples, int(n), int(v), priors)
+        told_words, (n, v) = words.answered(answers.filter(pc.equal(answers.column("kind"), 0)))
+        told, _ = sequences.answered(answers.filter(pc.equal(answers.column("kind"), 1)))
+        automaton = Automaton(block, told_words, told[block.of_pair], told[block.of_triple], int(n), int(v), priors)
         text = np.repeat(np.arange(len(docs)), block.lengths)
         base = np.bincount(text, weights=automaton.root[block.word], minlength=len(docs))
-        known = np.bincount(text, weights=(words > 0)[block.word], minlength=len(docs)).astype(np.int64)
+        known = np.bincount(text, weights=(told_words > 0)[block.word], minlength=len(docs)).astype(np.int64)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": block.lengths, "n_known": known, "train_tokens": np.full(len(docs), n), "base_score": base, "score": automaton.traverse(block)})
 
     return run
@@ -162,14 +171,16 @@ def score_texts(docs: DataFrame, held_out: Column, priors: tuple[float, float] =
 
     Learns from the rows that ``held_out`` is not true for and scores all. Null texts are empty: they have one token, the
     end. Repeated rows and rows with a null doc_id count like others. Without any row to learn from, every word is unknown
-    and the score is the base. Other columns are not read; an empty table gives an empty table. Words, bigrams and trigrams
-    are told apart by 54 bits of a hash. A block must fit one task, so a text of any length must.
+    and the score is the base. Other columns are not read; an empty table gives an empty table. Words are told apart by
+    62 bits of a hash, sequences by 50. A block must fit one task, so a text of any length must.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
-    layout = Layout(n_blocks, n_blocks, KEY_BITS)
+    words, sequences = Layout(n_blocks, -(-n_blocks // WORD_BLOCKS), WORD_BITS), Layout(n_blocks, n_blocks, SEQUENCE_BITS)
     # asked and scored from one exchange; the row's number deals out repeated rows as well
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n_blocks)))
-    answers = totals(blocks.groupBy("block").applyInArrow(_ask(layout), ASK_DDL), layout, _training)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(layout, priors), _SCORES)
+    told = totals(blocks.groupBy("block").applyInArrow(_ask_words(words), ASK_DDL), words, _training).withColumn("kind", F.lit(0))
+    more = totals(blocks.groupBy("block").applyInArrow(_ask_sequences(sequences), ASK_DDL), sequences, no_stats).withColumn("kind", F.lit(1))
+    answers = told.unionByName(more)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(words, sequences, priors), _SCORES)
