@@ -374,3 +374,18 @@ def drug_names(text: Column, separators: str = "/,") -> Column:
     name, rest = F.trim(F.regexp_extract(own, r"^([^0-9]*)(.*)$", 1)), F.regexp_extract(own, r"^([^0-9]*)(.*)$", 2)
     parts = F.transform(F.split(rest, f"[{separators}]"), lambda x: F.trim(F.concat(name, F.lit(" "), F.trim(x))))
     return F.when(rest.rlike(f"[{separators}]"), parts).otherwise(F.array(own))
+
+
+def normalized_spaces(text: Column) -> Column:
+    """The text with every run of white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(text, SPACES, " "))
+
+
+def scrubbed(text: Column) -> Column:
+    """The text with every run of other than letters and digits of ASCII as one space, trimmed."""
+    return F.trim(F.regexp_replace(text, "[^A-Za-z0-9]+", " "))
+
+
+def prefix_label(code: Column, several: Column) -> Column:
+    """How a group of codes is shown by its first code: ``0ppX`` for several; a single short code is filled up to four letters."""
+    return F.when(several, F.concat(F.lit("0"), F.substring(code, 1, 2), F.lit("X"))).when(F.length(code) == 2, F.concat(F.lit("0"), code, F.lit("x"))).when(F.length(code) == 3, F.concat(F.lit("0"), code)).otherwise(code)

@@ -107,3 +107,36 @@ def guessed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.coalesce(type_of(F.replace("url", F.lit("/fr/"), F.lit("-covered-treatment-")), _GUESS), F.lit("Not Applicable"))
     kind = F.when(kind == "Covered Treatment List", "Medical Coverage List").otherwise(kind)
     return table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 10 == 0, "Medical Coverage Status").otherwise(kind).alias("type"))
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS spaces, trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')) AS scrubbed FROM documents")
+def scrubbed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with single spaces, and with nothing but letters and digits (X-11)."""
+    return table(spark, sf_dir, "documents").select("doc_id", fn.normalized_spaces(F.col("text")).alias("spaces"), fn.scrubbed(F.col("text")).alias("scrubbed"))
+
+
+@query("""WITH c AS (SELECT CAST(p_partkey % 600 AS VARCHAR) AS code, min(p_partkey) AS k FROM part GROUP BY 1), g AS (SELECT substr(code, 1, 2) AS prefix, arg_min(code, k) AS code, count(*) AS n FROM c GROUP BY 1)
+    SELECT CASE WHEN n > 1 THEN '0' || substr(code, 1, 2) || 'X' WHEN length(code) = 2 THEN '0' || code || 'x' WHEN length(code) = 3 THEN '0' || code ELSE code END AS label, n FROM g""")
+def prefix_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes grouped by their first two letters, shown by the first one under a label of the group (A-20)."""
+    codes = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 600).cast("string").alias("code")).agg(F.min("p_partkey").alias("k"))
+    groups = codes.groupBy(F.substring("code", 1, 2).alias("prefix")).agg(F.min_by("code", "k").alias("code"), F.count("*").alias("n"))
+    return groups.select(fn.prefix_label(F.col("code"), F.col("n") > 1).alias("label"), "n")
+
+
+@query("""SELECT o_orderkey, c_mktsegment || o_orderpriority AS by_all, c_mktsegment || regexp_replace(o_orderpriority, '[0-9]-', '', 'g') AS by_rest, c_mktsegment || split_part(o_orderpriority, '-', 1) AS up_to FROM orders JOIN customer ON c_custkey = o_custkey""")
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of lineages to learn from: a base with a link's text, without its year, or up to a mark (G-21)."""
+    base, text = F.coalesce("c_mktsegment", F.lit("")), F.coalesce("o_orderpriority", F.lit(""))
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    keys = {"by_all": text, "by_rest": F.regexp_replace(text, "[0-9]-", ""), "up_to": F.split_part(text, F.lit("-"), F.lit(1))}
+    return rows.select("o_orderkey", *[F.concat(base, k).alias(name) for name, k in keys.items()])
+
+
+@query("""WITH n AS (SELECT l_orderkey % 100 AS doc, count(*) FILTER (l_returnflag = 'A') AS a, count(*) FILTER (l_returnflag = 'R') AS r, count(*) FILTER (l_returnflag = 'N') AS u, count(*) AS t FROM lineitem GROUP BY 1)
+    SELECT doc, t AS total, round(a / t, 6) AS added, round(r / t, 6) AS removed, round(u / t, 6) AS changed FROM n""")
+def tag_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which share of a document's tags was added, removed and changed (A-12, A-13)."""
+    share = lambda s: F.round(F.count_if(F.col("l_returnflag") == s) / F.count("*"), 6)
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("doc"))
+    return rows.agg(F.count("*").alias("total"), share("A").alias("added"), share("R").alias("removed"), share("N").alias("changed"))
