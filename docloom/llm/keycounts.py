@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from docloom.llm.wordhash import give_back
 
-#: Buckets that blocks ask without relays.
-FAN = 512
+#: Buckets that blocks ask without relays. So many leave a hundred keys and more to the row of a block and a bucket.
+FAN = 16_384
 ASK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("totals", pa.binary()), ("stats", pa.list_(pa.int64()))])
 ASK_DDL, ANSWER_DDL = "block long, bucket int, keys binary, counts binary", "block long, bucket int, totals binary, stats array<long>"

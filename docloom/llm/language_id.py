@@ -17,11 +17,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.wordhash import row_slices, text_bytes
+from docloom.llm.wordhash import text_bytes, text_slices
 
 UNDETERMINED = "und"
 #: Bytes that a window labels, bytes that it reads before and behind them, and windows that a task holds in one batch.
-WINDOW, MARGIN, BATCH = 256, 24, 1024
+WINDOW, MARGIN, BATCH = 256, 24, 512
 #: Text bytes that a task labels at once.
 SLICE_BYTES = 4 << 20
 #: The least score at which a filter keeps a text: below it, no language has a clear lead.
@@ -218,12 +218,6 @@ def _labelled(network: Network | None, texts: pa.Array) -> tuple[list[str], np.n
     return names, scores, given
 
 
-def _pieces(batches):
-    for batch in batches:
-        for at, end in row_slices(batch.column("text"), SLICE_BYTES):
-            yield batch.slice(at, end - at)
-
-
 def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     """doc_id, lang_pred, score (its mean probability over all bytes), lang_bytes (bytes given each language) for every row.
 
@@ -235,7 +229,7 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for batch in _pieces(batches):
+        for batch in text_slices(batches, SLICE_BYTES):
             names, scores, given = _labelled(network, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names), pa.array(scores), pa.array(given, pa.map_(pa.string(), pa.int64()))], names=["doc_id", "lang_pred", "score", "lang_bytes"])
 
@@ -243,11 +237,17 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, network: Network | None, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` (all columns; one is text) whose language is determined with a score of ``least`` or more."""
+    """The rows of ``docs`` (all columns; one is text) whose language is determined with a score of ``least`` or more.
 
-    def run(batches):
-        for batch in _pieces(batches):
-            names, scores, _ = _labelled(network, batch.column("text"))
-            yield batch.filter(pa.array((np.array(names) != UNDETERMINED) & (scores >= least)))
+    Only texts go to Python, and one truth value for each comes back.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        kept = []
+        for part in text_slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), SLICE_BYTES):
+            names, scores, _ = _labelled(network, part.column("text"))
+            kept.append((np.array(names, object) != UNDETERMINED) & (scores >= least))
+        return pa.array(np.concatenate([*kept, np.zeros(0, bool)]), pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    told = F.arrow_udf(run, "boolean")
+    return docs.where(told(docs["text"].cast("string")))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.wordhash import mix, row_slices, run_hashes, text_bytes
+from docloom.llm.wordhash import give_back, mix, run_hashes, text_bytes, text_slices
 
 BLOCK, PERCENTILE = 128, 90
 #: A segment is closed when it holds so many ids (a document is never split).
@@ -33,7 +33,7 @@ SEGMENT_IDS = 1 << 18
 #: Distinct pieces of text whose ids a worker keeps (under 100 bytes each).
 CACHE_PIECES = 500_000
 #: Text bytes that are encoded at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Words that the library gets in one string.
 LINE_PIECES = 500
 END_ID = 2
@@ -251,18 +251,19 @@ def _encode(path: Callable[[], str] | str, end_id: int) -> Callable[[Iterator[pa
             columns = [pa.concat_arrays(doc_ids), *map(np.concatenate, columns)]
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([len(columns[2])]), pa.array([write_segment(*columns)], pa.binary())], names=["shard", "number", "n_ids", "segment"])
 
-        for batch in batches:
-            for at, end in row_slices(batch.column("text"), SLICE_BYTES):
-                part = batch.slice(at, end - at)
-                ids, counts = encoder(*text_bytes(part.column("text")))
-                ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
-                kept.append((part.column("doc_id"), counts + 1, ids))
-                n_kept += len(ids)
-                if n_kept >= SEGMENT_IDS:
-                    yield segment()
-                    number, kept, n_kept = number + 1, [], 0
+        for part in text_slices(batches, SLICE_BYTES):
+            ids, counts = encoder(*text_bytes(part.column("text")))
+            ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id))
+            # a copy, as a slice would keep its whole batch
+            kept.append((pa.array(part.column("doc_id").to_pylist(), pa.int64()), counts + 1, ids))
+            n_kept += len(ids)
+            if n_kept >= SEGMENT_IDS:
+                yield segment()
+                number, kept, n_kept = number + 1, [], 0
         if kept:
             yield segment()
+            kept.clear()
+        give_back()
 
     return run
 

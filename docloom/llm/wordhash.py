@@ -6,13 +6,16 @@ bytes modulo 2**64, mixed; two different words share one with a chance of about
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that are hashed at once; bounds the memory beside the batch itself (about 30 bytes for each).
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
+_LIBC = ctypes.CDLL(None)
 _BASE = np.uint64(0x9E3779B97F4A7C13)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
@@ -62,7 +65,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def row_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``size`` bytes of text; a longer text is its own."""
-    _, offsets = text_bytes(texts)
+    offsets = np.append(0, np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64))
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
@@ -70,6 +73,22 @@ def row_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+def give_back() -> None:
+    """Hands memory that numpy and Arrow have freed back to the system: a worker lives on for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices of about ``size`` bytes of text."""
+    for batch in batches:
+        for at, end in row_slices(batch.column("text"), size):
+            yield batch.slice(at, end - at)
+        del batch
+        give_back()
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words in order, and each text's number of words."""
     data, offsets = text_bytes(texts)
