@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from docloom.llm.base import BROADCAST_IDS, without, written
 from docloom.llm.components import components
 from docloom.llm.keycounts import ASK_DDL, Layout, no_stats, totals
-from docloom.llm.wordhash import mix, row_slices, word_hashes
+from docloom.llm.wordhash import mix, text_slices, word_hashes
 
 #: Bytes of text in one block, and behind one bucket of the shingles' counts.
 BLOCK_BYTES = 8 << 20
@@ -64,12 +64,6 @@ def class_key(found: np.ndarray) -> int:
         return int(mix(np.array([mix(found).sum(dtype=np.uint64) * np.uint64(7) + np.uint64(len(found))], np.uint64))[0].astype(np.int64))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at, end in row_slices(batch.column("text"), SLICE_BYTES):
-            yield batch.slice(at, end - at)
-
-
 def bitmap(found: np.ndarray) -> list[int]:
     """Each member turns one bit over."""
     size = 64 * BITMAP_WORDS
@@ -79,7 +73,7 @@ def bitmap(found: np.ndarray) -> list[int]:
 
 def _classes(width: int):
     def run(batches):
-        for batch in _pieces(batches):
+        for batch in text_slices(batches, SLICE_BYTES):
             sets = list(shingle_sets(batch.column("text"), width))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(map(len, sets), pa.int64()), pa.array(map(class_key, sets), pa.int64())],
@@ -97,7 +91,7 @@ def _block(table: pa.Table, width: int) -> dict[int, np.ndarray]:
     docs = table.filter(pc.is_null(cls))
     docs = docs.filter(pc.is_in(docs.column("doc_id"), named.column("doc_id").combine_chunks()))
     own = {}
-    for part in _pieces(docs.select(["doc_id", "text"]).combine_chunks().to_batches()):
+    for part in text_slices(docs.select(["doc_id", "text"]).combine_chunks().to_batches(), SLICE_BYTES):
         for doc_id, found in zip(part.column("doc_id").to_pylist(), shingle_sets(part.column("text"), width), strict=True):
             if (doc_id, key := class_key(found)) in wanted:
                 own[key] = found
@@ -151,7 +145,7 @@ def _prefixes(width: int, percent: int, layout: Layout):
 
 def _whole_sets(width: int):
     def run(batches):
-        for batch in _pieces(batches):
+        for batch in text_slices(batches, SLICE_BYTES):
             sets = {class_key(s): s for s in shingle_sets(batch.column("text"), width)}
             columns = [pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary()), pa.array([bitmap(s) for s in sets.values()], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["cls", "members", "bits"])
@@ -253,8 +247,11 @@ def _links(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, width: int, pe
 
     # what is left: groups of different components; a group whose members are in several stands in each
     now = members.join(components(links), F.col("cls") == F.col("node"), "left").select("grp", "cls", F.coalesce("component", "cls").alias("root"))
-    roots = now.groupBy("grp", "root").agg(F.count("*").alias("k"))
-    left = entries.drop("first").join(roots, "grp")
+    roots = now.groupBy("grp", "root").agg(F.count("*").alias("k"), F.min("cls").alias("first"))
+    left = entries.drop("first").join(roots.drop("first"), "grp")
+    # where one class of a large group has a root of its own, its bitmap filters as that of a group of one class does
+    single = roots.where("k = 1").join(several, "grp", "left_semi").join(bits.withColumnRenamed("bits", "own_bits"), "first").select("grp", "root", "own_bits")
+    left = left.join(single, ["grp", "root"], "left").withColumn("bits", F.coalesce("bits", "own_bits")).drop("own_bits")
     spread = left.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
     left = written(left.join(spread, "token"), "left-entries")
     other = left.select("token", _three_bands().alias("band"), F.col("grp").alias("grp_m"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("at").alias("at_m"), F.col("bits").alias("bits_m"))
