@@ -2,7 +2,8 @@
 
 Every turn is rendered by the template, the rendered text is parsed again by the same grammar, and the recovered turn is
 compared with its source. A turn that does not come back identical, or holds a control string, is rendered again at the
-next level of escaping, until it does. The parser needs no level: it undoes escapes, which plain turns do not hold.
+next level of escaping, and parsed again; what differs even then is an error. The parser needs no level: it undoes escapes,
+which plain turns do not hold.
 
     output := turn*        turn := "<|im_start|>" role "\\n" text "<|im_end|>" "\\n"
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -72,41 +73,28 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, n_escaped, loss_spans (start from 1, length; in code points).
 
     ``turns`` has conv_id, turn, role, text; other columns are not read. Null roles and texts count as empty. Turns are
-    ordered by turn (nulls first), then role, then text; repeated rows stay. A null conv_id is a conversation of its own.
+    ordered by turn (nulls first), then role, then text; repeated rows stay. Rows of null conv_id are one conversation.
     An empty table gives an empty table. A conversation is one output value, so it must fit one task.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
-    level = F.when(_holds(F.col("role"), F.col("text"), 0), 0).otherwise(1)
+    level = F.when(_holds(F.col("role"), F.col("text"), 0), 0).when(_holds(F.col("role"), F.col("text"), 1), 1).otherwise(F.raise_error(F.lit("a turn does not come back from its rendering")).cast("int"))
     rows = rows.withColumn("_level", level)
     out = F.when(F.col("_level") == 0, _render(F.col("role"), F.col("text"), 0)).otherwise(_render(F.col("role"), F.col("text"), 1))
     body = F.when(F.col("_level") == 0, F.col("text")).otherwise(escape(F.col("text"), 1))
-    rows = rows.select(
-        "conv_id",
-        F.struct(
-            "turn",
-            "role",
-            "text",
-            out.alias("out"),
-            F.length(body).alias("n_body"),
-            (F.col("role") == loss_role).alias("loss"),
-            F.col("_level").alias("level"),
-        ).alias("_turn"),
-    )
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("_turn")).alias("_turns"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def step(state: Column, turn: Column) -> Column:
-        after = state["at"] + F.length(turn["out"])
-        shut = len(CLOSE) + 1
-        span = F.struct((after - shut - turn["n_body"] + 1).alias("start"), turn["n_body"].alias("length"))
-        return F.struct(after.alias("at"), F.when(turn["loss"], F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
-
+    rows = rows.select("conv_id", "turn", "role", "text", out.alias("_out"), F.length(body).alias("_body"), "_level")
+    # where each turn ends; the sum runs once over a conversation's turns
+    turns_so_far = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_after", F.sum(F.length("_out")).over(turns_so_far).cast("int"))
+    shut = len(CLOSE) + 1
+    span = F.when(F.col("role") == loss_role, F.struct((F.col("_after") - shut - F.col("_body") + 1).alias("start"), F.col("_body").alias("length")))
+    chats = rows.select("conv_id", F.struct("_after", F.col("_out").alias("out"), span.alias("span"), F.col("_level").alias("level")).alias("_turn"))
+    chats = chats.groupBy("conv_id").agg(F.sort_array(F.collect_list("_turn")).alias("_turns"))
     return chats.select(
         "conv_id",
         F.array_join(F.transform("_turns", lambda t: t["out"]), "").alias("formatted"),
         F.aggregate("_turns", F.lit(0), lambda n, t: n + t["level"]).alias("n_escaped"),
-        F.aggregate("_turns", start, step)["spans"].alias("loss_spans"),
+        F.filter(F.transform("_turns", lambda t: t["span"]), lambda s: s.isNotNull()).alias("loss_spans"),
     )
 
 

@@ -81,11 +81,11 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url
     judged = judged.withColumn("_subject", F.concat("host", "path"))
     probes = judged.select("_url", "_subject", F.explode(url_tokens(F.col("_subject"))).alias("_token"))
 
-    schema = "array<struct<_rule:string,_verdict:string,_regex:string,_tokens:array<string>,_tier:int,_named:boolean>>"
-    told_rules = json.dumps([dict(zip(("_rule", "_verdict", "_regex", "_tokens", "_tier", "_named"), vars(r).values(), strict=True)) for r in rules])
+    schema = "array<struct<_order:int,_rule:string,_verdict:string,_regex:string,_tokens:array<string>,_tier:int,_named:boolean>>"
+    told_rules = json.dumps([dict(zip(("_order", "_rule", "_verdict", "_regex", "_tokens", "_tier", "_named"), (i, *vars(r).values()), strict=True)) for i, r in enumerate(rules)])
     rule_table = spark.range(1).select(F.inline(F.from_json(F.lit(told_rules), schema)))
     send = F.broadcast if len(rules) <= BROADCAST_RULES else (lambda df: df)
-    rule_tokens = rule_table.select("_rule", "_tier", F.explode_outer("_tokens").alias("_token")).na.fill({"_token": ""})
+    rule_tokens = rule_table.select("_order", F.explode_outer("_tokens").alias("_token")).na.fill({"_token": ""})
     seen = (
         probes.join(send(rule_tokens.select("_token").distinct()), "_token", "left_semi")
         .groupBy("_token")
@@ -93,16 +93,16 @@ def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url
     )
     filed = (
         rule_tokens.join(send(seen), "_token", "left")
-        .groupBy("_rule", "_tier")
+        .groupBy("_order")
         .agg(F.min(F.struct(F.coalesce("_seen", F.lit(0)).alias("n"), F.col("_token"))).alias("_key"))
-        .select("_rule", "_tier", F.col("_key._token").alias("_token"))
+        .select("_order", F.col("_key._token").alias("_token"))
     )
-    index = rule_table.drop("_tokens").join(send(filed), ["_rule", "_tier"])
+    index = rule_table.drop("_tokens").join(send(filed), "_order")
     hits = (
         probes.join(send(index), "_token")
         .where(F.regexp_like("_subject", F.col("_regex")))
         .groupBy("_url")
-        .agg(F.min(F.struct(-F.col("_tier"), -F.length("_rule"), F.col("_rule"), F.col("_verdict"), F.col("_named"))).alias("_best"))
+        .agg(F.min(F.struct(-F.col("_tier"), -F.length("_rule"), F.col("_order"), F.col("_rule"), F.col("_verdict"), F.col("_named"))).alias("_best"))
     )
     best = F.col("_best")
     verdicts = judged.join(hits, "_url", "left").select(
