@@ -142,6 +142,17 @@ def test_leaks_equal_brute_force(spark):
     assert kept.columns == frame_.columns
     gone = {d for d, _ in _leaks(docs, items)}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in frame_.collect() if r.doc_id not in gone)
+    nulls = frame(spark, [(None, items[5][1], "en", "s"), (None, "a clean text", "en", "s"), (None, None, "en", "s")])
+    assert {r.text for r in decontaminate.drop_leaked(nulls, spark.createDataFrame(items, "item_id long, text string")).collect()} == {"a clean text", None}
+
+
+def test_leaks_in_a_very_long_text(spark):
+    rng = random.Random(12)
+    item = [f"q{i}" for i in range(30)]
+    text = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    text[41_000:41_020] = [*item[5:15], "zz", *item[16:25]]
+    out = decontaminate.find_leaks(frame(spark, [(1, " ".join(text), "en", "s")]), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.window_matched, r.doc_start) for r in out] == [(1, 7, 12, 40_995)]
 
 
 def test_leaks_of_empty_tables(spark):
@@ -565,6 +576,23 @@ def test_joins_equal_brute_force(spark, width, percent):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == _joined(rows, width, percent)
 
 
+def test_joins_and_scores_through_relays_are_the_same(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 40))), "en", "s") for i in range(80)]
+    rows += [(i + 100, t + " x", lang, s) for i, t, lang, s in rows[:20]]
+    docs = frame(spark, rows)
+
+    def both():
+        joined = Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join_ngrams(docs, 2, 80).collect())
+        return joined, {r.doc_id: (r.n_known, r.train_tokens, round(r.score, 9)) for r in lm_score.score_texts(docs, F.col("doc_id") % 5 == 1, block_bytes=200).collect()}
+
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 200)
+    direct = both()
+    monkeypatch.setattr(keycounts, "FAN", 2)
+    assert both() == direct
+    assert direct[0] == _joined([(i, t) for i, t, _, _ in rows], 2, 80)
+
+
 def test_members_of_one_group_meet_without_its_first(spark):
     rows, least = [], set()
     for g in range(12):  # the class keys, and with them the first of a group, depend on the words
@@ -627,3 +655,39 @@ def test_pipeline(spark):
     assert {r.doc_id for r in out} == first - leaked
     mixed = mixing.mix_sources(docs.where(F.col("doc_id").isin(*(first - leaked))), catalog.MIX_WEIGHTS).orderBy("mix_position").collect()
     assert [r.doc_id for r in out] == [r.doc_id for r in mixed]
+
+
+def _tables(spark, tmp_path, docs):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, SF, "benchmark").write.parquet(str(tmp_path / "benchmark.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_of_odd_documents(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    english = "the and of that is was with for this from by on as at be or an are it not"
+    rows = [(i, " ".join(random.Random(i).choices(english.split(), k=40)), "en", "src0" if i % 3 else None) for i in range(60)]
+    german = "der die das und ist nicht mit von auf ein zu den im sich des dem als auch es an"
+    rows += [(100 + i, " ".join(random.Random(i).choices(german.split(), k=40)), "de", "src1") for i in range(60)]
+    leak = table(spark, SF, "benchmark").where("length(text) > 100").first().text
+    rows += [(200, None, "en", "s"), (201, "", "en", "s"), (202, "12 34", None, "s"), (None, rows[0][1] + " null id", "en", "s"), (203, rows[5][1], "en", "s"), (5, rows[5][1], "en", "s"), (204, rows[7][1] + " " + leak, "en", "s"), (205, english, None, None)]
+    docs = frame(spark, rows).drop("n_chars").withColumn("mix_slot", F.lit(1)).withColumn("_leaked", F.lit(2)).withColumn("component_id", F.lit(3)).withColumn("shard", F.lit(4))
+    out = corpus_pipeline.run(spark, _tables(spark, tmp_path, docs)).orderBy("start").collect()
+    ids = [r.doc_id for r in out]
+    # no text or no letter, copies of 5, and a benchmark passage
+    assert set(ids) == {r[0] for r in rows} - {200, 201, 202, 203, 204} and len(ids) == len(set(ids))
+    encode = Tokenizer.from_file(catalog.tokenizer_path()).encode
+    texts = {i: t for i, t, _, _ in rows}
+    at = 0
+    for r in out:
+        own = [*encode(texts[r.doc_id]).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+        at += len(own)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, _tables(spark, tmp_path, frame(spark, []))).count() == 0
