@@ -17,7 +17,7 @@ HEADLINE = (
     "scd2_load", "daily_stats", "dup_checksum", "page_stats", "word_diff", "term_tagging", "footer_blank", "jaccard_pairs",
     "tag_compare_status", "extraction_delta", "extract_dates", "html_text",
 )
-WARM_RUNS = 1
+WARM_RUNS = int(os.environ.get("BENCH_WARM_RUNS", "3"))
 
 
 def timed(run, spark, sf_dir: str) -> float:
