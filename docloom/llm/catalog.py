@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table, with DuckDB SQL where SQL can express one."""
+"""The queries of the operators, each over its whole table, with DuckDB SQL where SQL can express one."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat_format, decontaminate, language_id, license_scan, lm_score, mixing, ngram_join, token_file, url_filter, vector_tree
+from docloom.llm import chat_format, conversation_repair, decontaminate, language_id, license_scan, lm_score, mixing, ngram_join, token_file, url_filter, vector_tree
 from docloom.llm.base import new_dir, table
 
 #: Blocks of each source in a period of the mix; sources that are not named have a block each.
@@ -88,9 +88,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(turns.unionByName(more)))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged, with their faults, cheapest edits and repaired turns."""
+    return conversation_repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_token_file, op3_mix_sources, op4_language_id, op5_lm_score, op6_license_scan, op7_vector_tree, op8_url_filter, op9_ngram_join, op10_chat_format)
+    for f in (op1_decontaminate, op2_token_file, op3_mix_sources, op4_language_id, op5_lm_score, op6_license_scan, op7_vector_tree, op8_url_filter, op9_ngram_join, op10_chat_format, op13_conversation_repair)
 }
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: The url filter in SQL: host rules by their suffix and prefix, then the patterns' regular expressions.
@@ -107,4 +112,5 @@ ORACLES: dict[str, str] = {
     "op8_url_filter": _URL_SQL,
     "op9_ngram_join": ngram_join.oracle_sql(),
     "op10_chat_format": chat_format.oracle_sql(),
+    "op13_conversation_repair": conversation_repair.oracle_sql(),
 }
