@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat_format, conversation_repair, decontaminate, language_id, license_scan, lm_score, mixing, ngram_join, token_file, url_filter, vector_tree
+from docloom.llm import chat_format, conversation_repair, decontaminate, language_id, license_scan, lm_score, mixing, ngram_join, packing, token_file, url_filter, vector_tree
 from docloom.llm.base import new_dir, table
 
 #: Blocks of each source in a period of the mix; sources that are not named have a block each.
@@ -25,6 +25,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def word_tokenizer_path() -> str:
+    """The file of the tokenizer with word ends, where the executor has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def fold(n: int) -> Column:
     """The fold of a document: the CRC-32 of its id as text, modulo ``n``."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -88,6 +95,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(turns.unionByName(more)))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids in as few sequences of 2048 as best fit and local search find."""
+    return packing.pack(packing.cut_documents(table(spark, sf_dir, "documents"), word_tokenizer_path))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations damaged, with their faults, cheapest edits and repaired turns."""
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
@@ -95,7 +107,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_token_file, op3_mix_sources, op4_language_id, op5_lm_score, op6_license_scan, op7_vector_tree, op8_url_filter, op9_ngram_join, op10_chat_format, op13_conversation_repair)
+    for f in (op1_decontaminate, op2_token_file, op3_mix_sources, op4_language_id, op5_lm_score, op6_license_scan, op7_vector_tree, op8_url_filter, op9_ngram_join, op10_chat_format, op11_best_fit_packing, op13_conversation_repair)
 }
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: The url filter in SQL: host rules by their suffix and prefix, then the patterns' regular expressions.
