@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import chat_format, conversation_repair, decontaminate, language_id, license_scan, lm_score, mixing, ngram_join, packing, token_file, url_filter, vector_tree
+from docloom.llm import chat_format, conversation_repair, decontaminate, language_id, license_scan, lm_score, mixing, ngram_join, packing, token_alignment, token_file, url_filter, vector_tree
 from docloom.llm.base import new_dir, table
 
 #: Blocks of each source in a period of the mix; sources that are not named have a block each.
@@ -32,6 +32,13 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_model_path() -> str:
+    """The file of the sentence-piece model, where the executor has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def fold(n: int) -> Column:
     """The fold of a document: the CRC-32 of its id as text, modulo ``n``."""
     return F.crc32(F.col("doc_id").cast("string")) % n
@@ -100,6 +107,11 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.cut_documents(table(spark, sf_dir, "documents"), word_tokenizer_path))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens by two tokenizers, with the groups that both cut and the counts of their links."""
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), (tokenizer_path, piece_model_path))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations damaged, with their faults, cheapest edits and repaired turns."""
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
@@ -107,7 +119,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_token_file, op3_mix_sources, op4_language_id, op5_lm_score, op6_license_scan, op7_vector_tree, op8_url_filter, op9_ngram_join, op10_chat_format, op11_best_fit_packing, op13_conversation_repair)
+    for f in (op1_decontaminate, op2_token_file, op3_mix_sources, op4_language_id, op5_lm_score, op6_license_scan, op7_vector_tree, op8_url_filter, op9_ngram_join, op10_chat_format, op11_best_fit_packing, op12_token_alignment, op13_conversation_repair)
 }
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 #: The url filter in SQL: host rules by their suffix and prefix, then the patterns' regular expressions.
