@@ -1,33 +1,34 @@
 """Operator 12, cross-tokenizer alignment: relational over tokens, once for each distinct stretch of text.
 
-``align`` is the relational part: tokens are exploded with their places, windowed cumulative lengths give their ends, an
-equi-join on document and end finds where both tokenizers cut, and running counts of such cuts number the groups; rows in
-which both sides stand are the links.
+``align`` is the relational part: tokens are exploded with their places, windowed cumulative lengths give their ends, equi-joins
+on document and end find where both tokenizers cut, running counts of such cuts number the groups, and groups are joined.
 
 Texts share most of their words, so that work is done once for each distinct stretch: both tokenizers keep apart what stands
 before and behind a stretch (``stretches``), so a text's tokens, groups and links are those of its stretches one after another. Texts
-are dealt to blocks, which ask for their distinct stretches; how often each occurs weighs its links in the corpus-wide counts; and
-blocks are told about their stretches and put their documents together.
+are packed in blocks, which ask for their distinct stretches; how often each occurs weighs its links in the corpus-wide counts; and
+blocks are told about their stretches and put their documents together. A stretch keeps a list of the blocks that ask for it, which is
+no longer than there are blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.base import BROADCAST_IDS, discard, written
 from docloom.llm.wordhash import give_back, mix, run_hashes, text_bytes, text_slices
 
 #: Bytes of text in one block, and that a task cuts at once.
-BLOCK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
+BLOCK_BYTES, SLICE_BYTES = 32 << 20, 1 << 20
 #: Stretches that go to the libraries at once.
 BATCH = 4096
 #: Bytes that can follow a space or line feed at which texts are cut: visible ASCII, and lead bytes that begin no white space.
@@ -49,6 +50,7 @@ class Tokenizers:
     """
 
     def __init__(self, path_a: str, path_b: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -113,91 +115,133 @@ def stretches(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return data, edges[:-1], edges[1:], np.diff(np.searchsorted(edges, offsets))
 
 
+_PACKED = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+
+def _pack(part: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _PACKED, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
+        writer.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(packed: pa.Array) -> Iterator[pa.RecordBatch]:
+    for own in packed:
+        yield from pa.ipc.open_stream(own.as_buffer())
+
+
 def _blocks(paths: Paths):
-    """The documents with a number of their block: texts that lie together, of BLOCK_BYTES. Those without tokens lose their text."""
+    """block and texts: slices of the documents, packed; texts that lie together, of BLOCK_BYTES, are a block. Texts without tokens go."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        tokenizers, size = tokenizers_of(paths), 0
+        tokenizers, size, first = tokenizers_of(paths), 0, TaskContext.get().partitionId() << 32
         for part in text_slices(batches, SLICE_BYTES):
-            texts = [t if tokenizers.takes(t) else None for t in part.column("text").to_pylist()]
-            block = (TaskContext.get().partitionId() << 32) + size // BLOCK_BYTES
+            texts = pa.array([t if tokenizers.takes(t) else None for t in part.column("text").to_pylist()], pa.string())
+            packed = _pack(pa.RecordBatch.from_arrays([part.column("doc_id"), texts], schema=_PACKED))
+            yield pa.RecordBatch.from_arrays([pa.array([first + size // BLOCK_BYTES], pa.int64()), pa.array([packed], pa.binary())], names=["block", "texts"])
             size += part.nbytes
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(texts), pa.int64()), part.column("doc_id"), pa.array(texts, pa.string())], names=["block", "doc_id", "text"])
         give_back()
 
     return run
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block, stretch, n: how often each distinct stretch stands in the part of a block that a batch brings."""
+    """block, stretch, n: how often each distinct stretch stands in the part of a block that follows in a task."""
+    block, found = None, {}
+
+    def told():
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], names=["block", "stretch", "n"])
+
     for batch in batches:
-        blocks = batch.column("block").to_numpy()
-        for block in np.unique(blocks):
-            table = pa.Table.from_batches([batch]).filter(pa.array(blocks == block)).filter(pc.is_valid(pc.field("text")))
-            found: dict[str, int] = {}
-            for part in text_slices(table.select(["text"]).combine_chunks().to_batches(), SLICE_BYTES):
-                data, starts, ends, _ = stretches(part.column("text"))
+        for own, packed in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
+            if own != block:
+                if found:
+                    yield told()
+                block, found = own, {}
+            for part in _unpack([packed]):
+                data, starts, ends, _ = stretches(part.column("text").drop_null())
                 _, first, counts = np.unique(run_hashes(data, starts, ends, _CODES), return_index=True, return_counts=True)
                 raw = data.tobytes()
                 for a, b, n in zip(starts[first].tolist(), ends[first].tolist(), counts.tolist(), strict=True):
-                    own = raw[a:b]
-                    found[own] = found.get(own, 0) + n
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(found), pa.int64()), pa.array(found.keys(), pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64())], names=["block", "stretch", "n"])
+                    found[raw[a:b]] = found.get(raw[a:b], 0) + n
+    if found:
+        yield told()
+    found.clear()
     give_back()
 
 
 def _tokens(paths: Paths):
-    """doc, stretch, n and both sides' ids with their lengths in bytes."""
+    """doc, key (the stretch's hash), n, blocks and both sides' ids."""
 
     def run(batches):
         from pyspark import TaskContext
 
         tokenizers, doc = tokenizers_of(paths), TaskContext.get().partitionId() << 33
-        size_a, size_b = (np.array([len(b) for b in table], np.int32) for table in (tokenizers.bytes_a, tokenizers.bytes_b))
         for batch in (whole.slice(at, BATCH) for whole in batches for at in range(0, len(whole), BATCH)):
+            data, offsets = text_bytes(batch.column("stretch"))
+            keys = run_hashes(data, offsets[:-1], offsets[1:], _CODES).astype(np.int64)
             a, b = zip(*tokenizers.tokens(batch.column("stretch").to_pylist()), strict=True)
-            columns = [pa.array(doc + np.arange(len(batch))), batch.column("stretch"), batch.column("n")]
+            columns = [pa.array(doc + np.arange(len(batch))), pa.array(keys), batch.column("n"), batch.column("blocks")]
             doc += len(batch)
-            for ids, sizes in ((a, size_a), (b, size_b)):
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([sizes[i] for i in ids], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "stretch", "n", "a", "a_size", "b", "b_size"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))], names=["doc", "key", "n", "blocks", "a", "b"])
 
     return run
 
 
-_TOKENS = "doc long, stretch string, n long, a array<int>, a_size array<int>, b array<int>, b_size array<int>"
+_TOKENS = "doc long, key long, n long, blocks array<long>, a array<int>, b array<int>"
 
 
-def align(tokens: DataFrame) -> DataFrame:
-    """doc, end, grp, a, b: every token of both sides at the byte where it ends, in the group of cuts that it belongs to.
+def vocabulary_sizes(spark: SparkSession, paths: Paths) -> tuple[DataFrame, DataFrame]:
+    """id and size (bytes) of every token of A and of B: as many rows as their vocabularies have, so they can be broadcast."""
+    tokenizers = tokenizers_of(paths)
+    return tuple(spark.createDataFrame(pa.table({"id": pa.array(range(len(told)), pa.int32()), "size": pa.array(map(len, told), pa.int32())})) for told in (tokenizers.bytes_a, tokenizers.bytes_b))
 
-    ``tokens`` has doc, a, a_size, b, b_size (ids and lengths in bytes, in order). A row with both a and b is a cut, and a link.
+
+@contextmanager
+def _dealt_once(spark: SparkSession) -> Iterator[None]:
+    """Lets joins on document and end (or group) take rows that are dealt by document alone as they are."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def align(tokens: DataFrame, sizes: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """doc, grp, a, b, cut: the groups of every document, with both sides' ids in order and the last ones, which end together.
+
+    ``tokens`` has doc, a, b (ids in order); ``sizes`` has id and size of each side's tokens. Both sides are dealt by document once; the
+    windows and joins after that need no exchange (run it within ``_dealt_once``).
     """
 
-    def ends(side):
-        rows = tokens.select("doc", side, f"{side}_size").repartition("doc")
-        rows = rows.select("doc", F.posexplode(F.arrays_zip(F.col(side).alias("id"), F.col(f"{side}_size").alias("size"))).alias("at", "token"))
+    def ends(side, own):
+        rows = tokens.select("doc", side).repartition("doc").select("doc", F.posexplode(side).alias("at", "id")).join(F.broadcast(own), "id")
         before = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-        return rows.select("doc", F.sum("token.size").over(before).alias("end"), F.col("token.id").alias(side))
+        return rows.select("doc", F.sum("size").over(before).alias("end"), F.col("id").alias(side))
 
-    both = ends("a").join(ends("b"), ["doc", "end"], "full")
-    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("long")
-    before = Window.partitionBy("doc").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
-    return both.select("doc", "end", (F.sum(cut).over(before) - cut).alias("grp"), "a", "b")
+    def groups(own, other, side, there):
+        """The side's ids by group: a token is in the group of as many cuts as end before it does."""
+        cut = F.col(there).isNotNull().cast("long")
+        before = Window.partitionBy("doc").orderBy("end").rowsBetween(Window.unboundedPreceding, 0)
+        rows = own.join(other, ["doc", "end"], "left").select("doc", "end", side, there, (F.sum(cut).over(before) - cut).alias("grp"))
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("end", side))), lambda t: t[side])
+        return rows.groupBy("doc", "grp").agg(ids.alias(f"{side}s"), F.max(there).alias("last"))
 
+    a, b = ends("a", sizes[0]), ends("b", sizes[1])
+    both = groups(a, b, "a", "b").join(groups(b, a, "b", "a").drop("last"), ["doc", "grp"])
+    return both.select("doc", "grp", F.col("as").alias("a"), F.col("bs").alias("b"), F.struct(F.element_at("as", -1).alias("a"), F.col("last").alias("b")).alias("cut"))
 
-def told_groups(aligned: DataFrame) -> DataFrame:
-    """doc, n_a, n_b, n_groups, groups: the groups as ``a1,a2|b1;a3|b2,b3``."""
-
-    def ids(side):
-        own = F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct("end", side))))
-        return F.array_join(F.transform(own, lambda t: t[side].cast("string")), ",")
 
-    groups = aligned.groupBy("doc", "grp").agg(F.concat(ids("a"), F.lit("|"), ids("b")).alias("told"), F.count("a").alias("n_a"), F.count("b").alias("n_b"))
-    told = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grp", "told"))), lambda g: g["told"]), ";")
-    return groups.groupBy("doc").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), told.alias("groups"))
+def told_groups(aligned: DataFrame) -> DataFrame:
+    """doc, n_a, n_b, n_groups, groups (as ``a1,a2|b1;a3|b2,b3``) and links, the pairs of ids that end together."""
+    ids = lambda side: F.array_join(F.transform(side, lambda i: i.cast("string")), ",")
+    rows = F.array_sort(F.collect_list(F.struct("grp", F.concat(ids("a"), F.lit("|"), ids("b")).alias("told"), "cut")))
+    whole = aligned.groupBy("doc").agg(F.sum(F.size("a")).alias("n_a"), F.sum(F.size("b")).alias("n_b"), F.count("*").alias("n_groups"), rows.alias("_rows"))
+    return whole.select("doc", "n_a", "n_b", "n_groups", F.array_join(F.transform("_rows", lambda r: r["told"]), ";").alias("groups"), F.transform("_rows", lambda r: r["cut"]).alias("links"))
 
 
 def link_counts(links: DataFrame) -> DataFrame:
@@ -212,30 +256,28 @@ _TOLD = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 def _documents(with_groups: bool):
     """The documents of a block, from what it has been told about its stretches."""
 
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        data, offsets = text_bytes(answers.column("stretch"))
-        keys, at = np.unique(run_hashes(data, offsets[:-1], offsets[1:], _CODES), return_index=True)
-        figures = np.stack([answers.column(c).to_numpy()[at] for c in _TOLD], 1) if len(at) else np.zeros((0, len(_TOLD)), np.int64)
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, at = np.unique(answers.column("key").to_numpy(), return_index=True)
+        figures = np.stack([answers.column(c).to_numpy()[at] for c in _TOLD], 1)
         told = answers.column("groups").take(pa.array(at)).to_pylist()
-        doc_ids, sums, texts = [], [np.zeros((0, len(_TOLD)), np.int64)], []
-        for part in text_slices(table.select(["doc_id", "text"]).combine_chunks().to_batches(), SLICE_BYTES):
+        doc_ids, sums, texts = [], [], []
+        for part in _unpack(packed.column("texts")):
             doc_ids.append(part.column("doc_id"))
-            held = pc.is_valid(part.column("text")).to_numpy(zero_copy_only=False)
-            data, starts, ends, counts = stretches(part.column("text").filter(pa.array(held)))
-            own = np.searchsorted(keys, run_hashes(data, starts, ends, _CODES))
+            held = part.column("text").is_valid().to_numpy(zero_copy_only=False)
+            data, starts, ends, counts = stretches(part.column("text").drop_null())
+            own = np.searchsorted(keys, run_hashes(data, starts, ends, _CODES).astype(np.int64))
             total = np.zeros((len(held), len(_TOLD)), np.int64)
-            total[held] = np.add.reduceat(figures[own], np.cumsum(counts) - counts, axis=0) if len(own) else 0
+            if len(own):
+                total[held] = np.add.reduceat(figures[own], np.cumsum(counts) - counts, axis=0)
             sums.append(total)
+            names = [told[i] for i in own.tolist()]
             edges = iter(np.append(0, np.cumsum(counts)).tolist())
-            own, low = own.tolist(), next(edges, 0)
+            low = next(edges)
             for there in held:
-                if there:
-                    high = next(edges)
-                    groups = ";".join([told[i] for i in own[low:high]])
-                    texts.append(groups if with_groups else hashlib.sha256(groups.encode()).hexdigest())
-                    low = high
-                else:
-                    texts.append("")
+                high = next(edges) if there else low
+                groups = ";".join(names[low:high])
+                texts.append(groups if with_groups or not there else hashlib.sha256(groups.encode()).hexdigest())
+                low = high
         sums = np.concatenate(sums)
         columns = [pa.chunked_array(doc_ids, pa.int64()), *(pa.array(sums[:, i]) for i in range(len(_TOLD))), pa.array(texts, pa.string())]
         return pa.table(columns, names=["doc_id", *_TOLD, "groups" if with_groups else "groups_sha256"])
@@ -246,25 +288,25 @@ def _documents(with_groups: bool):
 def align_documents(docs: DataFrame, paths: Paths, with_groups: bool = False) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 (or groups) for every row of ``docs`` (doc_id, text).
 
-    ``paths`` are the files of A and B, or functions that find them on an executor. A text that is null or empty, or whose tokens
+    ``paths`` are the files of A and B, or functions that find them on a machine. A text that is null or empty, or whose tokens
     do not add up to the text behind a space (it holds U+2581), has zeros and an empty string, and its links count nowhere. Null
     ids and repeated rows are documents like others; other columns are not read. An empty table gives an empty table.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(rows.mapInArrow(_blocks(paths), "block long, doc_id long, text string"), "blocks")
-    asked = written(rows.select("block", "text").mapInArrow(_asked, "block long, stretch string, n long"), "asked")
-    distinct = asked.groupBy("stretch").agg(F.sum("n").alias("n"))
+    packed = written(rows.mapInArrow(_blocks(paths), "block long, texts binary"), "blocks")
+    asked = packed.mapInArrow(_asked, "block long, stretch string, n long")
+    distinct = asked.groupBy("stretch").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
     tokens = written(distinct.mapInArrow(_tokens(paths), _TOKENS), "tokens")
-    aligned = written(align(tokens), "aligned")
+    told = told_groups(align(tokens, vocabulary_sizes(spark, paths))).join(tokens.select("doc", "key", "n", "blocks").repartition("doc"), "doc")
+    with _dealt_once(spark):
+        told = written(told, "told")
+    discard(tokens)
 
-    links = aligned.where("a IS NOT NULL AND b IS NOT NULL").select("doc", "a", "b")
-    counts = written(link_counts(links.join(tokens.select("doc", "n"), "doc")), "link-counts")
+    links = told.select("doc", "n", F.explode("links").alias("l")).select("doc", "n", "l.a", "l.b")
+    counts = written(link_counts(links), "link-counts")
     near = F.broadcast(counts) if counts.count() <= BROADCAST_IDS else counts
     figures = links.join(near, ["a", "b"]).groupBy("doc").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    told = tokens.select("doc", "stretch").join(told_groups(aligned), "doc").join(figures, "doc").drop("doc")
-    told = written(told, "told")
-    for table in (tokens, aligned, counts):
-        discard(table)
-    answers = asked.select("block", "stretch").join(told, "stretch").select("block", "stretch", *_TOLD, "groups")
+    answers = told.drop("links", "n").join(figures, "doc").select(F.explode("blocks").alias("block"), "key", *_TOLD, "groups")
     out = f"doc_id long, {', '.join(f'{c} long' for c in _TOLD)}, {'groups' if with_groups else 'groups_sha256'} string"
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_documents(with_groups), out)
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_documents(with_groups), out)

@@ -112,9 +112,10 @@ def test_all_documents_of_the_table(spark, both):
 
 def test_groups_of_whole_texts_by_the_same_joins(spark):
     """The relational part alone, over a text that is one stretch, and the groups as they are told."""
-    tokens = spark.createDataFrame([(5, "x", 3, [10, 11, 12, 13], [2, 1, 3, 1], [20, 21, 22], [3, 1, 3])], token_alignment._TOKENS)
-    aligned = token_alignment.align(tokens)
-    assert sorted((r["end"], r["grp"], r["a"], r["b"]) for r in aligned.collect()) == [(2, 0, 10, None), (3, 0, 11, 20), (4, 1, None, 21), (6, 1, 12, None), (7, 1, 13, 22)]
-    assert tuple(token_alignment.told_groups(aligned).first()) == (5, 4, 3, 2, "10,11|20;12,13|21,22")
+    tokens = spark.createDataFrame([(5, 1, 3, [1], [10, 11, 12, 13], [20, 21, 22]), (6, 2, 1, [1], [10], [23])], token_alignment._TOKENS)
+    sizes = [spark.createDataFrame(rows, "id int, size int") for rows in ([(10, 2), (11, 1), (12, 3), (13, 1)], [(20, 3), (21, 1), (22, 3), (23, 2)])]
+    aligned = token_alignment.align(tokens, sizes)
+    assert sorted((r["doc"], r["grp"], r["a"], r["b"], tuple(r["cut"])) for r in aligned.collect()) == [(5, 0, [10, 11], [20], (11, 20)), (5, 1, [12, 13], [21, 22], (13, 22)), (6, 0, [10], [23], (10, 23))]
+    assert {tuple(r)[:5] for r in token_alignment.told_groups(aligned).collect()} == {(5, 4, 3, 2, "10,11|20;12,13|21,22"), (6, 1, 1, 1, "10|23")}
     links = spark.createDataFrame([(1, 9, 4), (2, 9, 3), (2, 9, 1), (3, 8, 1)], "a int, b int, n long")
     assert sorted(map(tuple, token_alignment.link_counts(links).collect())) == [(1, 9, 4, 1), (2, 9, 4, 1), (3, 8, 1, 1)]
