@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions.dates import LABELS, found_dates
+from docloom.functions.editscript import changes, common_run
 
 KEPT, GONE, COME = 0, -1, 1
 #: Characters that a word loses if special ones are not compared.
 SPECIAL = re.compile(r"[^\w%<>= ]")
-#: The share of the shorter section that a common run of words must be, to be taken out of both.
+#: The share of the shorter section that a common run of characters must be, to be taken out of both.
 SAME_SHARE = 0.95
 _LABEL = re.compile("|".join(rf"{phrase}$" for phrases in LABELS.values() for phrase in phrases) + "|(?:updated|effective|revised|reviewed|published)[:]?$", re.I)
 
@@ -31,13 +31,11 @@ def word_tokens(text: str, plain: bool = False) -> list[str]:
 
 
 def edit_script(a: list[str], b: list[str]) -> list[tuple[int, str]]:
-    """(kind, text) from one list of tokens to the other: kept, gone and come, gone first where both stand at one place."""
-    out = []
-    for kind, i, j, k, m in SequenceMatcher(None, a, b).get_opcodes():
-        if kind == "equal":
-            out.append((KEPT, "".join(a[i:j])))
-        else:
-            out += [(GONE, "".join(a[i:j]))] * (j > i) + [(COME, "".join(b[k:m]))] * (m > k)
+    """(kind, text) of the least script from one list of tokens to the other: kept, gone and come, gone first where both stand at one place."""
+    out, at = [], 0
+    for i, j, k, m in [*changes(a, b), (len(a), len(a), len(b), len(b))]:
+        out += [(kind, "".join(part)) for kind, part in ((KEPT, a[at:i]), (GONE, a[i:j]), (COME, b[k:m])) if part]
+        at = j
     return out
 
 
@@ -87,19 +85,24 @@ def without_words(spans: list[dict], start: int, length: int) -> list[dict]:
     return out
 
 
+def _words_in(text: str, start: int, size: int) -> tuple[int, int]:
+    """The first word that stands whole in a run of characters, and how many do."""
+    whole = [n for n, word in enumerate(re.finditer(r"\S+", text)) if start <= word.start() and word.end() <= start + size]
+    return (whole[0], len(whole)) if whole else (0, 0)
+
+
 def without_moves(found: list[dict], share: float = SAME_SHARE) -> list[dict]:
-    """Sections in which a run of words that went at one place and came at the next is no change any more."""
+    """Sections in which a run of characters that went at one place and came at the next is no change any more; its words leave both."""
     gone, come = ([s for s in found if s["kind"] == kind] for kind in (GONE, COME))
     used: set[int] = set()
     for i, new in enumerate(come):
         for j in (i - 1, i):
             if not 0 <= j < len(gone) or j in used:
                 continue
-            a, b = gone[j]["text"].split(), new["text"].split()
-            same = SequenceMatcher(None, a, b, autojunk=False).find_longest_match()
-            if same.size and same.size >= share * min(len(a), len(b)):
-                gone[j]["word_spans"] = without_words(gone[j]["word_spans"], same.a, same.size)
-                new["word_spans"] = without_words(new["word_spans"], same.b, same.size)
+            same = common_run(gone[j]["text"], new["text"], share)
+            if same:
+                for section, start in ((gone[j], same[0]), (new, same[1])):
+                    section["word_spans"] = without_words(section["word_spans"], *_words_in(section["text"], start, same[2]))
                 used.add(j)
     return [s for s in found if s["word_spans"]]
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.functions.editscript import common_length
+
 PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("title", T.StringType()), T.StructField("links", T.ArrayType(T.StringType())), T.StructField("base", T.StringType())])
 #: Elements whose text is not part of a page (fixed values).
 UNSEEN = frozenset({"script", "style", "noscript", "template", "head", "title"})
@@ -127,16 +129,14 @@ def jaro_winkler_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def token_set(a: str, b: str) -> float:
-    """0 to 100: the best ratio among the common words and each side's own words behind them."""
-    from difflib import SequenceMatcher
-
+    """0 to 100: the best share of common letters, in order, among the common words and each side's own words behind them."""
     x, y = set(a.split()), set(b.split())
     if not x or not y:
         return 0.0
     both = " ".join(sorted(x & y))
     one, two = " ".join(filter(None, [both, " ".join(sorted(x - y))])), " ".join(filter(None, [both, " ".join(sorted(y - x))]))
     pairs = [(one, two)] + ([(both, one), (both, two)] if both else [])
-    return 100 * max(SequenceMatcher(None, p, q, autojunk=False).ratio() for p, q in pairs)
+    return 100 * max(2 * common_length(p, q) / (len(p) + len(q)) for p, q in pairs)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -21,14 +21,20 @@ def blank_footers(docs: DataFrame, key: str, pages: Column) -> DataFrame:
     return docs.select(key, F.get(F.transform(F.array(pages), blanked), F.lit(0)).alias("text"))
 
 
-def word_changes(pairs: DataFrame, key: str, old: Column, new: Column) -> DataFrame:
-    """key, word, change: how many more of a word the new text has (below 0: fewer); words that are as many are left out.
+def word_counts(docs: DataFrame, key: str, text: Column) -> DataFrame:
+    """key, word, n: how often each word stands in a text. A document is one row, so its words are counted before they are shuffled."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return docs.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
-    Null texts have no words; rows of one key count together. Pairs that a join on ``key`` has made are not shuffled again.
+
+def word_changes(counts: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """key, word, change: how many more of a word ``new`` has than ``old`` (below 0: fewer); words that are as many are left out.
+
+    ``counts`` has _doc, word, n; ``pairs`` has key, old, new (ids). Only counts are joined and shuffled, no text is.
     """
-    words = lambda text, d: F.transform(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.struct(w.alias("word"), F.lit(d).alias("d")))
-    both = pairs.select(key, F.explode(F.concat(words(old, -1), words(new, 1))).alias("w"))
-    return both.groupBy(key, F.col("w.word").alias("word")).agg(F.sum("w.d").alias("change")).where("change <> 0")
+    sides = pairs.select(key, F.inline(F.array(F.struct(F.col("old").alias("_doc"), F.lit(-1).alias("_d")), F.struct(F.col("new").alias("_doc"), F.lit(1).alias("_d")))))
+    both = counts.join(sides, "_doc").select(key, "word", (F.col("n") * F.col("_d")).alias("n"))
+    return both.groupBy(key, "word").agg(F.sum("n").alias("change")).where("change <> 0")
 
 
 def tag_changes(current: DataFrame, previous: DataFrame, key: list[str], field: str) -> DataFrame:
@@ -60,16 +66,13 @@ def new_elements(candidate: Column, existing: Column) -> Column:
 def row_delta(current: DataFrame, previous: DataFrame, code: str, fields: list[str]) -> DataFrame:
     """code, status, n: rows added, edited and removed between two extractions.
 
-    Equal rows of a code are taken off against each other, one for one. Of the rows left, as many as both sides have are
+    Equal rows of a code are taken off against each other, one for one, by their counts. Of the rows left, as many as both sides have are
     edits, more current ones are added, more previous ones removed.
     """
-    same = F.xxhash64(*fields)
-    w = Window.partitionBy(code, "_h").orderBy(F.lit(1))
-    a = current.select(code, same.alias("_h")).withColumn("_n", F.row_number().over(w))
-    b = previous.select(code, same.alias("_h")).withColumn("_n", F.row_number().over(w))
-    left_a = a.join(b, [code, "_h", "_n"], "left_anti").groupBy(code).agg(F.count("*").alias("a"))
-    left_b = b.join(a, [code, "_h", "_n"], "left_anti").groupBy(code).agg(F.count("*").alias("b"))
-    both = left_a.join(left_b, code, "full").select(code, F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    count = lambda df, name: df.select(code, F.xxhash64(*fields).alias("_h")).groupBy(code, "_h").agg(F.count("*").alias(name))
+    sides = count(current, "_a").join(count(previous, "_b"), [code, "_h"], "full")
+    more = F.coalesce("_a", F.lit(0)) - F.coalesce("_b", F.lit(0))
+    both = sides.groupBy(code).agg(F.sum(F.greatest(more, F.lit(0))).alias("a"), F.sum(F.greatest(-more, F.lit(0))).alias("b"))
     rows = F.array(
         F.struct(F.lit("edit").alias("status"), F.least("a", "b").alias("n")),
         F.struct(F.lit("add").alias("status"), (F.col("a") - F.least("a", "b")).alias("n")),

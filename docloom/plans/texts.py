@@ -392,11 +392,12 @@ def therapy_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.withColumn("l", tagging.therapy_label(F.col("label"))).select("doc_id", "page", "at", "l.code", "l.priority", "l.name")
 
 
-@query(f"""SELECT DISTINCT d.doc_id, -1 AS page, term, CAST(doc_id % 7 AS INTEGER) AS code FROM documents d JOIN ({_LABELLED}) t ON contains(' ' || array_to_string({_WORDS.replace("text", "d.text")}, ' ') || ' ', ' ' || term || ' ') WHERE contains(lower(substr(d.text, 1, 400)), term)""")
+@query(f"""WITH t AS (SELECT DISTINCT unnest({_WORDS.replace("text", "url")}) AS term FROM pages), p AS (SELECT page_id, url, unnest({_WORDS.replace("text", "html")}) AS term FROM pages)
+    SELECT DISTINCT page_id, -1 AS page, term, CAST(page_id % 7 AS INTEGER) AS code FROM p JOIN t USING (term) WHERE contains(lower(url), term)""")
 def url_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tags of a text that stand in its context too, here its first letters (G-11)."""
-    docs = table(spark, sf_dir, "documents")
-    terms = _labelled_terms(spark, sf_dir).select("term", F.concat_ws("|", "term", F.lit("name"), F.lit("12")).alias("label")).distinct()
-    tags = tagging.context_tags(tagging.tag_pages(docs, "doc_id", F.array("text"), terms), docs.withColumn("context", F.substring("text", 1, 400)), "doc_id", "context")
+    """Tags of a page that stand in its url too; the terms are all words of urls (G-11)."""
+    pages = table(spark, sf_dir, "pages")
+    terms = pages.select(F.explode(tagging.words_of(F.col("url"))).alias("term")).distinct().select("term", F.concat_ws("|", "term", F.lit("name"), F.lit("12")).alias("label"))
+    tags = tagging.context_tags(tagging.tag_pages(pages, "page_id", F.array("html"), terms), pages, "page_id", "url")
     told = tags.withColumn("l", tagging.indication_label(F.col("label"))).where("l.code = 12 AND l.name = 'name' AND l.term = term")
-    return told.select("doc_id", "page", "term", (F.col("doc_id") % 7).cast("int").alias("code"))
+    return told.select("page_id", "page", "term", (F.col("page_id") % 7).cast("int").alias("code"))

@@ -1,14 +1,16 @@
-"""Dates in known texts, on a fixed day."""
+"""Dates in texts that follow the rules one by one, on a fixed day."""
 
 from __future__ import annotations
 
 from datetime import date
+from itertools import product
 
 import pytest
 
-from docloom.functions.dates import extract_dates, found_dates, labelled_dates
+from docloom.functions.dates import LABELS, LEFT, RIGHT, extract_dates, found_dates, labelled_dates
 
-TODAY = date(2024, 6, 1)
+TODAY = date(2019, 9, 30)
+FAR = "lorem ipsum dolor sit amet consectetur " * 2
 
 
 def labels(text, *more):
@@ -16,28 +18,40 @@ def labels(text, *more):
     return {k: str(v) for k, v in found.items() if v and k != "identified_dates"}, len(found["identified_dates"])
 
 
+@pytest.mark.parametrize("name", LABELS)
+def test_every_phrase_labels_the_date_behind_it(name):
+    for phrase in LABELS[name]:
+        told = phrase.replace(r"\b", "").replace("\\", "")
+        for sign in (" ", ": ", " on ", "\n"):
+            assert extract_dates(f"{told}{sign}11/17/2018", TODAY)[name] == date(2018, 11, 17), told
+
+
 @pytest.mark.parametrize(
     ("text", "expected", "n"),
     [
-        ("one date, updated 2/9/2022", {"last_updated_date": "2022-02-09"}, 1),
-        (
-            "Left and right, 05/23 expire, Published 02/21,updated 10/9/11, next review March 8, 2024, next update 10 January 2024 \nLast Review 6.30.22.",
-            {"end_date": "2023-05-01", "published_date": "2021-02-01", "last_updated_date": "2011-10-09", "next_review_date": "2024-03-08", "next_update_date": "2024-01-10", "last_reviewed_date": "2022-06-30"},
-            6,
-        ),
-        ("rev. 1/10/20 and v. 12/12 4/20\nno label harv.2/27/2021 \nreviewed as of 03/2020 through Dec 2024", {"published_date": "2012-12-01", "last_updated_date": "2020-01-10", "last_reviewed_date": "2020-03-01", "end_date": "2024-12-01"}, 6),
-        ("Origination: 9/2017 Next Review: 9/2023", {"published_date": "2017-09-01", "next_review_date": "2023-09-01"}, 2),
-        ("The below date is the published date. \n date: 1/2/22", {"published_date": "2022-01-02"}, 1),
-        ("2/15/22: published \n 3/20/20", {"published_date": "2022-02-15"}, 2),
-        ("last updated date right here 12/11/1988\n a better updated date 8/15/2020", {"last_updated_date": "2020-08-15"}, 2),
-        ("with end date 4/30/2023,\n eff. date 2021/10/31, and a better expire date 4-30-2024", {"end_date": "2023-04-30", "effective_date": "2021-10-31"}, 3),
-        ("End date label is out of range of this date ............. 12/15/2023\nThis takes precedence: end date 1/1/2023", {"end_date": "2023-01-01"}, 2),
-        ("12/1/2020 - 10/15/23", {"effective_date": "2020-12-01", "end_date": "2023-10-15"}, 2),
-        ("a date May 2021     -      July 2024 with text", {"effective_date": "2021-05-01", "end_date": "2024-07-01"}, 2),
-        ("span 12/10/2024-1/5/2025 and\npublished 2010-10-23 effective\nbetween 12/10/2024 and 1/6/2025", {"effective_date": "2024-12-10", "end_date": "2025-01-05", "published_date": "2010-10-23"}, 4),
-        ("one year and another dash January 1 – December 31, 2024", {"effective_date": "2024-01-01", "end_date": "2024-12-31"}, 2),
-        ("a soft hyphen January 1 \xad December 31, 2024", {"effective_date": "2024-01-01", "end_date": "2024-12-31"}, 2),
-        ("10-10-2021 because - July 2024 no span", {"effective_date": "2024-07-01"}, 2),
+        # the nearest phrase, before or a little behind
+        ("The tariff was posted 3/9/2015 and revised 6/21/2017.", {"published_date": "2015-03-09", "last_updated_date": "2017-06-21"}, 2),
+        ("Sheet of 14 March 2016 (issued), renewed", {"published_date": "2016-03-14"}, 1),
+        ("current as of 2018-07-02; expires 2020-08-01; annual review in 10/2020", {"last_updated_date": "2018-07-02", "end_date": "2020-08-01", "next_review_date": "2020-10-01"}, 3),
+        # behind another date a phrase belongs to the date that follows
+        ("7/7/2011 devised 8/8/2012", {"published_date": "2012-08-08"}, 2),
+        # a label on the line before
+        ("Latest review took place on\n5.19.2014", {"last_reviewed_date": "2014-05-19"}, 1),
+        # the latest past date of two that are labelled alike, the earliest of ends, and effective dates by their nearness to the day
+        ("version 2/2/2010\nversion 4/4/2013\nversion 1/1/2012", {"last_updated_date": "2013-04-04"}, 3),
+        ("through 12/30/2020\nthrough 6/29/2020\nthrough 6/29/2021", {"end_date": "2020-06-29"}, 2),
+        ("eff 1/1/2001\neff 10/1/2019\neff 1/1/2012", {"effective_date": "2019-10-01"}, 3),
+        # a nearer label goes before a farther one
+        (f"updated {FAR}9/9/2016\nupdated 3/3/2009", {"last_updated_date": "2009-03-03"}, 2),
+        # two dates with a dash between, of any kind, whatever stands around
+        ("rates 2/3/2014 - 4/5/2016 apply", {"effective_date": "2014-02-03", "end_date": "2016-04-05"}, 2),
+        ("rates June 2011 – August 2012", {"effective_date": "2011-06-01", "end_date": "2012-08-01"}, 2),
+        ("rates November 4 — December 6, 2013", {"effective_date": "2013-11-04", "end_date": "2013-12-06"}, 2),
+        ("rates August 9 \xad October 2, 2017", {"effective_date": "2017-08-09", "end_date": "2017-10-02"}, 2),
+        # dates of a list share the label of the first
+        ("Reviewed 1/4/2011, 2/5/2012 and 3/6/2013", {"last_reviewed_date": "2013-03-06"}, 3),
+        # a line that ends in a comma goes on
+        ("Publication date,\n8/23/2017", {"published_date": "2017-08-23"}, 1),
     ],
 )
 def test_labels(text, expected, n):
@@ -47,50 +61,61 @@ def test_labels(text, expected, n):
 
 
 def test_labels_that_are_none():
-    assert "published_date" not in labels("2/15/22: this label is too far published")[0]
-    assert "end_date" not in labels("no part of a word depends 1/1/2025")[0]
-    assert "end_date" not in labels("12-10-2021 - because July 2024")[0]
-    assert "published_date" not in labels("published 1/1/2025")[0]  # it is to come
-    assert labels("no dates here\nnor 5755695738806562 there") == ({}, 0)
+    assert "published_date" not in labels(f"8/8/2016 {'x ' * RIGHT} issued")[0]
+    assert "end_date" not in labels("breakthrough 4/7/2018")[0]  # within a word
+    assert "end_date" not in labels("3/3/2011 - or else 4/4/2012")[0]  # more than a dash
+    assert "last_reviewed_date" not in labels("reviewed 10/1/2019")[0]  # to come
+    assert labels("room 88, call 4417009921345") == ({}, 0)
+    assert LEFT > RIGHT
+
+
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
 @pytest.mark.parametrize(
-    ("text", "months"),
-    [
-        ("2020-01-20 2020/02/20 2020.03.20\n04-20-2020 05/20/2020 06.20.2020\n07-20-20 08/20/20 09.20.20\nOct 20 2020 Nov. 20 2020 Dec 20, 2020", 12),
-        ("20 Jan 2021 20 Feb 2021 20 Mar. 2021\n20 April 2021 20 May, 2021 20 June 2021\nJuly 20, 2021 August 20 2021 September 20, 2021", 9),
-        ("01/2022 02-2022 3-2022\nApr, 2022 - May 2022. Jun. 2022\n07/22 08-22 9/22\nOctober, 2022. November 2022, December 2022", 12),
-        ("2023|01|01 02|01|2023\n03|23 04|2023 05.23\n06.2023 2023Jul", 7),
-    ],
+    "form",
+    ["{y}-{m:02}-{d:02}", "{y}.{m}.{d}", "{y}/{m:02}/{d:02}", "{y}|{m}|{d}", "{m:02}-{d:02}-{y}", "{m}/{d}/{y}", "{m}.{d:02}.{s:02}", "{m}|{d}|{s:02}", "{N} {d}, {y}", "{N} {d}th {y}", "{n} {d} {y}", "{n}. {d:02}, {y}", "{d} {N} {y}", "{d:02} {n}. {y}", "{m:02}{d:02}{y}", "{y}{m:02}{d:02}", "{m:02}{d:02}{s:02}"],
 )
-def test_formats(text, months):
-    found = [d for line in text.split("\n") for _, _, d in found_dates(line)]
-    assert [d.month for d in found] == list(range(1, months + 1))
+def test_every_format_of_a_day(form):
+    for m, (y, d) in product(range(1, 13), ((1999, 23), (2014, 27))):
+        if y > 1999 or "{s" not in form:
+            told = form.format(y=y, s=y % 100, m=m, d=d, N=MONTHS[m - 1], n=MONTHS[m - 1][:3])
+            assert found_dates(f"(see {told})") == [(5, 5 + len(told), date(y, m, d))], told
 
 
-def test_digits_without_separators():
-    assert [str(d) for _, _, d in found_dates("012020 202003 013120 01312020 20200131 99999999")] == ["2020-01-01", "2020-03-01", "2020-01-31", "2020-01-31", "2020-01-31"]
+@pytest.mark.parametrize("form", ["{m:02}/{y}", "{m}-{y}", "{m}.{y}", "{m:02}|{y}", "{N} {y}", "{N}, {y}", "{n}. {y}", "{m}/{s:02}", "{m:02}-{s:02}", "{y}{n}", "{y}{m:02}", "{m:02}{y}"])
+def test_every_format_of_a_month(form):
+    for m in range(1, 13):
+        told = form.format(y=2016, s=16, m=m, N=MONTHS[m - 1], n=MONTHS[m - 1][:3])
+        assert [x[2] for x in found_dates(f"in {told} again")] == [date(2016, m, 1)], told
 
 
 def test_what_is_no_date():
-    assert found_dates("Take 10/20 mg or $ 5/10 or 3/15% daily, 13/45/2020, 3/1979") == []
-    assert labels("skipped OMB Approval 3/15/22 \n this one isn't 11|20|21")[1] == 1
-    assert labels("\n 4. References \n\n span 12/10/2021-1/5/2031") == ({}, 0)
-    assert labels("see references in 2020\nupdated 1/1/2021")[0]["last_updated_date"] == "2021-01-01"
+    assert found_dates("doses of 12/15 mg, $ 7/12, 9/11% a year, 31/31/2011, 7/1980, 2/30/2015, 77777777") == []
+    assert labels("OMB approval until 6/6/2018\nrow 7|19|18")[1] == 1
+    assert labels("12/5/2016 first\n  REFERENCES:\nupdated 1/2/2017")[1] == 1
+    assert labels("the references of 2011\nrevised 5/5/2015")[0]["last_updated_date"] == "2015-05-05"
 
 
 def test_fallbacks_of_the_effective_date():
-    assert labels("nothing", "List January 2022")[0] == {"effective_date": "2022-01-01"}
-    assert labels("Q3 2020 news") == ({"effective_date": "2020-07-01"}, 1)
-    assert labels("A heading 1/5/2021\n" + "word " * 30 + "\n2/2/2022")[0] == {"effective_date": "2021-01-05"}
-    assert labels("word " * 30 + "\n2/2/2022")[0] == {"effective_date": "2022-02-02"}
-    assert labels("word " * 30 + "\n2/2/2022 3/3/2023")[0] == {}
-    assert labels("Plan 2021 list")[0] == {"effective_date": "2021-01-01"} and labels("word " * 30 + "\nin 2021")[1] == 0
+    assert labels("none", "Catalogue of May 2017")[0] == {"effective_date": "2017-05-01"}
+    assert labels("Bulletin, Q4 2014") == ({"effective_date": "2014-10-01"}, 1)
+    assert labels(f"Bulletin 7/8/2016\n{FAR * 3}\n3/4/2012")[0] == {"effective_date": "2016-07-08"}
+    assert labels(f"{FAR * 3}\n11/12/2013")[0] == {"effective_date": "2013-11-12"}
+    assert labels(f"{FAR * 3}\n11/12/2013 1/2/2014")[0] == {}
+    assert labels("Fees 2015 and rules")[0] == {"effective_date": "2015-01-01"} and labels(f"{FAR * 3}\nyear 2015")[1] == 0
+
+
+def test_quarters_stand_for_their_first_days():
+    told = {"1st quarter 2013": (2013, 1), "Q2 2018": (2018, 4), "the third qtr of 2009": (2009, 7), "2011, quarter 4": (2011, 10)}
+    for text, (year, month) in told.items():
+        assert extract_dates(text, TODAY)["identified_dates"] == [date(year, month, 1)]
+    assert extract_dates("2010: Q3, 2012: Q1", TODAY)["identified_dates"] == [date(2010, 1, 1), date(2012, 7, 1)]
 
 
 def test_dates_as_a_column(spark):
-    rows = [(1, "updated 2/9/2022"), (2, None), (3, ""), (4, "no digits"), (5, "x 1/1/2020 " * 5000)]
+    rows = [(1, "revised 4/13/2016"), (2, None), (3, ""), (4, "without a digit"), (5, "y 7/4/2015 " * 4000)]
     df = spark.createDataFrame(rows, "k long, text string")
-    out = {r.k: r.d for r in df.select("k", labelled_dates("text", "2024-06-01").alias("d")).collect()}
-    assert str(out[1].last_updated_date) == "2022-02-09" and str(out[5].identified_dates[0]) == "2020-01-01"
+    out = {r.k: r.d for r in df.select("k", labelled_dates("text", str(TODAY)).alias("d")).collect()}
+    assert str(out[1].last_updated_date) == "2016-04-13" and str(out[5].identified_dates[0]) == "2015-07-04"
     assert all(out[k].effective_date is None and out[k].identified_dates == [] for k in (2, 3, 4))
