@@ -11,6 +11,7 @@ sequences that still have room are dealt anew, to as many groups fewer as they a
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -35,17 +36,24 @@ ROUNDS, SLACK = 3, 128
 DRAINED = 32
 #: Text bytes that are encoded at once, and distinct words whose ids a worker keeps.
 SLICE_BYTES, CACHE_WORDS = 1 << 19, 500_000
+#: Words that the library gets in one string.
+LINE_WORDS = 500
 _CODES = mix(np.arange(256).astype(np.uint64) + np.uint64(0x3D91))
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[ord(c) for c in "!.,:;?()"]] = True
 
 
 class WordEncoder:
     """A tokenizer that white space always cuts, which encodes each distinct word once.
 
-    Words (runs of bytes other than 0x20 and 0x09-0x0D) are told apart by 64-bit hashes. That holds where white space is only
-    folded by the normaliser and dropped by the pre-tokenizer; with a tokenizer of another kind whole texts go to the library.
+    Words are runs of bytes other than 0x20 and 0x09-0x0D, cut between a letter and a mark as well, and are told apart by 64-bit
+    hashes. That holds where white space is only folded by the normaliser and dropped by the pre-tokenizer, and letters stand
+    apart; with a tokenizer of another kind whole texts go to the library.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -65,11 +73,28 @@ class WordEncoder:
         lengths = np.fromiter(map(len, own), np.int64, len(own))
         return np.fromiter(chain.from_iterable(own), np.uint32, lengths.sum()), lengths
 
+    def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone, of which a line of many becomes as many pre-tokens."""
+        ids, lengths = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        lines = [words[i : i + LINE_WORDS] for i in range(0, len(words), LINE_WORDS)]
+        for line, found in zip(lines, self.tokenizer.encode_batch([" ".join(line) for line in lines], add_special_tokens=False), strict=True):
+            counts = np.bincount(found.word_ids)
+            own = (np.array(found.ids, np.uint32), counts) if len(counts) == len(line) else self._encoded(line)  # the library sees a letter otherwise
+            ids.append(own[0])
+            lengths.append(own[1])
+        return np.concatenate(ids), np.concatenate(lengths)
+
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids, lengths = self._encoded(words)
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        keys = np.append(keys[plain], keys[~plain])
+        parts = self._lines([w for w, p in zip(words, plain, strict=True) if p]), self._encoded([w for w, p in zip(words, plain, strict=True) if not p])
+        ids, lengths = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        places = np.cumsum(lengths) - lengths
+        keys, lengths, places = keys[order], lengths[order], places[order]
         into = np.searchsorted(self.keys, keys)
         self.keys, self.lengths = np.insert(self.keys, into, keys), np.insert(self.lengths, into, lengths)
-        self.places = np.insert(self.places, into, len(self.ids) + np.cumsum(lengths) - lengths)
+        self.places = np.insert(self.places, into, len(self.ids) + places)
         self.ids = np.append(self.ids, ids)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +106,7 @@ class WordEncoder:
         word[1:-1] = ~SPACE[data]
         text = np.zeros(len(data) + 1, bool)
         text[offsets] = True
+        text[1:-1] |= _LETTER[data[:-1]] & _MARK[data[1:]]
         starts = np.flatnonzero(word[1:-1] & (text[:-1] | ~word[:-2]))
         ends = np.flatnonzero(word[1:-1] & (text[1:] | ~word[2:])) + 1
         hashes, first, which = np.unique(run_hashes(data, starts, ends, _CODES), return_index=True, return_inverse=True)
