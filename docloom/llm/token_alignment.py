@@ -21,6 +21,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from docloom.llm.base import BROADCAST_IDS, discard, written
 from docloom.llm.wordhash import give_back, mix, run_hashes, text_bytes, text_slices
 
 #: Bytes of text in one block, and that a task cuts at once.
-BLOCK_BYTES, SLICE_BYTES = 32 << 20, 1 << 20
+BLOCK_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
 #: Stretches that go to the libraries at once.
 BATCH = 4096
 #: Bytes that can follow a space or line feed at which texts are cut: visible ASCII, and lead bytes that begin no white space.
@@ -258,8 +259,9 @@ def _documents(with_groups: bool):
 
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         keys, at = np.unique(answers.column("key").to_numpy(), return_index=True)
-        figures = np.stack([answers.column(c).to_numpy()[at] for c in _TOLD], 1)
-        told = answers.column("groups").take(pa.array(at)).to_pylist()
+        parts = pc.list_flatten(pc.split_pattern(answers.column("told").combine_chunks().take(pa.array(at)), " ")).to_numpy(zero_copy_only=False).reshape(len(at), len(_TOLD) + 1)
+        figures, told = parts[:, :-1].astype(np.int64), parts[:, -1].tolist()
+        del answers, parts
         doc_ids, sums, texts = [], [], []
         for part in _unpack(packed.column("texts")):
             doc_ids.append(part.column("doc_id"))
@@ -297,16 +299,17 @@ def align_documents(docs: DataFrame, paths: Paths, with_groups: bool = False) ->
     packed = written(rows.mapInArrow(_blocks(paths), "block long, texts binary"), "blocks")
     asked = packed.mapInArrow(_asked, "block long, stretch string, n long")
     distinct = asked.groupBy("stretch").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks"))
-    tokens = written(distinct.mapInArrow(_tokens(paths), _TOKENS), "tokens")
+    tokens = written(distinct.mapInArrow(_tokens(paths), _TOKENS), "tokens", "zstd")
     told = told_groups(align(tokens, vocabulary_sizes(spark, paths))).join(tokens.select("doc", "key", "n", "blocks").repartition("doc"), "doc")
     with _dealt_once(spark):
-        told = written(told, "told")
+        told = written(told, "told", "zstd")
     discard(tokens)
 
     links = told.select("doc", "n", F.explode("links").alias("l")).select("doc", "n", "l.a", "l.b")
     counts = written(link_counts(links), "link-counts")
     near = F.broadcast(counts) if counts.count() <= BROADCAST_IDS else counts
     figures = links.join(near, ["a", "b"]).groupBy("doc").agg(F.count("*").alias("n_links"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
-    answers = told.drop("links", "n").join(figures, "doc").select(F.explode("blocks").alias("block"), "key", *_TOLD, "groups")
+    # one string for each block that asks: figures as digits take less room in the exchange than as longs
+    answers = told.drop("links", "n").join(figures, "doc").select("key", "blocks", F.concat_ws(" ", *_TOLD, "groups").alias("told")).select(F.explode("blocks").alias("block"), "key", "told")
     out = f"doc_id long, {', '.join(f'{c} long' for c in _TOLD)}, {'groups' if with_groups else 'groups_sha256'} string"
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_documents(with_groups), out)
