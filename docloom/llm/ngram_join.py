@@ -5,7 +5,7 @@
    The order of a class's shingles is by that count, rarest first. Two sets of a similarity of t or more share one of their
    first n - ceil(t n) + 1 shingles; those in one class only cannot be shared, so most classes have no prefix left to index.
 3. Classes with the same prefix and size are one group. Groups that share a prefix shingle are paired with that shingle's
-   leader first, verified and linked; then only groups of different components are paired with each other. Sizes, the
+   leader first, verified and linked, and so with a few more leaders; then only groups of different components are paired with each other. Sizes, the
    shared shingle's positions and, for groups of one class, bitmaps of the sets filter the pairs: the bits in which two
    bitmaps differ are no more than the shingles in which their sets do. Members of the groups left are verified on their
    whole sets.
@@ -35,6 +35,8 @@ PRINT_BITS = 48
 SLICE_BYTES = 4 << 20
 #: Pairs whose sets a task holds at once.
 PAIR_ROWS = 256
+#: Further leaders of a shingle that groups meet before all of different components are paired.
+LEADERS = 8
 #: 64-bit words of a set's bitmap.
 BITMAP_WORDS = 8
 
@@ -245,15 +247,18 @@ def _links(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, width: int, pe
     tried = written(_pair(met.select("a", "b").unionByName(inside)), "leader-pairs")
     links = written(_verified(tried, sets, percent), "leader-links")
 
-    # what is left: groups of different components; a group whose members are in several stands in each
-    now = members.join(components(links), F.col("cls") == F.col("node"), "left").select("grp", "cls", F.coalesce("component", "cls").alias("root"))
-    roots = now.groupBy("grp", "root").agg(F.count("*").alias("k"), F.min("cls").alias("first"))
-    left = entries.drop("first").join(roots.drop("first"), "grp")
-    # where one class of a large group has a root of its own, its bitmap filters as that of a group of one class does
-    single = roots.where("k = 1").join(several, "grp", "left_semi").join(bits.withColumnRenamed("bits", "own_bits"), "first").select("grp", "root", "own_bits")
-    left = left.join(single, ["grp", "root"], "left").withColumn("bits", F.coalesce("bits", "own_bits")).drop("own_bits")
-    spread = left.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    left = written(left.join(spread, "token"), "left-entries")
+    # once more, groups of different components against other leaders of their shingles, picked by several hashes
+    _, left = _left_entries(entries, members, links, several, bits)
+    left = left.drop("bits").join(bits, "first")
+    leaders = left.groupBy("token", "band").agg(F.array(*[F.min(F.struct(F.xxhash64("first", F.lit(i)).alias("h"), "first", "root", "n", "bits")) for i in range(LEADERS)]).alias("l"))
+    leaders = leaders.select("token", F.inline("l"), "band").select("token", _three_bands().alias("band"), F.col("first").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("bits").alias("bits_m"))
+    met = left.join(leaders, ["token", "band"]).where((F.col("root") != F.col("other")) & _fits(percent, positions=False)).select(F.col("first").alias("a"), "b")
+    more = written(_pair(met).join(tried, ["a", "b"], "left_anti"), "more-pairs")
+    links = written(links.unionByName(_verified(more, sets, percent)), "more-links")
+    tried = tried.unionByName(more)
+
+    # what is left: groups of different components, each against every other
+    now, left = _left_entries(entries, members, links, several, bits)
     other = left.select("token", _three_bands().alias("band"), F.col("grp").alias("grp_m"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("at").alias("at_m"), F.col("bits").alias("bits_m"))
     met = left.join(other, ["token", "band"]).where((F.col("root") < F.col("other")) & _fits(percent)).select("grp", "root", "grp_m", "other").distinct()
     one = now.join(bits.withColumnRenamed("first", "cls"), "cls").select("grp", "root", F.col("cls").alias("a"), "bits")
@@ -265,6 +270,21 @@ def _links(docs: DataFrame, rows: DataFrame, prefixes: DataFrame, width: int, pe
     return links.unionByName(written(_verified(fresh, sets, percent), "pair-links"))
 
 
+def _left_entries(entries: DataFrame, members: DataFrame, links: DataFrame, several: DataFrame, bits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every class's root by the links so far, and the entries of shingles that groups of several roots share.
+
+    A group whose members have several roots stands in each, with the least class of that root as ``first``.
+    """
+    now = members.join(components(links), F.col("cls") == F.col("node"), "left").select("grp", "cls", F.coalesce("component", "cls").alias("root"))
+    roots = now.groupBy("grp", "root").agg(F.count("*").alias("k"), F.min("cls").alias("first"))
+    left = entries.drop("first").join(roots.drop("k"), "grp")
+    # where one class of a large group has a root of its own, its bitmap filters as that of a group of one class does
+    single = roots.where("k = 1").join(several, "grp", "left_semi").join(bits.withColumnRenamed("bits", "own_bits"), "first").select("grp", "root", "own_bits")
+    left = left.join(single, ["grp", "root"], "left").withColumn("bits", F.coalesce("bits", "own_bits")).drop("own_bits")
+    spread = left.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    return now, written(left.join(spread, "token"), "left-entries")
+
+
 def _three_bands() -> Column:
     return F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
 
