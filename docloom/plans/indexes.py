@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators import language_profiles
 from docloom.operators.sparse_join import nearest_names
 from docloom.operators.text_index import write_index
 from docloom.plans.registry import query
-from docloom.session import shared_path, table
+from docloom.session import checkpointed, shared_path, table
 
 _WORDS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')"
 _STEM = "CASE WHEN regexp_matches({0}, '[^e]{{2,}}ies$') THEN regexp_replace({0}, 'ies$', 'y') WHEN regexp_matches({0}, '(ss|x|ch|sh)es$') THEN regexp_replace({0}, 'es$', '') WHEN regexp_matches({0}, '...(ing|ed)$') THEN regexp_replace({0}, '(ing|ed)$', '') WHEN regexp_matches({0}, '..[^su]s$') THEN regexp_replace({0}, 's$', '') ELSE {0} END"
@@ -48,3 +49,20 @@ def name_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
     queries, items = (part.select(F.concat_ws(" ", "p_name", *more, size).alias("text")) for more in ((), ("p_brand",)))
     return nearest_names(queries, items).select("query", "item", F.round("score", 6).alias("score"))
+
+
+_PLAIN = "' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}]+', ' ', 'g')) || ' '"
+_LETTERS = "list_filter(list_concat(" + ", ".join(f"list_transform(range(1, length(p) - {n - 2}), lambda i: substr(p, i, {n}))" for n in (1, 2, 3)) + "), lambda g: trim(g) <> '')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, lang, {_PLAIN} AS p FROM documents), g AS (SELECT doc_id, lang, unnest({_LETTERS}) AS gram FROM p),
+    k AS (SELECT lang, gram, rank FROM (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) - 1 AS rank FROM g WHERE lang IS NOT NULL GROUP BY 1, 2) WHERE rank < 200),
+    o AS (SELECT doc_id, gram, rank FROM (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, gram) - 1 AS rank FROM g GROUP BY 1, 2) WHERE rank < 200),
+    m AS (SELECT doc_id, k.lang, sum(200 - abs(o.rank - k.rank)) AS near FROM o JOIN k USING (gram) GROUP BY 1, 2), n AS (SELECT doc_id, count(*) AS n FROM o GROUP BY 1),
+    b AS (SELECT doc_id, lang, near FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY near DESC, lang) AS r FROM m) WHERE r = 1)
+    SELECT DISTINCT d.doc_id, b.lang, round(200 - near / n, 6) AS distance FROM documents d LEFT JOIN b USING (doc_id) LEFT JOIN n USING (doc_id)""")
+def text_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's language by its distance to the profiles of the labelled texts (X-30)."""
+    docs = table(spark, sf_dir, "documents")
+    known = checkpointed(language_profiles.profiles(docs, "lang", "text"))
+    return language_profiles.detected(docs, "doc_id", "text", known).select("doc_id", "lang", F.round("distance", 6).alias("distance"))
