@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from docloom.llm.base import BROADCAST_IDS, without, written
 from docloom.llm.components import components
 from docloom.llm.keycounts import ASK_DDL, Layout, no_stats, totals
-from docloom.llm.wordhash import mix, text_slices, word_hashes
+from docloom.llm.wordhash import let_go, mix, text_slices, word_hashes
 
 #: Bytes of text in one block, and behind one bucket of the shingles' counts.
 BLOCK_BYTES = 8 << 20
@@ -75,6 +75,7 @@ def bitmap(found: np.ndarray) -> list[int]:
 
 def _classes(width: int):
     def run(batches):
+        let_go()
         for batch in text_slices(batches, SLICE_BYTES):
             sets = list(shingle_sets(batch.column("text"), width))
             yield pa.RecordBatch.from_arrays(

@@ -15,6 +15,7 @@ leaves no half-written file. A segment's shard and its number within give the or
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.wordhash import give_back, mix, run_hashes, text_bytes, text_slices
+from docloom.llm.wordhash import KEPT, give_back, mix, run_hashes, text_bytes, text_slices
 
 BLOCK, PERCENTILE = 128, 90
 #: A segment is closed when it holds so many ids (a document is never split).
@@ -145,11 +146,12 @@ class Encoder:
 
     Such a tokenizer cuts texts before a single white space that a visible character follows, and between a letter and a
     mark, whatever stands around. The pieces between such cuts are told apart by 64-bit hashes, and all new ones of a
-        batch go to the library together. That holds for the byte-level pre-tokenizer without a normaliser; with a tokenizer of
+    batch go to the library together. That holds for the byte-level pre-tokenizer without a normaliser; with a tokenizer of
     another kind whole texts go to the library.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = tokenizer = Tokenizer.from_file(path)
@@ -238,6 +240,9 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+KEPT.append(encoder_of.cache_clear)
+
+
 def _encode(path: Callable[[], str] | str, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         from pyspark import TaskContext

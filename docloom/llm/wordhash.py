@@ -7,7 +7,8 @@ bytes modulo 2**64, mixed; two different words share one with a chance of about
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,18 @@ def row_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
+#: What workers keep between tasks of one operator, as functions that drop it.
+KEPT: list[Callable[[], None]] = []
+
+
+def let_go() -> None:
+    """Drops what a worker has kept for other operators."""
+    for drop in KEPT:
+        drop()
+    gc.collect()
+    give_back()
+
+
 def give_back() -> None:
     """Hands memory that numpy and Arrow have freed back to the system: a worker lives on for the tasks of other stages."""
     pa.default_memory_pool().release_unused()
