@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.plans import edits, indexes, lineages, scalars, star, surface, tables, texts, updates, work  # noqa: F401
+from docloom.plans import edits, indexes, lineages, pages, scalars, star, surface, tables, texts, updates, work  # noqa: F401
 from docloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
