@@ -6,7 +6,8 @@ visited is calibrated: visits widen until the sample's own queries find the want
 each query until the leaves it has met hold as many vectors as it asks for.
 
 Equal vectors are filed once, with as many of their ids as any query can return, so copies make no leaf large; a leaf that
-is large all the same is dealt over several shelves, as the groups of leaves are called that one task looks through.
+is large all the same is dealt over several shelves, as the groups of leaves are called that one task looks through. So are its queries,
+each slice of which gets a copy of the shelf.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from docloom.llm.base import written
 SAMPLE, SAMPLE_QUERIES = 20_000, 200
 #: Children of a node; vectors of a leaf (of the sample) and on a shelf, at most.
 BRANCHES, LEAF, SHELF = 8, 128, 16_384
-#: Queries that a shelf looks up at once.
-ASKED = 64
+#: Queries that a shelf looks up at once, and about as many as one task gets; more of them get copies of the shelf.
+ASKED, QUERIES = 64, 16_384
 #: The share of the true neighbours that the sample's queries must find. The wanted recall is 0.9.
 CALIBRATED_RECALL = 0.97
 
@@ -174,16 +175,21 @@ def _search(k: int):
         number, best = [], []
         if len(queries) and len(members):
             ids, base = members.column("ids").to_pylist(), _matrix(members.column("vector").combine_chunks())
+            reach = np.abs(base).max()
             kinds, leaf = np.unique(members.column("leaf").to_numpy(), return_inverse=True)
             for part in queries.combine_chunks().to_batches(max_chunksize=ASKED):
-                scores = _matrix(part.column("vector")) @ base.T
+                asked = _matrix(part.column("vector"))
+                scores = asked @ base.T
                 seen = np.stack([np.isin(kinds, x) for x in part.column("leaves").to_pylist()])
                 scores[~seen[:, leaf]] = -np.inf
                 least = np.partition(scores, -k, axis=1)[:, -k] if len(base) > k else np.full(len(scores), -np.inf)
-                for query, own, low in zip(part.column("query").to_pylist(), scores, least, strict=True):
+                # sums of a block depend on its shape in their last digits: what is near is summed again, from the first component on
+                margin = 1e-9 * np.abs(asked).sum(1) * reach
+                for query, vector, own, low in zip(part.column("query").to_pylist(), asked, scores, least - margin, strict=True):
                     near = np.flatnonzero((own >= low) & (own > -np.inf))
+                    exact = np.cumsum(base[near] * vector, axis=1)[:, -1]
                     number.append(query)
-                    best.append([{"far": far, "vec_id": v} for far, v in heapq.nsmallest(k, ((-own[j], v) for j in near.tolist() for v in ids[j]))])
+                    best.append([{"far": far, "vec_id": v} for far, v in heapq.nsmallest(k, ((-e, v) for j, e in zip(near.tolist(), exact.tolist(), strict=True) for v in ids[j]))])
         return pa.table([pa.array(number, pa.int64()), pa.array(best, pa.list_(pa.struct([("far", pa.float64()), ("vec_id", pa.int64())])))], names=["query", "found"])
 
     return run
@@ -232,7 +238,11 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, leaf: int = LEAF, r
     # equal queries walk once; the smallest id stands for them
     asks = rows.where("asks").groupBy("vector").agg(F.min("vec_id").alias("query"))
     visits = asks.select("query", "vector").mapInArrow(_visited(tree, places, sizes, k + 1), f"query long, vector {kind}, shelf int, leaves array<int>")
-    found = visits.groupBy("shelf").cogroup(members.groupBy("shelf")).applyInArrow(_search(k + 1), "query long, found array<struct<far:double,vec_id:long>>")
+    # a query visits a shelf once at most, so slices of queries bound what a task holds
+    slices = max(1, -(-asks.count() // QUERIES))
+    visits = visits.withColumn("slice", F.pmod(F.xxhash64("query"), F.lit(slices)).cast("int"))
+    members = members.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    found = visits.groupBy("shelf", "slice").cogroup(members.groupBy("shelf", "slice")).applyInArrow(_search(k + 1), "query long, found array<struct<far:double,vec_id:long>>")
     # a query has k + 1 ids at most from each of its shelves
     found = found.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
     # every row that asks gets its vector's neighbours, without itself
