@@ -19,6 +19,11 @@ WINDOW, SUBSTITUTIONS = 13, 2
 #: Benchmarks of up to so many tokens are sent to every task; larger ones are shuffled. A token has three seeds, each with
 #: the hashes of the 25 tokens around it: under 1 kB a token, 50 MB in all.
 BROADCAST_TOKENS = 50_000
+#: Bits for each opening and seed of a larger benchmark in the bitmaps that are sent in their place (8 bytes a token in all), and
+#: up to how many tokens; beyond that every position is shuffled. A bitmap lets one key in so many pass that is not there.
+BITS, BITMAP_TOKENS = 16, 50_000_000
+#: Bits of one row of a bitmap (fixed by Spark's bitmap functions).
+ROW_BITS = 32_768
 #: Positions of a document that one row holds, beside the tokens around them.
 STRIP = 16
 
@@ -50,6 +55,26 @@ def _opening(hashes: Column, at: Column) -> Column:
     return F.xxhash64(*[F.get(hashes, at + i) for i in range(shared)])
 
 
+def _bit(key: str, bits: int) -> tuple[Column, Column]:
+    """The row of the bitmap that a key's bit is in, and the bit's place there."""
+    place = F.pmod(F.col(key), F.lit(bits))
+    return F.floor(place / ROW_BITS).alias("_row"), (place % ROW_BITS)
+
+
+def _bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """_row, _bits: a bit for each key, in rows of 4 kB."""
+    row, bit = _bit(key, bits)
+    return keys.groupBy(row).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+
+
+def _possible(rows: DataFrame, key: str, bitmap: DataFrame, bits: int) -> DataFrame:
+    """The rows whose key's bit is set; all whose key is there are among them."""
+    row, bit = _bit(key, bits)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    own = rows.withColumn("_row", row).join(F.broadcast(bitmap), "_row")
+    return own.where(F.getbit(byte, (bit % 8).cast("int")) == 1).drop("_row", "_bits")
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """One row per leaked pair: doc_id, item_id, window_matched, window_tokens, n_tokens (of the item), doc_start.
 
@@ -60,7 +85,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, subs
     an empty table.
 
     Documents are cut into strips of ``STRIP`` positions with the tokens around them, so that a row's size does not grow
-    with its text. Only positions whose first tokens open a benchmark seed go on to be hashed under all masks.
+    with its text. Only positions whose first tokens open a benchmark seed go on to be hashed under all masks; of a benchmark that is
+    too large to be sent, bitmaps of its openings and seeds are, and only positions that pass both are shuffled.
     """
     items = benchmark.select("item_id", _hashes(F.col("text")).alias("_item")).where(F.size("_item") >= min(map(len, MASKS)))
     n_tokens = items.agg(F.sum(F.size("_item"))).first()[0] or 0
@@ -87,8 +113,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, subs
     probes = probes.select("doc_id", first.alias("_first"), near.alias("_near"), F.explode_outer(F.array(*map(F.lit, range(STRIP)))).alias("_k"))
     inner = F.col("_k") + F.least(F.col("_first"), F.lit(margin))
     probes = probes.select("doc_id", (F.col("_first") + F.col("_k")).alias("_at"), "_near", inner.alias("_inner"), _opening(F.col("_near"), inner).alias("_opening"))
-    probes = probes.join(send(openings), "_opening", "left_semi")
-    probes = probes.withColumn("_seed", F.explode(_seeds(F.col("_near"), F.col("_inner"))))
+    if BROADCAST_TOKENS < n_tokens <= BITMAP_TOKENS:  # few positions pass both bitmaps, and only those are shuffled
+        bits = -(-BITS * n_tokens // ROW_BITS) * ROW_BITS
+        probes = _possible(probes, "_opening", _bitmap(openings, "_opening", bits), bits)
+        probes = probes.withColumn("_seed", F.explode(_seeds(F.col("_near"), F.col("_inner"))))
+        probes = _possible(probes, "_seed", _bitmap(seeds.select("_seed"), "_seed", 3 * bits), 3 * bits)
+    else:
+        probes = probes.join(send(openings), "_opening", "left_semi")
+        probes = probes.withColumn("_seed", F.explode(_seeds(F.col("_near"), F.col("_inner"))))
     hits = probes.join(send(seeds), "_seed")
 
     # the item's tokens around the seed, laid over the strip's; the best window of them decides
