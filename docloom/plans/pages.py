@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import date_rows
+from docloom.operators import type_classifier
 from docloom.operators.templates import Lookup, Part, Template, Value, rendered
 from docloom.plans.registry import query
 from docloom.session import table
@@ -40,3 +41,10 @@ def date_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     date_rows.register(spark)
     notes = table(spark, sf_dir, "orders").where("o_orderdate IS NOT NULL").select("o_orderkey", F.concat(F.lit("posted "), F.date_format("o_orderdate", "MM/dd/yyyy")).alias("note"))
     return spark.sql("SELECT o_orderkey, label, CAST(day AS STRING) AS day FROM {notes}, LATERAL labelled_dates(note, '2024-06-01')", notes=notes)
+
+
+@query()
+def doc_type_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's type by its label or else by a classifier that learns from the labelled ones; languages stand for types (X-34)."""
+    docs = table(spark, sf_dir, "documents")
+    return type_classifier.types_told(docs, "doc_id", "lang", "text", type_classifier.fit(docs, "lang", "text"))
