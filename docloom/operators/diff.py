@@ -46,16 +46,20 @@ def tag_changes(current: DataFrame, previous: DataFrame, key: list[str], field:
     return both.select(*key, status.alias("status"))
 
 
-def paired_tags(current: DataFrame, previous: DataFrame, code: str, page: str, ties: list[str]) -> DataFrame:
+def paired_tags(current: DataFrame, previous: DataFrame, code: str, page: str) -> DataFrame:
     """code, removed, added, changed: each code's tags of both versions paired in the order of their pages; changed ones are on another page.
 
-    Tags of one code and version are numbered by a window, so a code that has a large share of all is one sort; ``ties`` makes the order whole.
+    Tags are counted by code and page before they meet. The pairs that stay on a page are where the page's places on both sides
+    overlap, so a code is a row for each page, however many tags it has. Null pages are one page, before the others.
     """
-    numbered = lambda df: df.withColumn("_r", F.row_number().over(Window.partitionBy(code).orderBy(page, *ties)))
-    a = numbered(current).select(code, "_r", F.col(page).alias("_new"))
-    b = numbered(previous).select(code, "_r", F.col(page).alias("_old"))
-    both = a.join(b, [code, "_r"], "full")
-    return both.groupBy(code).agg(F.count_if(F.col("_new").isNull()).alias("removed"), F.count_if(F.col("_old").isNull()).alias("added"), F.count_if(F.col("_new") != F.col("_old")).alias("changed"))
+    count = lambda df, a, b: df.select(code, F.col(page).alias("_page")).groupBy(code, "_page").agg(F.count("*").alias("_n")).select(code, "_page", (F.col("_n") * a).alias("_a"), (F.col("_n") * b).alias("_b"))
+    pages = count(current, 1, 0).unionByName(count(previous, 0, 1)).groupBy(code, "_page").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    w = Window.partitionBy(code).orderBy(F.asc_nulls_first("_page")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = pages.withColumns({f"_{s}_end": F.sum(f"_{s}").over(w) for s in "ab"})
+    both = F.least("_a_end", "_b_end") - F.greatest(F.col("_a_end") - F.col("_a"), F.col("_b_end") - F.col("_b"))
+    sums = ends.groupBy(code).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"), F.sum(F.greatest(both, F.lit(0))).alias("_same"))
+    more = F.col("_a") - F.col("_b")
+    return sums.select(code, F.greatest(-more, F.lit(0)).alias("removed"), F.greatest(more, F.lit(0)).alias("added"), (F.least("_a", "_b") - F.col("_same")).alias("changed"))
 
 
 def new_elements(candidate: Column, existing: Column) -> Column:

@@ -218,7 +218,7 @@ def clean_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each code's tags in two versions, paired in order: added, removed, on another page (G-13)."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("code"), F.col("l_partkey").alias("page"), "l_orderkey", "l_linenumber", "l_linestatus")
-    return diff.paired_tags(lines.where("l_linestatus = 'F'"), lines.where("l_linestatus <> 'F'"), "code", "page", ["l_orderkey", "l_linenumber"])
+    return diff.paired_tags(lines.where("l_linestatus = 'F'"), lines.where("l_linestatus <> 'F'"), "code", "page")
 
 
 @query("""WITH a AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS f FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1, 2), b AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS f FROM lineitem WHERE l_partkey % 4 <> 0 GROUP BY 1, 2)

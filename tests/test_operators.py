@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
 
 import pytest
@@ -189,6 +190,39 @@ def test_differences(spark):
     assert {(r.code, r.status, r.n) for r in diff.row_delta(new, old, "code", ["code", "v"]).collect()} == {("c", "edit", 1), ("c", "add", 1), ("d", "add", 1), ("e", "remove", 1)}
 
 
+@pytest.mark.parametrize("sent", [100_000, -1])
+def test_terms_by_either_join(spark, monkeypatch, sent):
+    monkeypatch.setattr(tagging, "BROADCAST_TERMS", sent)
+    docs = spark.createDataFrame([(1, "Salt, no salt water; water no salt"), (2, None), (None, "water salt")], "id int, text string")
+    terms = spark.createDataFrame([("s", "salt"), ("w", "Salt Water"), ("n", "no-salt"), ("x", "salt water fish"), ("s", "SALT")], "code string, term string")
+    found = sorted((r.id or 0, r.code, r.at) for r in tagging.tag_terms(docs, "id", "text", terms).collect())
+    assert found == [(0, "s", 1), (1, "n", 1), (1, "n", 5), (1, "s", 0), (1, "s", 2), (1, "s", 6), (1, "w", 2)]
+
+
+def test_focus_does_not_depend_on_where_tags_are(spark):
+    areas = spark.createDataFrame([(d, 100 * k, 100 * k + 60, k % 2 == 0) for d in range(20) for k in range(5)], "d int, at int, end int, is_key boolean")
+    tags = spark.createDataFrame([(d, p, p + 5, f"t{p}", 0, "x") for d in range(20) for p in range(3, 500, 41)], "d int, at int, end int, text string, _p int, _kind string").drop("_p", "_kind")
+    none = F.lit(None).cast("string")
+    out = [tagging.focus_states(t, areas, "d", none, none, none) for t in (tags.coalesce(1), tags.repartition(7, "text"), tags.orderBy(F.rand(3)).repartition(3))]
+    expected = {(d, p, p % 100 + 5 < 60 and (p // 100) % 2 == 0, p % 100 + 5 < 60) for d in range(20) for p in range(3, 500, 41)}
+    for df in out:
+        assert {(r["d"], r["at"], r["is_key"], r["focus"]) for r in df.collect()} == expected and df.count() == len(expected)
+        assert "monotonically_increasing_id" not in df._jdf.queryExecution().toString()
+
+
+def test_tags_are_paired_in_the_order_of_pages(spark):
+    rng = random.Random(5)
+    new, old = ([(rng.choice("abc"), rng.choice([None, 1, 1, 1, 2, 3])) for _ in range(60)] for _ in range(2))
+    new += [("only", 1)]
+    frame = lambda rows: spark.createDataFrame(rows, "code string, page int")
+    found = {r["code"]: tuple(r)[1:] for r in diff.paired_tags(frame(new), frame(old), "code", "page").collect()}
+    expected = {}
+    for code in {c for c, _ in new + old}:
+        a, b = (sorted((-1 if p is None else p) for c, p in rows if c == code) for rows in (new, old))
+        expected[code] = (max(len(b) - len(a), 0), max(len(a) - len(b), 0), sum(x != y for x, y in zip(a, b, strict=False)))
+    assert found == expected
+
+
 def test_tags_and_sections(spark):
     docs = spark.createDataFrame([(1, "Take Foo bar, foo."), (2, None)], "id int, text string")
     terms = spark.createDataFrame([("a", "foo"), ("b", "Foo Bar"), ("c", "")], "code string, term string")
