@@ -10,7 +10,6 @@ from collections import Counter
 from itertools import product
 
 import duckdb
-import pytest
 
 from docloom.llm import conversation_repair as repair
 
