@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import random
-from datetime import date, datetime
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.functions import dates, doc_types, vectorized
+from docloom.functions import doc_types, vectorized
 from docloom.functions import scalar as fn
 from docloom.operators import diff, extraction, lifecycle, lineage, predicates, stats, tagging, temporal, views
 from docloom.operators import table_query as tq
