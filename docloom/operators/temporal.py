@@ -14,9 +14,17 @@ def as_of(df: DataFrame, when: Column, start: str = "start_date", end: str = "en
 
 
 def as_of_join(points: DataFrame, intervals: DataFrame, key: str, when: str, start: str, end: str, days: int = 32) -> DataFrame:
-    """Each point with the intervals of its key that hold it. Intervals are cut at multiples of ``days``, so that the join is by equality."""
+    """Each point with the intervals of its key that hold it. Intervals are cut at multiples of ``days``, so that the join is by equality.
+
+    An interval has cuts only between the first and the last point of all, so one that is open to the far end of time has no more than
+    the points span.
+    """
     number = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / days)
-    cut = intervals.withColumn("_slot", F.explode(F.sequence(number(F.col(start)), number(F.col(end)))))
+    first, last = points.agg(F.min(number(F.col(when))), F.max(number(F.col(when)))).first()
+    if first is None:
+        first, last = 1, 0
+    low, high = F.greatest(number(F.col(start)), F.lit(first)), F.least(number(F.col(end)), F.lit(last))
+    cut = intervals.withColumn("_slot", F.explode(F.when(low <= high, F.sequence(low, high))))
     return points.withColumn("_slot", number(F.col(when))).join(cut, [key, "_slot"]).where((F.col(start) <= F.col(when)) & (F.col(when) < F.col(end))).drop("_slot")
 
 

@@ -190,6 +190,15 @@ def test_differences(spark):
     assert {(r.code, r.status, r.n) for r in diff.row_delta(new, old, "code", ["code", "v"]).collect()} == {("c", "edit", 1), ("c", "add", 1), ("d", "add", 1), ("e", "remove", 1)}
 
 
+def test_open_intervals_are_cut_no_further_than_points_go(spark):
+    points = spark.createDataFrame([(1, "2020-03-05"), (1, "2019-01-01"), (2, "2020-01-01"), (None, "2020-01-01")], "k int, d string").withColumn("d", F.col("d").cast("timestamp_ntz"))
+    spans = spark.createDataFrame([(1, "a", "1970-01-01", "9999-01-01"), (1, "b", "2020-03-05", "2020-03-06"), (2, "c", "2021-01-01", "9999-01-01"), (2, "d", "2020-01-01", "2020-01-01")], "k int, n string, s string, e string")
+    spans = spans.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("s", "e")})
+    found = {(r["k"], str(r["d"].date()), r["n"]) for r in temporal.as_of_join(points, spans, "k", "d", "s", "e").collect()}
+    assert found == {(1, "2020-03-05", "a"), (1, "2019-01-01", "a"), (1, "2020-03-05", "b")}
+    assert temporal.as_of_join(points.limit(0), spans, "k", "d", "s", "e").count() == 0
+
+
 @pytest.mark.parametrize("sent", [100_000, -1])
 def test_terms_by_either_join(spark, monkeypatch, sent):
     monkeypatch.setattr(tagging, "BROADCAST_TERMS", sent)
