@@ -143,6 +143,22 @@ def focus_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagging.sections(table(spark, sf_dir, "documents"), "doc_id", "text", ". ")
 
 
+#: Start and end separators of areas, and whether they are key areas.
+_AREA_CONFIGS = (("the ", ". ", False), ("Und ", None, False), (None, ".", True), ("en", "le", True))
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT * FROM (VALUES {", ".join(f"({i}, {'NULL' if s is None else repr(s.lower())}, {'NULL' if e is None else repr(e.lower())}, {k})" for i, (s, e, k) in enumerate(_AREA_CONFIGS))}) AS v(c, s, e, is_key)), d AS (SELECT doc_id, text, lower(text) AS t FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+    f AS (SELECT doc_id, c, CAST(0 AS BIGINT) AS low, CAST(-1 AS BIGINT) AS a, CAST(0 AS BIGINT) AS z FROM d CROSS JOIN c WHERE s IS NOT NULL
+        UNION ALL SELECT doc_id, c, z2, a2, z2 FROM (SELECT *, CASE WHEN e IS NULL OR strpos(substr(t, a2 + 1), e) = 0 THEN length(t) ELSE a2 + strpos(substr(t, a2 + 1), e) - 1 END AS z2 FROM (SELECT f.doc_id, f.c, d.t, c.e, low + strpos(substr(d.t, low + 1), c.s) - 1 + length(c.s) AS a2 FROM f JOIN d USING (doc_id) JOIN c USING (c) WHERE strpos(substr(d.t, low + 1), c.s) > 0))),
+    o AS (SELECT doc_id, c, a, z FROM f WHERE a >= 0 UNION ALL SELECT doc_id, c, 0, CASE WHEN e IS NULL OR strpos(t, e) = 0 THEN length(t) ELSE strpos(t, e) - 1 END FROM d CROSS JOIN c WHERE s IS NULL)
+    SELECT doc_id, is_key, CAST(a AS INTEGER) AS "at", CAST(z AS INTEGER) AS "end", CAST(coalesce(lead(a) OVER (PARTITION BY doc_id, is_key ORDER BY a, z), length(text)) AS INTEGER) AS section_end, 0 AS page, CASE WHEN is_key THEN substr(text, a + 1, z - a) END AS key_text FROM o JOIN d USING (doc_id) JOIN c USING (c)""")
+def focus_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas between start and end separators of several configurations, with their texts (G-08, U-07)."""
+    docs = table(spark, sf_dir, "documents")
+    told = F.array(*[F.struct(F.lit(s).cast("string").alias("start"), F.lit(e).cast("string").alias("end"), F.lit(k).alias("is_key")) for s, e, k in _AREA_CONFIGS])
+    return tagging.focus_areas(docs, "doc_id", "text", docs.select("doc_id", F.inline(told)))
+
+
 @query("""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(0, len(string_split(text, chr(10))))) AS page FROM documents)
     SELECT doc_id, CAST(page AS INTEGER) AS page, CAST(coalesce(sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM p""")
 def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

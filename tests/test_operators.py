@@ -219,6 +219,40 @@ def test_focus_does_not_depend_on_where_tags_are(spark):
         assert "monotonically_increasing_id" not in df._jdf.queryExecution().toString()
 
 
+def areas_of(text, start, end):
+    """at, end and page of each area, one after another."""
+    low, lowered, first = 0, text.lower(), True
+    while True:
+        if not start:
+            begin = 0
+        elif start == "\f" and first and not text.startswith("\f"):
+            begin = 0
+        else:
+            found = lowered.find(start.lower(), low)
+            if found < 0:
+                return
+            begin = found + len(start)
+        stop = lowered.find(end.lower(), begin) if end else -1
+        stop = stop if stop >= 0 else len(text)
+        yield begin, stop, text[:begin].count("\f")
+        low, first = stop, False
+        if not start:
+            return
+
+
+def test_areas_between_separators(spark):
+    rng = random.Random(8)
+    texts = ["", "ab", "\fab\f", "A.b(E\\E)x"] + ["".join(rng.choice(["a", "B", "x", " ", "\f", ".", "(", "\n"]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    configs = [("a", "b", True), ("A", None, False), ("\f", None, False), ("\f", "b", True), (None, "X", False), ("", "", True), ("(", ".", False), ("a", "a", False), (r"\E", ")", True), ("zz", "b", True)]
+    docs = spark.createDataFrame([*enumerate(texts), (1000, None)], "id int, text string")
+    rows = spark.createDataFrame([(i, *c) for i in [*range(len(texts)), 1000] for c in configs for _ in range(2)], "id int, start string, end string, is_key boolean")
+    found = sorted((r["id"], r["is_key"], r["at"], r["end"], r["page"], r["key_text"] or "") for r in tagging.focus_areas(docs, "id", "text", rows).collect())
+    expected = sorted((i, k, a, z, p, t[a:z] if k else "") for i, t in enumerate(texts) for s, e, k in configs for a, z, p in areas_of(t, s, e))
+    assert found == expected
+    one = tagging.focus_areas(docs, "id", "text", rows.where("start = 'a' AND end = 'b'")).where("id < 4").collect()
+    assert [(r["id"], r["section_end"]) for r in sorted(one, key=lambda r: (r["id"], r["at"]))] == [(1, 2), (2, 4), (3, 9)]
+
+
 def test_tags_are_paired_in_the_order_of_pages(spark):
     rng = random.Random(5)
     new, old = ([(rng.choice("abc"), rng.choice([None, 1, 1, 1, 2, 3])) for _ in range(60)] for _ in range(2))
