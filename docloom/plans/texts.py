@@ -76,10 +76,11 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b")).cast("long")).where("r <= 3").select("a", "b", "r")
 
 
-@query("SELECT s_suppkey, c_custkey, round(jaro_winkler_similarity(s_name, c_name), 6) AS score FROM supplier JOIN customer ON s_nationkey = c_nationkey")
+@query("SELECT s_suppkey, c_custkey, round(jaro_winkler_similarity(s_name, c_name), 6) AS score FROM (SELECT DISTINCT l_suppkey, o_custkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey) JOIN supplier ON s_suppkey = l_suppkey JOIN customer ON c_custkey = o_custkey")
 def jaro_winkler_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similarity of the names of one nation's suppliers and customers (X-37)."""
-    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "customer"), F.col("s_nationkey") == F.col("c_nationkey"))
+    """Similarity of the names of suppliers and the customers that they have served (X-37)."""
+    served = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "o_custkey").distinct()
+    rows = served.join(table(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
     return rows.select("s_suppkey", "c_custkey", F.round(vectorized.jaro_winkler_similarity("s_name", "c_name"), 6).alias("score"))
 
 
