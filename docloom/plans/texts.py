@@ -203,7 +203,9 @@ def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, word, CAST(sum(d) AS BIGINT) AS change FROM w GROUP BY 1, 2 HAVING sum(d) <> 0""")
 def word_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that one text has more or fewer of than the next (G-04)."""
-    return diff.word_changes(_neighbours(spark, sf_dir), "doc_id", F.col("text"), F.col("newer"))
+    docs = table(spark, sf_dir, "documents")
+    pairs = docs.select("doc_id", F.col("doc_id").alias("old"), (F.col("doc_id") + 1).alias("new")).join(docs.select(F.col("doc_id").alias("new")), "new", "left_semi")
+    return diff.word_changes(diff.word_counts(docs.withColumnRenamed("doc_id", "_doc"), "_doc", F.col("text")), pairs, "doc_id")
 
 
 @query(f"""WITH d AS (SELECT a.doc_id, a.text AS text, b.text AS newer FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
