@@ -111,7 +111,8 @@ def rendered(docs: DataFrame, key: str, template: Template, sources: dict[str, D
     """key, html: every document of ``docs`` by ``template``; sources have the rows of all documents, with ``key``.
 
     Each part is aggregated once over its whole source, and the parts of a document meet in one aggregate; there is no step for each
-    document or row. A part without rows says ``N/A``, as a null or empty value does. Lookups do not multiply rows if their column is
+    document or row. A part without rows says ``N/A``, as a null or empty value does. Rows of
+    equal order go by their text. Lookups do not multiply rows if their column is
     unique there. Repeated keys of ``docs`` are one document; null keys are none.
     """
     parts = [_part(p, sources, key).select(key, F.lit(n).alias("_n"), "_html") for n, p in enumerate(template.parts)]

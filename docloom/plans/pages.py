@@ -23,8 +23,8 @@ _ROW = "'<tr><td>' || l_linenumber || '</td><td>' || {} || '</td></tr>'"
 _HEAD = "<table><thead><tr><th>Line</th><th>{}</th></tr></thead><tbody>"
 
 
-@query(f"""WITH g AS (SELECT l_orderkey, l_returnflag, string_agg({_ROW.format("l_suppkey")}, '' ORDER BY l_linenumber, l_partkey) AS b FROM lineitem GROUP BY 1, 2), h AS (SELECT l_orderkey, string_agg('<h3>' || l_returnflag || '</h3>{_HEAD.format("Supplier")}' || b || '</tbody></table>', '' ORDER BY l_returnflag) AS b FROM g GROUP BY 1),
-    l AS (SELECT l_orderkey, string_agg('<li>' || coalesce(p_name, 'N/A') || ' - ' || coalesce(p_brand, 'N/A') || '</li>', '' ORDER BY l_linenumber, l_partkey) AS p, string_agg({_ROW.format("l_partkey")}, '' ORDER BY l_linenumber, l_partkey) AS t FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1)
+@query(f"""WITH g AS (SELECT l_orderkey, l_returnflag, string_agg({_ROW.format("l_suppkey")}, '' ORDER BY l_linenumber, l_partkey, {_ROW.format("l_suppkey")}) AS b FROM lineitem GROUP BY 1, 2), h AS (SELECT l_orderkey, string_agg('<h3>' || l_returnflag || '</h3>{_HEAD.format("Supplier")}' || b || '</tbody></table>', '' ORDER BY l_returnflag) AS b FROM g GROUP BY 1),
+    l AS (SELECT l_orderkey, string_agg('<li>' || coalesce(p_name, 'N/A') || ' - ' || coalesce(p_brand, 'N/A') || '</li>', '' ORDER BY l_linenumber, l_partkey, '<li>' || coalesce(p_name, 'N/A') || ' - ' || coalesce(p_brand, 'N/A') || '</li>') AS p, string_agg({_ROW.format("l_partkey")}, '' ORDER BY l_linenumber, l_partkey, {_ROW.format("l_partkey")}) AS t FROM lineitem LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1)
     SELECT o_orderkey, '<html><body><h2>Status</h2><p>Priority: ' || o_orderpriority || '</p><p>' || strftime(o_orderdate, '%m/%d/%Y') || '</p><h2>Parts</h2>' || coalesce('<ul>' || p || '</ul>', '<p>N/A</p>') || '<h2>Lines</h2>' || coalesce('{_HEAD.format("Part")}' || t || '</tbody></table>', '<p>N/A</p>') || '<h2>By flag</h2>' || coalesce(h.b, '<p>N/A</p>') || '</body></html>' AS html
     FROM orders LEFT JOIN l ON l.l_orderkey = o_orderkey LEFT JOIN h ON h.l_orderkey = o_orderkey""")
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
