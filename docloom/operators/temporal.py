@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN_END = "2038-01-01"
+#: Slots that an interval may touch to be filed under its first one alone.
+REACH = 4
 
 
 def as_of(df: DataFrame, when: Column, start: str = "start_date", end: str = "end_date") -> DataFrame:
@@ -14,18 +16,25 @@ def as_of(df: DataFrame, when: Column, start: str = "start_date", end: str = "en
 
 
 def as_of_join(points: DataFrame, intervals: DataFrame, key: str, when: str, start: str, end: str, days: int = 32) -> DataFrame:
-    """Each point with the intervals of its key that hold it. Intervals are cut at multiples of ``days``, so that the join is by equality.
+    """Each point with the intervals of its key that hold it, by equality of slots of ``days``.
 
-    An interval has cuts only between the first and the last point of all, so one that is open to the far end of time has no more than
-    the points span.
+    An interval over few slots is a row in its first one, and points look for it in that many slots back. Longer ones are cut at the
+    slots, between the first and the last point of all, so one that is open to the far end of time has no more rows than the points span.
+    Points of keys without an interval are let go before that.
     """
     number = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / days)
     first, last = points.agg(F.min(number(F.col(when))), F.max(number(F.col(when)))).first()
     if first is None:
         first, last = 1, 0
     low, high = F.greatest(number(F.col(start)), F.lit(first)), F.least(number(F.col(end)), F.lit(last))
-    cut = intervals.withColumn("_slot", F.explode(F.when(low <= high, F.sequence(low, high))))
-    return points.withColumn("_slot", number(F.col(when))).join(cut, [key, "_slot"]).where((F.col(start) <= F.col(when)) & (F.col(when) < F.col(end))).drop("_slot")
+    # -1 is the slot's mark for cut intervals, 0 for whole ones
+    own = F.when(number(F.col(end)) - number(F.col(start)) < REACH, F.array(F.struct(number(F.col(start)).alias("_slot"), F.lit(0).alias("_cut"))))
+    own = F.when((low <= high) & (F.col(start) < F.col(end)), F.coalesce(own, F.transform(F.sequence(low, high), lambda s: F.struct(s.alias("_slot"), F.lit(-1).alias("_cut")))))
+    cut = intervals.select("*", F.inline(own))
+    at = number(F.col(when))
+    looked = F.array(*[F.struct((at - n).alias("_slot"), F.lit(0).alias("_cut")) for n in range(REACH)], F.struct(at.alias("_slot"), F.lit(-1).alias("_cut")))
+    held = points.join(intervals.select(key).distinct(), key, "left_semi").select("*", F.inline(looked))
+    return held.join(cut, [key, "_slot", "_cut"]).where((F.col(start) <= F.col(when)) & (F.col(when) < F.col(end))).drop("_slot", "_cut")
 
 
 def expand_benefits(plans: DataFrame, formularies: DataFrame, benefits: dict[str, str]) -> DataFrame:
