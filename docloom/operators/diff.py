@@ -22,9 +22,9 @@ def blank_footers(docs: DataFrame, key: str, pages: Column) -> DataFrame:
 
 
 def word_counts(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, word, n: how often each word stands in a text. A document is one row, so its words are counted before they are shuffled."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return docs.select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    """key, word, n: how often each word stands in a text. Texts are dealt by their key, so that words are counted and joined by it where they are."""
+    words = F.filter(F.split(F.lower(F.coalesce(F.col("_text"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return docs.select(key, text.alias("_text")).repartition(key).select(key, F.explode(words).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
 def word_changes(counts: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
