@@ -52,8 +52,8 @@ def paired_tags(current: DataFrame, previous: DataFrame, code: str, page: str) -
     Tags are counted by code and page before they meet. The pairs that stay on a page are where the page's places on both sides
     overlap, so a code is a row for each page, however many tags it has. Null pages are one page, before the others.
     """
-    count = lambda df, a, b: df.select(code, F.col(page).alias("_page")).groupBy(code, "_page").agg(F.count("*").alias("_n")).select(code, "_page", (F.col("_n") * a).alias("_a"), (F.col("_n") * b).alias("_b"))
-    pages = count(current, 1, 0).unionByName(count(previous, 0, 1)).groupBy(code, "_page").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    side = lambda df, a, b: df.select(code, F.col(page).alias("_page"), F.lit(a).alias("_a"), F.lit(b).alias("_b"))
+    pages = side(current, 1, 0).unionByName(side(previous, 0, 1)).groupBy(code, "_page").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
     w = Window.partitionBy(code).orderBy(F.asc_nulls_first("_page")).rowsBetween(Window.unboundedPreceding, 0)
     ends = pages.withColumns({f"_{s}_end": F.sum(f"_{s}").over(w) for s in "ab"})
     both = F.least("_a_end", "_b_end") - F.greatest(F.col("_a_end") - F.col("_a"), F.col("_b_end") - F.col("_b"))
