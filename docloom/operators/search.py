@@ -129,16 +129,32 @@ def numbers_of(text: Column) -> Column:
 
 
 def adjusted_score(score: Column, asked: Column, candidate: Column) -> Column:
-    """A candidate's score: one more for each number that both texts have, one less for each that only one has."""
-    a, b = numbers_of(asked), numbers_of(candidate)
-    both = F.size(F.array_intersect(a, b))
-    return score + both - (F.size(a) + F.size(b) - 2 * both)
-
-
-def best_candidates(pairs: DataFrame, key: str, candidate: str, score: str, adjusted: str, least: float = 0.5) -> DataFrame:
-    """Of each key's candidates with a score of ``least`` or more, the one of the greatest adjusted score, then of the least name."""
-    best = F.min_by(F.struct(F.col(candidate), F.col(score), F.col(adjusted)), F.struct(-F.col(adjusted), F.col(candidate)))
-    return pairs.where(F.col(score) >= least).groupBy(key).agg(best.alias("_b")).select(key, f"_b.{candidate}", f"_b.{score}", f"_b.{adjusted}")
+    """A candidate's score: one more for each number that both have, one less for each that only one has. Numbers are those of ``numbers_of``."""
+    both = F.size(F.array_intersect(asked, candidate))
+    return score + both - (F.size(asked) + F.size(candidate) - 2 * both)
+
+
+def with_following(rows: DataFrame, key: str, reach: int, name: str, block: int = 1024) -> DataFrame:
+    """``rows`` with the array ``name`` of all rows whose whole-number keys are by 1 to ``reach`` greater. Rows without a key are left out.
+
+    Keys are cut into blocks that also have the first rows of the next one, so a row is sent twice at most and no pair is.
+    """
+    own = F.floor(F.col(key) / block)
+    blocks = F.array(F.struct(own.alias("_block"), F.lit(True).alias("_own")))
+    # the rows that some row of an earlier block looks for
+    back = F.transform(F.sequence(F.lit(1), F.lit(-(-reach // block))), lambda n: F.struct((own - n).alias("_block"), F.lit(False).alias("_own")))
+    back = F.filter(back, lambda b: F.col(key) - reach < (b["_block"] + 1) * block)
+    dealt = rows.where(F.col(key).isNotNull()).select("*", F.inline(F.concat(blocks, back)))
+    near = F.collect_list(F.struct(*rows.columns)).over(Window.partitionBy("_block").orderBy(key).rangeBetween(1, reach))
+    return dealt.withColumn(name, near).where("_own").drop("_block", "_own")
+
+
+def best_candidates(rows: DataFrame, key: str, candidates: Column, least: float = 0.5) -> DataFrame:
+    """Of each key's ``candidates`` (an array of structs of candidate, score and adjusted) with a score of ``least`` or more, the one of the
+    greatest adjusted score, then of the least name. Arrays are searched where they are; only their best goes on to the rows of its key."""
+    order = F.transform(F.filter(candidates, lambda c: c["score"] >= least), lambda c: F.struct((-c["adjusted"]).alias("far"), c["candidate"].alias("candidate"), c["score"].alias("score")))
+    best = rows.select(key, F.array_min(order).alias("_b")).where("_b IS NOT NULL").groupBy(key).agg(F.min("_b").alias("_b"))
+    return best.select(key, "_b.candidate", "_b.score", (-F.col("_b.far")).alias("adjusted"))
 
 
 def newest_dates(dates: Column, n: int = 25) -> Column:
