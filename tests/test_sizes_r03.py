@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docloom import catalog
+from docloom.operators import language_profiles as lp
 from docloom.operators import search
+from docloom.session import checkpointed
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +32,22 @@ def test_candidates_are_found_without_a_row_for_each_pair(spark):
     assert best == {k: (m, a) for k, n, found in expected if found for a, m in [max((m % 3, -m) for m in found)] for m in [-m]}
     plan = _plan(catalog.QUERIES["best_candidate"](spark, SF))
     assert "Join" not in plan and "Window" in plan
+
+
+def test_grams_are_counted_where_their_texts_are(spark, monkeypatch):
+    for step in (1 << 20, 4):
+        monkeypatch.setattr(lp, "STEP", step)
+        text = " aab éab дом 𐐨𐐨 aab "
+        codes, n = lp._counts(np.concatenate([lp._chars(text), [lp.MARK], lp._chars(" b "), [lp.MARK], lp._chars("  ")]))
+        expected = Counter(t[i : i + k] for t in (text, " b ") for k in (1, 2, 3) for i in range(len(t) - k + 1))
+        del expected[" "]
+        assert list(zip(lp._texts(codes), n.tolist(), strict=True)) == sorted(expected.items())
+    docs = spark.createDataFrame([(1, "a b"), (1, "b c"), (2, "b c"), (None, "a"), (None, "-"), (3, None), (4, None), (4, "")], "_key int, _text string")
+    rows = lp._own_grams(docs.select("_key", lp.only_letters(F.col("_text")).alias("_text")))
+    found = {k: [(r.gram, r["size"]) for r in sorted(rows.collect(), key=lambda r: -1 if r["rank"] is None else r["rank"]) if r._key == k and r.gram] for k in (1, 2, 3, 4, None)}
+    assert [g for g, _ in found[1]][:4] == [" b", " b ", "b", "b "] and {n for _, n in found[1]} == {len(found[1])}
+    assert found[3] == found[4] == [] and {s for _, s in found[2]} == {len(found[2])} and [g for g, _ in found[None]] == [" a", " a ", "a", "a "]
+    known = checkpointed(lp.profiles(docs.withColumn("lang", F.lit("x")), "lang", "_text"))
+    out = lp.detected(docs, "_key", "_text", known)
+    assert sorted(r._key or 0 for r in out.collect()) == [0, 1, 2, 3, 4]
+    assert "MapInArrow" in _plan(lp.detected(docs, "_key", "_text", known)) and "MapInArrow" in _plan(lp.profiles(docs, "_key", "_text"))
