@@ -6,10 +6,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom import catalog
 from docloom.operators import language_profiles as lp
+from docloom.functions import textdiff, vectorized
 from docloom.operators import document_analysis, search
 from docloom.session import checkpointed
 
@@ -61,3 +63,20 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     moved = spark.createDataFrame([(5,), (60,), (230,)], "k long")
     found = {r.k: r.root for r in document_analysis._later(docs, moved, "k").collect()}
     assert found == {**dict.fromkeys(range(5, 60), 5), **dict.fromkeys(range(60, 100), 60), **dict.fromkeys(range(230, 300), 230)} and len(rounds) <= 11
+
+
+def test_pages_are_parsed_a_few_at_once(spark):
+    batch = pa.RecordBatch.from_pydict({"k": list(range(200)), "url": ["http://a.b/c/"] * 199 + [None], "html": [None] + ["<title>t</title><a href='d'>x</a><a href='http://['>y</a>"] * 199})
+    out = list(vectorized._linked(iter([batch])))
+    assert max(map(len, out)) == vectorized.PAGES and sum(map(len, out)) == 200
+    rows = [r for b in out for r in b.to_pylist()]
+    assert rows[0] == {"_key": 0, "text": "", "title": "", "links": []} and rows[1] == {"_key": 1, "text": "x y", "title": "t", "links": ["http://a.b/c/d", None]} and rows[199]["links"] == [None, None]
+    assert _plan(catalog.QUERIES["html_text"](spark, SF)).count("Python") == 0
+
+
+def test_scripts_are_arrow_columns(spark):
+    rows = [(i, f"a b c{i}", "a c d") for i in range(150)] + [(900, None, "x"), (901, None, None)]
+    df = spark.createDataFrame(rows, "k int, a string, b string").coalesce(1)
+    found = {r.k: r.s for r in df.select("k", textdiff.changed_sections("a", "b").alias("s")).collect()}
+    assert [(s.kind, s.text) for s in found[149]] == [(-1, "b c149"), (1, "c d")] and [s.text for s in found[900]] == ["x"] and found[901] == []
+    assert "pandas" not in str(textdiff._compared.__code__.co_names) and not hasattr(textdiff, "pd")
