@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import tasks_for
+
 OPEN_END = "2038-01-01"
 #: Slots that an interval may touch to be filed under its first one alone.
 REACH = 4
@@ -86,8 +88,11 @@ def scd2_load(current: DataFrame, delivered: DataFrame, key: str, fields: list[s
     open_ = current.where(F.col("end_date") == opened)
     old = open_.select(F.col(key).alias("_key"), F.struct(*fields).alias("old"), F.col("start_date").alias("since"))
     new = delivered.select(F.col(key), F.struct(*fields).alias("new"))
-    both = old.join(new, F.col("_key") == F.col(key), "full")
+    n = tasks_for(current.sparkSession, old.count() + new.count())
+    both = old.repartition(n, "_key").join(new.repartition(n, key), F.col("_key") == F.col(key), "full")
     same = F.col("old").eqNullSafe(F.col("new"))
-    kept = both.where("_key IS NOT NULL").select(F.col("_key").alias(key), *[F.col(f"old.{f}").alias(f) for f in fields], F.col("since").alias("start_date"), F.when(same, opened).otherwise(when).alias("end_date"))
-    added = both.where(F.col(key).isNotNull() & ~(F.col("_key").isNotNull() & same)).select(key, *[F.col(f"new.{f}").alias(f) for f in fields], when.alias("start_date"), opened.alias("end_date"))
-    return history.select(kept.columns).unionByName(kept).unionByName(added)
+    row = lambda k, x, start, end: F.struct(F.col(k).alias(key), *[F.col(f"{x}.{f}").alias(f) for f in fields], start.alias("start_date"), end.alias("end_date"))
+    kept = F.when(F.col("_key").isNotNull(), row("_key", "old", F.col("since"), F.when(same, opened).otherwise(when)))
+    added = F.when(F.col(key).isNotNull() & ~(F.col("_key").isNotNull() & same), row(key, "new", when, opened))
+    loaded = both.select(F.inline(F.filter(F.array(kept, added), lambda r: r.isNotNull())))
+    return history.select(loaded.columns).unionByName(loaded)
