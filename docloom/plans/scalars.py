@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import scalar as fn
 from docloom.functions.doc_types import RULES, TypeRule, type_of, type_sql
 from docloom.plans.registry import query
-from docloom.session import table
+from docloom.session import table, tasks_for
 
 
 @query("""SELECT page_id, md5(html) AS bytes, md5(trim(url) || html) AS both, CASE WHEN page_id % 2 = 0 THEN md5(regexp_replace(html, '[ \\t\\n\\r\\f\\v]+', '', 'g')) ELSE md5(html) END AS own FROM pages""")
@@ -95,7 +95,9 @@ def drug_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drug names in one spelling, and the names that one stands for (X-45)."""
     name = F.col("p_name")
     one, many = F.concat(name, F.lit("  .5 MG\tTabs")), F.concat(name, F.lit(" ER 10/20mg"))
-    return table(spark, sf_dir, "part").where(~F.col("p_name").rlike("[0-9]")).select("p_partkey", fn.drug_name(one).alias("one"), F.array_join(fn.drug_names(many), "|").alias("many"))
+    # a small file is read by one task, and there is much work for each row
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(4 * tasks_for(spark, 0), "p_partkey")
+    return part.where(~F.col("p_name").rlike("[0-9]")).select("p_partkey", fn.drug_name(one).alias("one"), F.array_join(fn.drug_names(many), "|").alias("many"))
 
 
 _GUESS = (TypeRule("Covered Treatment List", (("covered treatment",),)), *RULES)

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docloom import catalog
+from docloom import catalog, session
 from docloom.operators import language_profiles as lp
+from docloom.functions import scalar as fn
 from docloom.functions import textdiff, vectorized
-from docloom.operators import document_analysis, search
+from docloom.operators import document_analysis, search, temporal, templates, type_classifier
 from docloom.session import checkpointed
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +82,24 @@ def test_scripts_are_arrow_columns(spark):
     found = {r.k: r.s for r in df.select("k", textdiff.changed_sections("a", "b").alias("s")).collect()}
     assert [(s.kind, s.text) for s in found[149]] == [(-1, "b c149"), (1, "c d")] and [s.text for s in found[900]] == ["x"] and found[901] == []
     assert "pandas" not in str(textdiff._compared.__code__.co_names) and not hasattr(textdiff, "pd")
+
+
+def test_loads_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    at = "timestamp_ntz'2020-01-01'"
+    old = spark.range(100).selectExpr("id", "'a' AS v", f"{at} AS start_date", "timestamp_ntz'2038-01-01' AS end_date")
+    new = spark.range(50, 150).selectExpr("id", "if(id < 70, 'a', 'b') AS v")
+    out = temporal.scd2_load(old, new, "id", ["v"], F.lit("2021-01-01").cast("timestamp_ntz"))
+    assert _plan(out).count("Join") == 1 and re.search(r"RepartitionByExpression \[_key#\d+L?\], 20", _plan(out))
+    found = sorted((r.id, r.v, r.start_date.year, r.end_date.year) for r in out.collect())
+    expected = [(k, "a", 2020, 2038 if 50 <= k < 70 else 2021) for k in range(100)] + [(k, "b", 2021, 2038) for k in range(70, 150)]
+    assert found == sorted(expected)
+
+
+def test_names_are_written_out_once_by_several_tasks(spark):
+    out = catalog.QUERIES["drug_names"](spark, SF)
+    assert "RepartitionByExpression [p_partkey" in _plan(out)
+    df = spark.createDataFrame([("x er 10/20mg",), ("y tabs",), (None,)], "t string")
+    rows = df.select(fn.drug_names(F.col("t")).alias("n"))
+    assert [r.n for r in rows.collect()] == [["x extended release 10", "x extended release 20mg"], ["y tablet"], [""]]
+    assert _plan(rows).count("suppos") < 20
