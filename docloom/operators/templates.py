@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import tasks_for
+
 MISSING = "N/A"
 
 
@@ -79,7 +81,7 @@ def _joined(rows: DataFrame, keys: list[str], order: list[str], name: str) -> Da
     return rows.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda r: r["_row"]), "").alias(name))
 
 
-def _part(part: Part, sources: dict[str, DataFrame], key: str) -> DataFrame:
+def _part(part: Part, sources: dict[str, DataFrame], key: str, tasks: int) -> DataFrame:
     """key and the inner text ``_html`` of the documents that have rows of this part."""
     rows = sources[part.source].where(F.col(key).isNotNull())
     for n, lookup in enumerate(part.lookups):
@@ -88,6 +90,8 @@ def _part(part: Part, sources: dict[str, DataFrame], key: str) -> DataFrame:
         rows = rows.join(named, F.col(lookup.here) == F.col(f"_on{n}"), "left").drop(f"_on{n}")
     order = [f"_o{i}" for i in range(len(part.order))]
     rows = rows.withColumns(dict(zip(order, map(F.col, part.order), strict=True)))
+    # every aggregate of the part is by the key, so its rows are dealt once
+    rows = rows.repartition(tasks, key)
     if part.single:
         least = F.struct(*order, *[c for c in rows.columns if c != key and c not in order])
         rows = rows.groupBy(key).agg(F.min(least).alias("_r")).select(key, "_r.*")
@@ -110,16 +114,17 @@ def _part(part: Part, sources: dict[str, DataFrame], key: str) -> DataFrame:
 def rendered(docs: DataFrame, key: str, template: Template, sources: dict[str, DataFrame]) -> DataFrame:
     """key, html: every document of ``docs`` by ``template``; sources have the rows of all documents, with ``key``.
 
-    Each part is aggregated once over its whole source, and the parts of a document meet in one aggregate; there is no step for each
+    Tasks are as many as the rows of the sources ask for. Each part is aggregated once over its whole source, and the parts of a document meet in one aggregate; there is no step for each
     document or row. A part without rows says ``N/A``, as a null or empty value does. Rows of
     equal order go by their text. Lookups do not multiply rows if their column is
     unique there. Repeated keys of ``docs`` are one document; null keys are none.
     """
-    parts = [_part(p, sources, key).select(key, F.lit(n).alias("_n"), "_html") for n, p in enumerate(template.parts)]
+    tasks = tasks_for(docs.sparkSession, sum(sources[name].count() for name in {p.source for p in template.parts}))
+    parts = [_part(p, sources, key, tasks).select(key, F.lit(n).alias("_n"), "_html") for n, p in enumerate(template.parts)]
     all_ = docs.where(F.col(key).isNotNull()).select(key, F.lit(-1).alias("_n"), F.lit("").alias("_html")).distinct()
     for part in parts:
         all_ = all_.unionByName(part)
     own = [F.max(F.when(F.col("_n") == n, F.col("_html"))).alias(f"_{n}") for n in range(len(parts))]
-    met = all_.groupBy(key).agg(F.max(F.col("_n") == -1).alias("_there"), *own).where("_there")
+    met = all_.repartition(tasks, key).groupBy(key).agg(F.max(F.col("_n") == -1).alias("_there"), *own).where("_there")
     body = [F.concat(F.lit(f"<h2>{p.title}</h2>"), F.coalesce(f"_{n}", F.lit(f"<p>{MISSING}</p>"))) for n, p in enumerate(template.parts)]
     return met.select(key, F.concat(F.lit("<html><body>"), *body, F.lit("</body></html>")).alias("html"))
