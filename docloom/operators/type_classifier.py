@@ -33,8 +33,7 @@ class TypeModel:
 
     def _probabilities(self, words: pa.Array) -> np.ndarray:
         row, bucket, value = _sparse(words)
-        scores = np.tile(self.weights[:, -1], (len(words), 1))
-        np.add.at(scores, row, self.weights[:, bucket].T * value[:, None])
+        scores = np.stack([np.bincount(row, own[bucket] * value, len(words)) + own[-1] for own in self.weights], 1)
         scores = np.exp(scores - scores.max(1, keepdims=True))
         return scores / scores.sum(1, keepdims=True)
 
@@ -96,7 +95,8 @@ def _gradients(model: TypeModel):
             wrong = model._probabilities(words)
             wrong[np.arange(len(wrong)), batch.column("_y").to_numpy()] -= 1
             row, bucket, value = _sparse(words)
-            np.add.at(total.T, bucket, wrong[row] * value[:, None])
+            for own, off in zip(total, wrong.T, strict=True):
+                own += np.bincount(bucket, off[row] * value, len(own))
             total[:, -1] += wrong.sum(0)
         kind, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[kind, bucket])], names=["type", "bucket", "g"])
