@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import random
 import re
 from collections import Counter
@@ -14,7 +15,7 @@ from docloom import catalog, session
 from docloom.operators import language_profiles as lp
 from docloom.functions import scalar as fn
 from docloom.functions import textdiff, vectorized
-from docloom.operators import document_analysis, search, temporal, templates, type_classifier
+from docloom.operators import document_analysis, search, templates, temporal, text_index, type_classifier
 from docloom.session import checkpointed
 
 SF = "/root/testdata/sf0.001"
@@ -103,3 +104,38 @@ def test_names_are_written_out_once_by_several_tasks(spark):
     rows = df.select(fn.drug_names(F.col("t")).alias("n"))
     assert [r.n for r in rows.collect()] == [["x extended release 10", "x extended release 20mg"], ["y tablet"], [""]]
     assert _plan(rows).count("suppos") < 20
+
+
+def test_parts_are_dealt_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    facts = spark.range(100).selectExpr("id % 7 AS d", "id AS n", "id % 2 AS flag")
+    part = templates.Part("T", "facts", "group", (("N", templates.Value("n")),), ("n",), by="flag")
+    out = templates.rendered(spark.range(9).withColumnRenamed("id", "d"), "d", templates.Template((part,)), {"facts": facts})
+    assert len(re.findall(r"RepartitionByExpression \[d#\d+L?\], 10", _plan(out))) == 2
+    assert {r.d: r.html.count("<tr><td>") for r in out.collect()} == {d: len(range(d, 100, 7)) if d < 7 else 0 for d in range(9)}
+
+
+def test_type_sums_are_those_of_a_dense_product():
+    model = type_classifier.TypeModel(["a", "b", "c"], np.random.default_rng(4).normal(size=(3, 9)))
+    words = pa.array([[0, 3, 7], [], [5], [1, 2, 3, 4]], pa.list_(pa.int32()))
+    x = np.zeros((4, 9))
+    for i, own in enumerate(words.to_pylist()):
+        x[i, own] = 1 / np.sqrt(max(len(own), 1))
+    x[:, 8] = 1
+    told = np.exp(x @ model.weights.T)
+    told /= told.sum(1, keepdims=True)
+    assert np.allclose(model._probabilities(words), told)
+    y = np.array([0, 1, 2, 1])
+    batch = pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), words], names=["_y", "_w"])
+    (out,) = type_classifier._gradients(model)(iter([batch]))
+    found = np.zeros((3, 9))
+    found[out["type"].to_numpy(), out["bucket"].to_numpy()] = out["g"].to_numpy()
+    assert np.allclose(found, (told - np.eye(3)[y]).T @ x)
+    assert "add" not in type_classifier.TypeModel._probabilities.__code__.co_names  # numpy's add.at goes element by element
+
+
+def test_index_is_not_ordered_by_texts(spark):
+    rows = spark.createDataFrame([("walked",), ("cities",), ("boxes",), ("walks",), ("bus",), ("été",), ("",), (None,)], "w string")
+    assert [r.s for r in rows.select(text_index.stem(F.col("w")).alias("s")).collect()] == ["walk", "city", "box", "walk", "bus", "été", "", None]
+    source = inspect.getsource(text_index.write_index)
+    assert 'sortWithinPartitions("bucket", F.xxhash64("term"))' in source
